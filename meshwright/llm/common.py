@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwright.session import workers_see_package
+
 #: Rows of an Arrow batch; with texts of up to a few hundred KB this bounds a worker's memory.
 ARROW_ROWS = 512
 #: Bytes of text that numpy kernels look at together.
@@ -24,6 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_batches(spark: SparkSession) -> None:
     """Small Arrow batches: the texts of one batch must fit in a worker's memory."""
+    workers_see_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -159,22 +159,26 @@ def _hits(bitmap: bytes, values: np.ndarray) -> np.ndarray:
     return (bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1 > 0
 
 
+def _spot(keys: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """A number for one suffix of one text."""
+    return mix64(keys.view(np.uint64) + mix64(packed.view(np.uint64)))
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spots = _spot(np.asarray(batch.column("key")), np.asarray(batch.column("packed")))
+        yield pa.RecordBatch.from_arrays([pa.array(spots.view(np.int64))], ["spot"])
+
+
 def _fetch(bitmap):
-    """Windows whose gram is in the bitmap, each once in a task."""
+    """The windows of the suffixes in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        given: set[int] = set()
         for _, ends, data in utf8_blocks(batches):
-            _, fresh = _fresh(data, ends, seen)
-            at, first, last, gram, _, whole, packed = _windows(data, ends, fresh)
-            new = np.zeros(len(at), bool)
-            for k in np.flatnonzero(_hits(bitmap.value, gram)).tolist() if len(at) else ():
-                if (w := int(whole[k])) not in given:
-                    given.add(w)
-                    new[k] = True
-            if len(given) > 1_000_000:
-                given.clear()
+            keys, fresh = _fresh(data, ends, seen)
+            at, first, last, gram, doc, whole, packed = _windows(data, ends, fresh)
+            new = _hits(bitmap.value, _spot(keys[doc], packed))
             pieces = [data[a : b + LENGTH].tobytes() for a, b in zip(first[new], last[new], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), pa.array(whole[new].view(np.int64)), pa.array((packed[new] & 0xFFFF).astype(np.int32)), pa.array(pieces, pa.binary())], ["gram", "whole", "reach", "bytes"])
 
@@ -312,12 +316,15 @@ def covered(docs: DataFrame, base: DataFrame) -> DataFrame:
     place, front, back = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
     whole = shared.where("same").select("key", (place - front).alias("start"), (place - back + LENGTH).alias("stop"))
     mixed = shared.where("NOT same")
-    bitmap = spark.sparkContext.broadcast(_bitmap(mixed, "gram"))
-    windows = cut(texts.mapInArrow(_fetch(bitmap), "gram long, whole long, reach int, bytes binary").repartition("gram").sortWithinPartitions("gram", "whole"), "windows")
-    sizes = windows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    large = cut(sizes.where(F.col("n") > GROUP).select("gram"), "large")
+    # of equal windows of a bucket one is enough to compare with; which one to fetch is told by a bitmap
+    chosen = shared.join(mixed.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "whole").agg(F.min(F.struct("key", "packed")).alias("x")).select("gram", "x.key", "x.packed")
+    chosen = cut(chosen, "chosen")
+    bitmap = spark.sparkContext.broadcast(_bitmap(chosen.select("key", "packed").mapInArrow(_spots, "spot long"), "spot"))
+    windows = texts.mapInArrow(_fetch(bitmap), "gram long, whole long, reach int, bytes binary")
+    large = cut(chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("gram"), "large")
     found = "gram long, whole long, near int, far int"
     if large.take(1):
+        windows = cut(windows, "windows")
         few = windows.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "whole")
         each = windows.join(large, "gram", "left_semi").dropDuplicates(["gram", "whole"]).mapInArrow(_each, "string long, gram long, whole long, near int")
         often = each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
