@@ -3,15 +3,22 @@
 A document's set holds the 64-bit hashes of its distinct 5-word shingles; equal sets are one class. Sets x and y with Jaccard
 similarity of t or more differ in at most H = (1 - t) / (1 + t) (|x| + |y|) elements. The universe of hashes is cut into m
 segments, m set by size band, so at most H segments of the two differ. Every segment's subset is a key. Both documents rank
-their keys alike (rare ones first, empty ones last) and index the first H + 1: the best-ranked segment on which they agree is
-preceded by at most H others in either, so both index it. Costs decide the ranking: how often keys occur is counted over the
-whole corpus, and the most frequent are put off. Small sets use segments of one element; sets of up to six, which differ in
+their keys alike (rare ones first, empty ones last) and index the first H + L: the L best-ranked segments on which they agree are
+preceded by at most H others in either, so both index them, and pairs with fewer than L keys in common need no look. Costs decide the ranking: how often keys occur is counted over the
+whole corpus, and the most frequent are put off. Finer segments do not cost more keys, so bands below SMALL use segments of one
+element, larger sets coarser ones; sets of up to six, which differ in
 one element at most, are one segment with its one-deletion neighbourhood. A set with too few occupied segments for the
 guarantee makes the join start again with another hash.
 
-Classes under one key are compared with the key's first class; components of what links leave only the pairs of classes of
-one key in different components, which are then all compared, so no link that matters to a component is lost. Comparisons are
-exact, on whole sets.
+In the band of one-element segments, a set that has indexed all its infrequent elements knows which of them no other set has
+(other sets rank infrequent ones first too, so if they too have indexed all of theirs, none is hidden). Sets that link have at
+most n - o elements each that the other lacks (o: least overlap), so pairs with more of these are not looked at, which settles
+crowds that share a passage and little else, and copies with many edits.
+
+Classes under one key are first compared with the key's first class, and those under crowded keys along random chains.
+Components of what links leave the pairs of classes of
+one key in different components; all of these that have L keys in common and sizes that allow a link are then compared, so no
+link that matters to a component is lost. Comparisons are exact, on whole sets.
 
 Edge cases: null texts and texts without words have no set, no links and are their own component; repeated rows and equal
 texts share a class; long texts only have larger sets; an empty table gives an empty result; extra columns are ignored.
@@ -20,6 +27,7 @@ texts share a class; long texts only have larger sets; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -32,9 +40,15 @@ from meshwright.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 #: Sets below TINY use one-deletion neighbourhoods, below SMALL segments of one element; bands above grow by BAND.
-TINY, SMALL, BAND = 7, 64, 4
+TINY, SMALL, BAND = 7, 1024, 4
 #: A key met in this many documents counts as frequent; so many of the most frequent are told to the tasks (3 MB).
 FREQUENT, TOLD = 8, 1 << 18
+#: Keys in common that a pair must have (L), where its sets have that many to spare.
+SHARED = 5
+#: Classes of a key that make it crowded, and rounds of chains through crowded keys.
+CROWD, ROUNDS = 8, 5
+#: Pairs of one lead that one task verifies.
+LEAD = 512
 BITS = 24
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -78,39 +92,57 @@ def bands(n: int) -> list[tuple[int, int]]:
 
 
 def keys(s: np.ndarray, band: int, end: int, seed: int) -> tuple[np.ndarray, int, bool]:
-    """(all keys of the occupied segments, how many to index, whether they suffice)."""
+    """(all keys of the occupied segments, H + 1, whether there are so many). Keys of one-element segments are odd."""
     n = len(s)
     salt = _U((band * 1_000_003 + seed * 7919 + 1) & 0xFFFFFFFF)
     if band == 0:
         m = mix64(s + salt)
         total = np.add.reduce(m)
         k = mix64(np.concatenate([[total], total - m]) + salt) if n > 1 else mix64(np.array([total]) + salt)
-        return k, len(k), True
+        return k & _U(-2 & (1 << 64) - 1), len(k), True
     need = (n + min(n * 100 // PERCENT, end - 1)) * (100 - PERCENT) // (100 + PERCENT) + 1
     if band == 1:
-        return mix64(s * _U(0x9E3779B97F4A7C15) + salt), need, n >= need
+        return mix64(s * _U(0x9E3779B97F4A7C15) + salt) | _U(1), need, n >= need
     m = mix64(s + _U(int(salt) * 0x2545F4914F6CDD1D & (1 << 64) - 1))
     if seed:
         m = np.sort(m)
     segment = (s if not seed else m) >> _U(64 - (end // 2).bit_length() + 1)
     first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     k = mix64(np.add.reduceat(m, first) ^ mix64(segment[first] + salt))
-    return k, need, len(k) >= need
+    return k & _U(-2 & (1 << 64) - 1), need, len(k) >= need
 
 
-def chosen(s: np.ndarray, seed: int, told: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, bool]:
-    """The keys to index: of each band the `need` first by (cost, key)."""
-    out, fine = [], True
-    for band, end in bands(len(s)):
+def chosen(s: np.ndarray, seed: int, told: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, int, bool]:
+    """The keys to index: of each band the first by (cost, key), SHARED - 1 more than H + 1. Second, where the set lies in the
+    band of one-element segments alone: how many of its elements are infrequent (their keys have bit 1), if all are indexed,
+    else -1."""
+    out, fine, rare, own = [], True, -1, bands(len(s))
+    for band, end in own:
         k, need, ok = keys(s, band, end, seed)
         fine &= ok
-        if need < len(k):
+        need += SHARED - 1
+        if band == 1:
+            at = np.searchsorted(told, k)
+            at[at == len(told)] = 0
+            hit = told[at] == k if len(told) else np.zeros(len(k), bool)
+            common = k[hit]
+            free = int(len(k) - len(common))
+            if need < len(k):
+                price = cost[at[hit]]
+                common = common[np.lexsort((common, price))[: max(0, need - free)]]
+                rest = k[~hit] if need >= free else np.partition(k[~hit], need - 1)[:need]
+            else:
+                rest = k[~hit]
+            if len(own) == 1 and free <= max(need, len(rest)) and len(rest) == free:
+                rare = free
+            k = np.concatenate([common & _U(-3 & (1 << 64) - 1), rest | _U(2)])
+        elif need < len(k):
             at = np.searchsorted(told, k)
             at[at == len(told)] = 0
             hit = told[at] == k if len(told) else np.zeros(len(k), bool)
             k = k[np.lexsort((k, np.where(hit, cost[at], 0)))[:need]] if hit.any() else np.partition(k, need - 1)[:need]
         out.append(k)
-    return np.concatenate(out), fine
+    return np.concatenate(out), rare, fine
 
 
 def _classes(seed: int):
@@ -125,17 +157,20 @@ def _classes(seed: int):
             k, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, np.uint64), np.zeros(0, int))
             k, n = k[n >= 3], n[n >= 3]
             met.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64))], ["kind", "id", "n", "class"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64)), pa.array(np.zeros(len(k), np.int32))], ["kind", "id", "n", "class", "least"])
 
         for rows, ends, data in utf8_blocks(batches):
             sets = shingle_sets(data, ends)
             own = [class_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64())], ["kind", "id", "n", "class"])
-            for s, c in zip(sets, own, strict=True):
-                if len(s) >= TINY and c not in seen:
+            least = np.zeros(len(own), np.int32)
+            for at, (s, c) in enumerate(zip(sets, own, strict=True)):
+                if len(s) and c not in seen:
                     seen.add(c)
-                    met += [keys(s, band, end, seed)[0] for band, end in bands(len(s)) if band]
+                    got = [(band, *keys(s, band, end, seed)) for band, end in bands(len(s))]
+                    least[at] = min(1 + min(SHARED - 1, len(k) - need) if band else 1 for band, k, need, _ in got)
+                    met += [k for band, k, _, _ in got if band]
                     kept += len(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(least)], ["kind", "id", "n", "class", "least"])
             if kept > 4_000_000 or len(seen) > 1_000_000:
                 yield flush()
                 kept = 0
@@ -145,21 +180,25 @@ def _classes(seed: int):
     return run
 
 
+_CLASSES = "kind int, id long, n long, class long, least int"
+
+
 def _index(seed: int, told: np.ndarray, cost: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for _, ends, data in utf8_blocks(batches):
-            ks, cs = [], []
+            ks, cs, rs = [], [], []
             for s in shingle_sets(data, ends):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
-                    k, fine = chosen(s, seed, told, cost)
+                    k, rare, fine = chosen(s, seed, told, cost)
                     ks.append(k if fine else np.concatenate([k, [_U(0)]]))
                     cs.append(np.full(len(ks[-1]), c, np.int64))
+                    rs.append(np.full(len(ks[-1]), rare, np.int32))
             if len(seen) > 1_000_000:
                 seen.clear()
             if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs))], ["key", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(rs))], ["key", "class", "rare"])
 
     return run
 
@@ -167,9 +206,9 @@ def _index(seed: int, told: np.ndarray, cost: np.ndarray):
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key and class -> those of keys with two classes or more, with the key's first class. Key 0 marks sets
     without the guarantee and always passes."""
-    key, lead, last, open_ = None, None, None, False
+    key, lead, lead_rare, last, open_ = None, None, -1, None, False
     for batch in batches:
-        k, c = np.asarray(batch.column("key")), np.asarray(batch.column("class"))
+        k, c, r = (np.asarray(batch.column(x)) for x in ("key", "class", "rare"))
         if not len(k):
             continue
         new = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
@@ -181,57 +220,83 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(more & (leads != c))
         firsts = np.unique(at[heads])
         firsts = firsts[firsts >= 0]
-        out_k, out_c, out_l = [k[heads]], [c[heads]], [leads[heads]]
+        out_k, out_c, out_l, out_r = [k[heads]], [c[heads]], [leads[heads]], [r[heads]]
         out_k.append(k[firsts])
         out_c.append(c[firsts])
         out_l.append(c[firsts])
+        out_r.append(r[firsts])
         if len(heads) and (at[heads] < 0).any() and not open_:
             out_k.append(np.array([key]))
             out_c.append(np.array([lead]))
             out_l.append(np.array([lead]))
+            out_r.append(np.array([lead_rare]))
         if (k == 0).any():
             z = k == 0
             out_k.append(k[z])
             out_c.append(c[z])
             out_l.append(c[z])
+            out_r.append(r[z])
         tail = at[-1]
         open_ = bool((more & (leads != c) & (at == tail)).any()) or (tail < 0 and open_)
         if tail >= 0:
-            lead = c[tail]
+            lead, lead_rare = c[tail], r[tail]
         key, last = k[-1], c[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_k, out_c, out_l)], ["key", "class", "lead"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (out_k, out_c, out_l)], pa.array(np.concatenate(out_r).astype(np.int32))], ["key", "class", "lead", "rare"])
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, class, n) sorted by key: pairs of classes of one key whose roots differ and whose sizes allow a link.
-    Blocks of a group are set against blocks, so that no more than a block's pairs are held."""
+    """Rows (key, root, class, n, alone, viable) sorted by key -> (a, b, keys): pairs of classes of one key, one of them viable, whose
+    roots differ and whose sizes allow a link, counted within the task; a row of a group meets the others at once, so no group's pairs are all held."""
 
     def rows() -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("key", "root", "class", "n")), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("key", "root", "class", "n", "alone", "viable")), strict=True)
+
+    held, size = [], 0
 
-    def give(pairs: set) -> pa.RecordBatch:
-        a, b = zip(*pairs, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def give() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        _, first, count = np.unique(mix64(a.view(np.uint64) + mix64(b.view(np.uint64))), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(count, pa.int64())], ["a", "b", "keys"])
 
-    out: set[tuple[int, int]] = set()
     for _, group in groupby(rows(), key=lambda x: x[0]):
         g = list({x[1:] for x in group})
-        root, cls, n = (np.array(x, np.int64) for x in zip(*g, strict=True))
-        if (root == root[0]).all():
+        if len(g) < 2:
+            continue
+        root, cls, n, alone, viable = (np.array(x, np.int64) for x in zip(*g, strict=True))
+        if (root == root[0]).all() or not viable.any():
             continue
         order = np.argsort(n, kind="stable")
-        root, cls, n = root[order], cls[order], n[order]
-        last = np.searchsorted(n, n * 100 // PERCENT, "right")
-        for i in range(len(cls)):
-            j = np.arange(i + 1, last[i])
-            for k in j[root[j] != root[i]]:
-                out.add((min(cls[i], cls[k]), max(cls[i], cls[k])))
-            if len(out) > 100_000:
-                yield give(out)
-                out.clear()
-    if out:
-        yield give(out)
+        root, cls, n, alone, viable = root[order], cls[order], n[order], alone[order], viable[order]
+        last, first = np.searchsorted(n, n * 100 // PERCENT, "right"), np.searchsorted(n, -(-n * PERCENT // 100), "left")
+        for i in np.flatnonzero(viable):
+            j = np.arange(first[i], last[i])
+            o = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))
+            j = j[(root[j] != root[i]) & ((viable[j] == 0) | (j > i)) & ((alone[i] < 0) | (alone[j] < 0) | ((alone[i] <= n[i] - o) & (alone[j] <= n[j] - o) & (alone[i] + alone[j] <= n[i] + n[j] - 2 * o)))]
+            if len(j):
+                held.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
+                size += len(j)
+            if size > 500_000:
+                yield give()
+                size = 0
+    if held:
+        yield give()
+
+
+def _chained(batches: Iterator[pa.RecordBatch], star: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, turn, root, class, n) sorted by key, turn -> (a, b): neighbours in a key's own random order, or the first
+    and each other one (star), that have different roots and sizes that allow a link."""
+    last = None
+    for batch in batches:
+        a_out, b_out = [], []
+        for key, root, cls, n in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "class", "n")), strict=True):
+            if last and last[0] == key and last[1] != root and 100 * min(n, last[3]) >= PERCENT * max(n, last[3]):
+                a_out.append(min(cls, last[2]))
+                b_out.append(max(cls, last[2]))
+            if not star or last is None or last[0] != key:
+                last = (key, root, cls, n)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
 def _bitmap(classes: DataFrame) -> bytes:
@@ -277,48 +342,83 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
 
-def links_among(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link, verified on their whole sets."""
-    both = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    found = docs.select("text").mapInArrow(_sets(_bitmap(both)), "class long, elements binary")
-    sets = cut(found.join(both, "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements")), "sets")
+def fetch(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, elements): the sets of the given classes."""
+    found = docs.select("text").mapInArrow(_sets(_bitmap(classes)), "class long, elements binary")
+    return cut(found.join(classes, "class", "left_semi").groupBy("class").agg(F.first("elements").alias("elements")), "sets")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their whole sets."""
     leads = pairs.select("a").distinct().join(sets, F.col("a") == F.col("class")).select("a", F.lit(None).cast("long").alias("b"), "elements")
     rest = pairs.join(sets, F.col("b") == F.col("class")).select("a", "b", "elements")
-    # salted: the pairs of a frequent lead are dealt to several tasks, its set to each of them
-    salts = 8
-    dealt = rest.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")).unionByName(leads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    return dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "elements").mapInArrow(_verify, "a long, b long")
+    # the pairs of a lead with many are dealt to several tasks, and its set to each of them
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD).cast("int").alias("salts")).where("salts > 1")
+    dealt = rest.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    given = leads.join(many, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = dealt.unionByName(given).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return both.select("a", "b", "elements").mapInArrow(_verify, "a long, b long")
+
+
+def candidates(counted: DataFrame, classes: DataFrame, few: int = SHARED) -> DataFrame:
+    """counted(a, b, keys) -> pairs with enough keys in common (at most `few` are asked for) and sizes that allow a link."""
+    sized = counted.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("alone").alias("va")), "a").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("alone").alias("vb")), "b")
+    least = f"cast(ceil({PERCENT} * (na + nb) / {100 + PERCENT}) as bigint)"
+    return sized.where(f"va < 0 OR vb < 0 OR (va <= na - {least} AND vb <= nb - {least} AND va + vb <= na + nb - 2 * {least})").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("keys") >= F.least("la", "lb", F.lit(few)))).select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links), class."""
     arrow_batches(docs.sparkSession)
     seed, texts = 0, docs.select("text")
-    first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), "kind int, id long, n long, class long"), "classes")
+    first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
     base = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class")
     while True:
         often = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "id").limit(TOLD).toArrow()
         told = np.asarray(often.column("id")).view(np.uint64)
         order = np.argsort(told)
         told, cost = told[order], np.log2(np.maximum(np.asarray(often.column("n")), 1)).astype(np.int8)[order]
-        index = texts.mapInArrow(_index(seed, told, cost), "key long, class long")
-        groups = cut(index.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_grouped, "key long, class long, lead long"), "groups")
+        index = texts.mapInArrow(_index(seed, told, cost), "key long, class long, rare int")
+        groups = cut(index.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_grouped, "key long, class long, lead long, rare int"), "groups")
         if not groups.where("key = 0").take(1):
             break
         seed += 1
-        first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), "kind int, id long, n long, class long"), "classes")
-    pairs = cut(groups.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    classes = cut(base.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n")), "class")
-    linked = cut(links_among(pairs, docs), "linked")
+        first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
+    classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least")), "class")
+    # elements that no other set has, where they are known; -1 elsewhere
+    met = groups.where("key <> 0").select("key", "class", "rare").distinct().groupBy("class").agg(F.max("rare").alias("rare"), F.sum(F.when(F.col("key").bitwiseAND(F.lit(3)) == 3, 1).otherwise(0)).alias("met"))
+    alone = F.when(F.coalesce("rare", F.lit(-1)) >= 0, F.col("rare") - F.col("met")).otherwise(F.lit(-1)).cast("long")
+    spare = F.expr(f"n - cast(ceil({PERCENT} * (n + ceil({PERCENT} * n / 100)) / {100 + PERCENT}) as bigint)")
+    classes = cut(classes.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).drop("met", "rare"), "viable")
+    # only some of a pair's keys have it with their lead: that fewer than SHARED are counted here does not rule it out
+    led = groups.where("class <> lead").groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
+    pairs = cut(candidates(led, classes, 3), "pairs")
+    # keys of many classes: some rounds of chains through them join most of a large group before all its pairs are looked at
+    crowded = groups.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD).select("key")
+    hot = cut(groups.select("key", "class").distinct().where(F.shiftright("key", 2).bitwiseAND(F.lit(7)) < ROUNDS).join(crowded, "key", "left_semi").join(classes.where("viable").select("class", "n", "alone"), "class"), "hot")
+    sets = fetch(ends_of(pairs).unionByName(hot.select("class")).distinct(), docs)
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    linked = cut(verify(pairs, sets), "linked")
     roots = components(linked)
-    labelled = groups.select("key", "class").join(classes.select("class", "n"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n")
-    several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    for turn in range(ROUNDS):
+        rows = hot.where(F.shiftright("key", 2).bitwiseAND(F.lit(7)) == turn).join(roots, F.col("class") == F.col("node"), "left").select("key", (F.col("alone") if turn == 0 else F.xxhash64("key", "class")).alias("turn"), F.coalesce("root", "class").alias("root"), "class", "n")
+        chain = rows.repartition("key").sortWithinPartitions("key", "turn", "class").mapInArrow(partial(_chained, star=turn == 0), "a long, b long").distinct()
+        chain = cut(chain.join(done, ["a", "b"], "left_anti"), "chain")
+        found = cut(verify(chain, sets), "linked")
+        done = done.unionByName(chain)
+        linked = linked.unionByName(found)
+        roots = components(linked)
+    labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable")
+    several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
     open_ = labelled.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root")
-    more = open_.mapInArrow(_rest, "a long, b long").distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = candidates(open_.mapInArrow(_rest, "a long, b long, keys long").groupBy("a", "b").agg(F.sum("keys").alias("keys")), classes)
     more = cut(more.join(done, ["a", "b"], "left_anti"), "rest")
     if more.take(1):
-        linked = cut(linked.unionByName(links_among(more, docs)), "linked")
+        linked = linked.unionByName(cut(verify(more, fetch(ends_of(more), docs)), "linked"))
     named = linked.join(classes.select(F.col("class").alias("a"), F.col("doc").alias("da")), "a").join(classes.select(F.col("class").alias("b"), F.col("doc").alias("db")), "b")
     roots = components(named.select(F.col("da").alias("a"), F.col("db").alias("b")))
     of_class = classes.join(roots, F.col("doc") == F.col("node"), "left").select("class", F.coalesce("root", "doc").alias("component_id"))
