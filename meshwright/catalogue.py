@@ -1,11 +1,517 @@
-"""All queries over the reference's own operators, and their SQL."""
+"""Queries over the tables, one for each operator, and the SQL that says what they return."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwright.operators import components, eliminate, factor, linalg, operator, select
+from meshwright.plans import solver
+from meshwright.session import workers_see_package
+from meshwright.sources import generators, rhs, tables
+
+SEED = 42
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+_NATION = """
+  pairs AS (SELECT c_nationkey::BIGINT AS cn, s_nationkey::BIGINT AS sn FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+  e AS (SELECT least(cn, sn) AS u, greatest(cn, sn) AS v, count(*)::DOUBLE AS w FROM pairs WHERE cn <> sn GROUP BY 1, 2),
+  b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e),
+  vx AS (SELECT n_nationkey::BIGINT AS v FROM nation),
+  lap AS (SELECT vx.v AS i, vx.v AS j, coalesce(sum(w), 0.0)::DOUBLE AS a FROM vx LEFT JOIN b ON b.u = vx.v GROUP BY vx.v UNION ALL SELECT u, v, -w FROM b),
+  ex AS (SELECT vx.v, count(cn)::DOUBLE AS excess FROM vx LEFT JOIN pairs ON cn = vx.v AND sn = vx.v GROUP BY vx.v)"""
+_SUPP = """
+  e AS (SELECT l_suppkey AS u, l_partkey + 1000000 AS v, count(*)::DOUBLE AS w FROM lineitem GROUP BY 1, 2),
+  b AS (SELECT u, v, w FROM e UNION ALL SELECT v, u, w FROM e),
+  lap AS (SELECT u AS i, u AS j, sum(w)::DOUBLE AS a FROM b GROUP BY u UNION ALL SELECT u, v, -w FROM b),
+  deg AS (SELECT u AS v, count(*) AS deg FROM b GROUP BY u)"""
+_VISITS = "d AS (SELECT user_id AS i, nx AS j, count(*)::DOUBLE AS a FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nx FROM events) WHERE nx IS NOT NULL GROUP BY 1, 2)"
+
+
+def _census_sql(source: str) -> str:
+    return f"""WITH {source}, c AS (
+      SELECT j, count(*) AS stored, count(*) FILTER (NOT isfinite(a)) AS nonfinite, count(*) FILTER (i <> j) AS offdiag, count(*) FILTER (i <> j AND a > 0) AS offdiag_pos, max(a) FILTER (i = j) AS diag,
+        coalesce(sum(abs(a)) FILTER (i <> j), 0) AS mass, coalesce(sum(a) FILTER (i <> j AND a > 0), 0) AS pos FROM lap GROUP BY j
+    ), s AS (
+      SELECT count(*) AS asymmetric FROM (SELECT i, j, a FROM lap WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM lap WHERE i < j) r USING (i, j)
+      WHERE abs(coalesce(a, 0) - coalesce(t, 0)) > 1e-10 * greatest(abs(coalesce(a, 0)), abs(coalesce(t, 0)))
+    )
+    SELECT sum(stored)::BIGINT AS stored, sum(nonfinite)::BIGINT AS nonfinite, sum(offdiag)::BIGINT AS offdiag, sum(offdiag_pos)::BIGINT AS offdiag_pos, count(*) FILTER (diag > 0) AS diag_pos, count(*) FILTER (NOT coalesce(diag > 0, false)) AS bad_diag,
+      min(j) FILTER (NOT coalesce(diag > 0, false)) AS first_bad_diag, sum(mass)::DOUBLE AS abs_mass, sum(pos)::DOUBLE AS pos_mass, count(*) FILTER (coalesce(diag, 0) - mass < -1e-12 * coalesce(diag, 0)) AS deficient_rows,
+      count(*) FILTER (coalesce(diag, 0) - mass > 1e-12 * coalesce(diag, 0)) AS excess_rows, any_value(asymmetric) AS asymmetric FROM c, s"""
+
+
+def _nation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tables.nation_edges(spark, sf_dir), tables.nation_vertices(spark, sf_dir)
+
+
+def _nation_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.laplacian(*_nation(spark, sf_dir))
+
+
+def _supp(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = tables.supplier_part_edges(spark, sf_dir)
+    return e, operator.both_ways(e).select(F.col("u").alias("v")).distinct()
+
+
+def _round6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+
+
+@query(f"WITH {_NATION} SELECT * FROM e")
+def nation_trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.nation_edges(spark, sf_dir)
+
+
+@query(f"WITH {_NATION} SELECT * FROM lap")
+def nation_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_laplacian(spark, sf_dir)
+
+
+@query(f"WITH {_SUPP} SELECT i, a FROM lap WHERE i = j")
+def supp_part_laplacian_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.laplacian(tables.supplier_part_edges(spark, sf_dir)).where("i = j").select("i", "a")
+
+
+@query(_census_sql(_NATION))
+def operator_census_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.census(_nation_laplacian(spark, sf_dir))
+
+
+@query(_census_sql(_SUPP))
+def operator_census_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.census(operator.laplacian(tables.supplier_part_edges(spark, sf_dir)))
+
+
+@query(f"""WITH {_VISITS} SELECT i, j, coalesce(a, 0.0) AS lower, coalesce(t, 0.0) AS upper FROM (SELECT i, j, a FROM d WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM d WHERE i < j) r USING (i, j)
+  WHERE coalesce(a, 0) <> coalesce(t, 0)""")
+def symmetry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.symmetry(tables.visits(spark, sf_dir)).select("i", "j", "lower", "upper")
+
+
+@query(f"""WITH {_VISITS}, r AS (SELECT i, coalesce(sum(a) FILTER (i = j), 0) AS dg, coalesce(sum(abs(a)) FILTER (i <> j), 0) AS s FROM d GROUP BY i)
+  SELECT count(*) FILTER (i <> j AND a > 0) AS off_pos, count(*) FILTER (i <> j AND a < 0) AS off_neg, count(*) FILTER (i > j) AS lower, count(*) FILTER (i < j) AS upper, count(*) FILTER (i = j AND a > 0) AS diag_pos,
+  (SELECT count(*) FILTER (dg < s) FROM r) AS deficient_rows, (SELECT count(*) FILTER (dg > s) FROM r) AS excess_rows FROM d""")
+def input_kind_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.input_census(tables.visits(spark, sf_dir))
+
+
+@query(f"WITH {_NATION} SELECT 'laplacian' AS operator_kind, 'adjacency' AS adjacency_kind")
+def input_kind_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = _nation(spark, sf_dir)
+    adjacency = operator.both_ways(e).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("a"))
+    kinds = [operator.resolve_kind(operator.input_census(x).first().asDict()) for x in (_nation_laplacian(spark, sf_dir), adjacency)]
+    return spark.createDataFrame([tuple(kinds)], "operator_kind string, adjacency_kind string")
+
+
+_FLIP = "m AS (SELECT i, j, CASE WHEN i <> j AND (i + j) % 7 = 0 THEN -a ELSE a END AS a FROM lap)"
+
+
+def _flipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_laplacian(spark, sf_dir).withColumn("a", F.when((F.col("i") != F.col("j")) & ((F.col("i") + F.col("j")) % 7 == 0), -F.col("a")).otherwise(F.col("a")))
+
+
+@query(f"""WITH {_NATION}, {_FLIP}, x AS (SELECT j, sum(a) AS x FROM m WHERE i <> j AND a > 0 GROUP BY j)
+  SELECT i, m.j, (a + CASE WHEN i = m.j THEN coalesce(x, 0) ELSE 0 END)::DOUBLE AS a FROM m LEFT JOIN x ON x.j = m.j WHERE i = m.j OR a < 0""")
+def lump_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.lump(_flipped(spark, sf_dir))
+
+
+@query(f"WITH {_NATION}, {_FLIP} SELECT sum(a) FILTER (a > 0) / sum(abs(a)) AS rho FROM m WHERE i <> j")
+def positive_mass_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.positive_mass_fraction(_flipped(spark, sf_dir))
+
+
+@query(f"WITH {_NATION} SELECT v, excess FROM ex")
+def excess_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = operator.laplacian(*_nation(spark, sf_dir), tables.nation_excess(spark, sf_dir))
+    return operator.to_graph(a)[1]
+
+
+@query(f"""WITH {_NATION}, n AS (SELECT i, j, abs(a) AS w FROM lap WHERE i <> j AND a <> 0), r AS (SELECT range AS i FROM range(30))
+  SELECT r.i, r.i AS j, coalesce(sum(w), 0)::DOUBLE AS a FROM r LEFT JOIN n ON n.i = r.i GROUP BY r.i UNION ALL SELECT i, j, -w FROM n""")
+def adjacency_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _nation_laplacian(spark, sf_dir).where("i <> j").withColumn("a", -F.col("a"))
+    return operator.adjacency_to_laplacian(a, 30)
+
+
+@query(f"WITH {_NATION} SELECT i, j, CASE WHEN i = j THEN a + 0.5 * (SELECT avg(abs(a)) FROM lap WHERE i = j) ELSE a END AS a FROM lap")
+def regularised_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.regularise(_nation_laplacian(spark, sf_dir), 0.5)
+
+
+@query("SELECT bool_and(c_acctbal = c_acctbal::FLOAT::DOUBLE) AS exact FROM customer")
+def fp32_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.fp32_exact(tables.read(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("a")))
+
+
+@query(f"WITH {_NATION} SELECT i, j, a FROM lap WHERE i >= j UNION ALL SELECT j, i, a FROM lap WHERE i > j")
+def mirrored_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operator.from_lower(_nation_laplacian(spark, sf_dir))
+
+
+@query(f"WITH {_SUPP} SELECT v, deg FROM deg")
+def live_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.degrees(*_supp(spark, sf_dir))
+
+
+_CAP = "cap AS (SELECT deg AS cap FROM (SELECT deg, row_number() OVER (ORDER BY deg) - 1 AS k, count(*) OVER () AS n FROM deg) WHERE k = floor(0.2::DOUBLE * n))"
+
+
+@query(f"WITH {_SUPP}, {_CAP} SELECT cap FROM cap")
+def degree_quantile_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.quantile_cap(select.degrees(*_supp(spark, sf_dir)))
+
+
+@query(f"WITH {_SUPP}, {_CAP} SELECT v, deg FROM deg, cap WHERE deg <= cap")
+def degree_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    degs = select.degrees(*_supp(spark, sf_dir))
+    return select.under_cap(degs, select.quantile_cap(degs))
+
+
+_HASH = f"(v * {select.MULTIPLIER} + {SEED * select.STEP}) % {select.MODULUS}"
+_MINIMA = """SELECT v FROM r WHERE NOT EXISTS (SELECT 1 FROM b JOIN r q ON q.v = b.v WHERE b.u = r.v AND (q.deg, q.h, q.v) <= (r.deg, r.h, r.v))"""
+
+
+@query(f"WITH {_SUPP}, r AS (SELECT v, deg, {_HASH} AS h FROM deg WHERE {_HASH} <= least(1.0::DOUBLE, 1 / (0.3::DOUBLE * (SELECT avg(deg) FROM deg))) * {select.MODULUS}) {_MINIMA}")
+def bk_sample_minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, vertices = _supp(spark, sf_dir)
+    return select.baumann_kyng(edges, select.degrees(edges, vertices), SEED)
+
+
+@query(f"WITH {_SUPP}, r AS (SELECT v, deg, {_HASH} AS h FROM deg) {_MINIMA}")
+def luby_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, vertices = _supp(spark, sf_dir)
+    return select.local_minima(edges, select.by_degree(select.degrees(edges, vertices), SEED))
+
+
+def _invariants(name: str, sets: Callable[[SparkSession, str], tuple[DataFrame, DataFrame, DataFrame]], maximal: bool) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workers_see_package(spark)
+        edges, vertices, chosen = sets(spark, sf_dir)
+        free = vertices.join(chosen, "v", "left_anti").join(select.neighbours_of(edges, chosen), "v", "left_anti")
+        return spark.createDataFrame([(bool(chosen.take(1)), not select.conflicts(edges, chosen).take(1), not maximal or not free.take(1))], "chosen boolean, independent boolean, maximal boolean")
+
+    run.__name__ = name
+    query("SELECT true AS chosen, true AS independent, true AS maximal")(run)
+
+
+def _chosen(rule: Callable[[DataFrame, DataFrame], DataFrame]):
+    def sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        edges, vertices = _supp(spark, sf_dir)
+        return edges, vertices, rule(edges, select.degrees(edges, vertices))
+
+    return sets
+
+
+_invariants("lfmis_independent", _chosen(lambda e, d: select.greedy(e, d.select("v", F.col("deg").alias("p")))), True)
+_invariants("rootset_maximal", _chosen(lambda e, d: select.rootset(e, d)), True)
+_invariants("luby_independent", _chosen(lambda e, d: select.luby(e, d)), False)
+_invariants("block_greedy_independent", _chosen(lambda e, d: select.block_greedy(e, d)), True)
+
+#: The nation graph is almost complete, so a round takes out one vertex; part vertices of the bipartite graph give a real one.
+_ROUND = f"""{_SUPP}, sel AS (SELECT v FROM deg WHERE v >= 1000000 AND v % 10 = 3), st AS (SELECT b.u AS v, b.v AS u, w FROM b JOIN sel ON sel.v = b.u),
+  tot AS (SELECT v, sum(w) + (v % 3) AS total, (v % 3)::DOUBLE AS e FROM st GROUP BY v)"""
+
+
+def _round(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, vertices = _supp(spark, sf_dir)
+    picked = vertices.where(f"v >= {tables.PART_OFFSET} AND v % 10 = 3").select("v", (F.col("v") % 3).cast("double").alias("excess"))
+    star = eliminate.stars(edges, picked)
+    return edges, star, eliminate.totals(star, picked)
+
+
+@query(f"WITH {_ROUND} SELECT u, v, round(sum(w), 6) + 0.0 AS w FROM (SELECT x.u, y.u AS v, x.w * y.w / total AS w FROM st x JOIN st y ON x.v = y.v AND x.u < y.u JOIN tot ON tot.v = x.v) GROUP BY u, v")
+def exact_clique_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, star, total = _round(spark, sf_dir)
+    return _round6(eliminate.exact_clique(star, total).groupBy("u", "v").agg(F.sum("w").alias("w")), "w")
+
+
+@query(f"WITH {_ROUND} SELECT u AS v, round(sum(w * e / total), 6) + 0.0 AS change FROM st JOIN tot USING (v) WHERE e > 0 GROUP BY u")
+def excess_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, star, total = _round(spark, sf_dir)
+    return _round6(eliminate.excess_change(star, total), "change")
+
+
+@query(f"WITH {_ROUND} SELECT v AS col, v AS row, round(sqrt(total), 6) + 0.0 AS val FROM tot UNION ALL SELECT v, u, round(-w / sqrt(total), 6) + 0.0 FROM st JOIN tot USING (v)")
+def factor_column_round1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, star, total = _round(spark, sf_dir)
+    return _round6(eliminate.factor_columns(star, total), "val")
+
+
+@query(f"WITH {_ROUND} SELECT (sum(d) - count(*))::BIGINT AS edges FROM (SELECT count(*) AS d FROM st GROUP BY v)")
+def tree_sample_edges_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_see_package(spark)
+    _, star, total = _round(spark, sf_dir)
+    return eliminate.tree_clique(star, total).agg(F.count(F.lit(1)).alias("edges"))
+
+
+@query("SELECT l_suppkey AS u, l_partkey + 1000000 AS v, sum(l_quantity) AS w, count(*) AS mult FROM lineitem GROUP BY 1, 2")
+def coalesce_multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = tables.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + tables.PART_OFFSET).alias("u"), F.col("l_suppkey").alias("v"), F.col("l_quantity").alias("w"))
+    return eliminate.coalesce_edges(line)
+
+
+#: A factor-like table: lower triangle of the supplier-part operator with values that spread over five decades.
+_G = "g AS (SELECT u AS col, v AS row, -w / pow(10.0::DOUBLE, (v % 6)::DOUBLE) AS val FROM e UNION ALL SELECT i, i, a FROM lap WHERE i = j)"
+
+
+def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, _ = _supp(spark, sf_dir)
+    off = e.select(F.col("u").alias("col"), F.col("v").alias("row"), (-F.col("w") / F.pow(F.lit(10.0), (F.col("v") % 6).cast("double"))).alias("val"))
+    return off.unionByName(operator.laplacian(e).where("i = j").select(F.col("i").alias("col"), F.col("i").alias("row"), F.col("a").alias("val")))
+
+
+@query(f"""WITH {_SUPP}, {_G}, t AS (SELECT *, max(abs(val)) FILTER (row <> col) OVER (PARTITION BY col) AS top FROM g), k AS (SELECT *, row = col OR abs(val) >= 1e-4::DOUBLE * top AS keep FROM t),
+  s AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE val END) OVER (PARTITION BY col) AS lost, sum(CASE WHEN keep AND row <> col THEN abs(val) ELSE 0 END) OVER (PARTITION BY col) AS mass FROM k)
+  SELECT col, row, round(CASE WHEN row <> col AND mass > 0 THEN val + lost * abs(val) / mass ELSE val END, 6) + 0.0 AS val FROM s WHERE keep""")
+def factor_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round6(factor.drop_small(_g(spark, sf_dir)), "val")
+
+
+@query(f"WITH {_SUPP}, {_G} SELECT col, round(coalesce(max(abs(val)) FILTER (row <> col), 1.0), 6) + 0.0 AS scale FROM g GROUP BY col")
+def column_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round6(factor.column_scale(_g(spark, sf_dir)), "scale")
+
+
+@query(f"WITH {_SUPP}, {_G} SELECT col, row, val FROM g WHERE row < 1000500 AND col < 1000500")
+def leading_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor.leading_block(_g(spark, sf_dir), 1_000_500)
+
+
+@query(f"WITH {_SUPP}, {_G} SELECT (col % 11)::INTEGER AS level, count(DISTINCT col) AS rows, count(*) AS nnz FROM g GROUP BY 1")
+def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _g(spark, sf_dir)
+    return factor.level_histogram(g, g.where("row = col").select("col", F.col("col").alias("pos"), (F.col("col") % 11).cast("int").alias("round")).select("pos", "round"))
+
+
+@query(f"WITH {_SUPP}, {_G}, p AS (SELECT col, val AS p FROM g WHERE row = col) SELECT g.col, row, round(val / p, 6) + 0.0 AS val FROM g JOIN p ON p.col = g.col")
+def unit_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round6(factor.ldl(_g(spark, sf_dir))[0], "val")
+
+
+@query(f"WITH {_SUPP} SELECT DISTINCT i AS v, 0.0::DOUBLE AS y FROM lap")
+def spmv_ones_is_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _supp(spark, sf_dir)
+    return linalg.spmv(operator.laplacian(e), v.select("v", F.lit(1.0).alias("x"))).select("v", (F.col("y") + 0.0).alias("y"))
+
+
+@query(f"WITH {_SUPP} SELECT u AS v, sum(w)::DOUBLE AS y FROM b GROUP BY u")
+def spmv_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _supp(spark, sf_dir)
+    return linalg.spmv(operator.both_ways(e).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("a")), v.select("v", F.lit(1.0).alias("x")))
+
+
+@query(f"WITH {_SUPP} SELECT sum(w * ((u % 5) - (v % 5)) * ((u % 5) - (v % 5)))::DOUBLE AS xax FROM e")
+def quadratic_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _supp(spark, sf_dir)
+    return linalg.quadratic(operator.laplacian(e), v.select("v", (F.col("v") % 5).cast("double").alias("x")))
+
+
+@query(f"""WITH {_SUPP}, x AS (SELECT v, (v % 5)::DOUBLE AS x, ((v % 3) - 1)::DOUBLE AS b FROM deg), y AS (SELECT i AS v, sum(a * x.x) AS y FROM lap JOIN x ON x.v = lap.j GROUP BY i)
+  SELECT round(sqrt(sum((b - y) * (b - y)) / sum(b * b)), 6) AS residual FROM x JOIN y USING (v)""")
+def residual_of_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _supp(spark, sf_dir)
+    x, b = v.select("v", (F.col("v") % 5).cast("double").alias("x")), v.select("v", ((F.col("v") % 3) - 1).cast("double").alias("x"))
+    return _round6(linalg.relative_residual(operator.laplacian(e), x, b), "residual")
+
+
+@query("SELECT c_custkey AS v, round(c_acctbal - avg(c_acctbal) OVER (), 4) + 0.0 AS x FROM customer")
+def mean_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = linalg.centre(tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.col("c_acctbal").alias("x")))
+    return x.select("v", (F.round("x", 4) + 0.0).alias("x"))
+
+
+@query("SELECT n_nationkey::BIGINT AS v, ((n_nationkey * 7 + 3) % 25)::DOUBLE AS x FROM nation")
+def permute_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.nation_vertices(spark, sf_dir)
+    perm = v.select("v", ((F.col("v") * 7 + 3) % 25).alias("pos"))
+    return linalg.gather(v.select("v", F.col("v").cast("double").alias("x")), perm)
+
+
+_SPARSE = "e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), vx AS (SELECT DISTINCT u AS v FROM b)"
+_REACH = "reach AS (SELECT v, v AS root FROM vx UNION SELECT b.v, root FROM reach JOIN b ON b.u = reach.v), comp AS (SELECT v, min(root) AS component FROM reach GROUP BY v)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = tables.read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
+    e = line.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + tables.PART_OFFSET).alias("v")).distinct().withColumn("w", F.lit(1.0))
+    return e, operator.both_ways(e).select(F.col("u").alias("v")).distinct()
+
+
+@query(f"WITH RECURSIVE {_SPARSE}, {_REACH} SELECT v, component FROM comp")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(*_sparse(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_SPARSE}, {_REACH}, lap AS (SELECT u AS i, u AS j, count(*)::DOUBLE AS a FROM b GROUP BY u UNION ALL SELECT u, v, -1.0::DOUBLE FROM b), pins AS (SELECT DISTINCT component AS p FROM comp)
+  SELECT i, j, a FROM lap WHERE i NOT IN (SELECT p FROM pins) AND j NOT IN (SELECT p FROM pins) UNION ALL SELECT p, p, 1.0::DOUBLE FROM pins""")
+def dirichlet_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _sparse(spark, sf_dir)
+    return components.pin_components(operator.laplacian(e, v), components.components(e, v))
+
+
+def _grid_sql(k: str, n: int, m: int) -> str:
+    return f"""WITH c AS (SELECT range AS id, range // {m} AS r, range % {m} AS c FROM range({n * m})), q AS (SELECT id, r, c, {k} AS k FROM c)
+      SELECT a.id AS u, b.id AS v, 2.0::DOUBLE * a.k * b.k / (a.k + b.k) AS w FROM q a JOIN q b ON (b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1)"""
+
+
+@query(_grid_sql("CASE WHEN c < 12 THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END", 20, 30))
+def grid2d_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid2d(spark, 20, 30, 12, 1.0, 100.0)
+
+
+@query("""WITH c AS (SELECT range AS id, range % 6 AS x, range // 6 % 7 AS y, range // 42 AS z FROM range(336))
+  SELECT a.id AS u, b.id AS v, 2.0::DOUBLE AS w FROM c a JOIN c b ON b.id > a.id AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1""")
+def grid3d_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grid3d(spark, 6, 7, 8, 2.0)
+
+
+@query(_grid_sql("CASE WHEN (r // 4 + c // 4) % 2 = 0 THEN 1000.0::DOUBLE ELSE 1.0::DOUBLE END", 16, 20))
+def checkerboard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.checkerboard(spark, 16, 20, 4, 1000.0, 1.0)
+
+
+@query("""SELECT 'star' AS kind, 0::BIGINT AS u, range AS v, 1.0::DOUBLE AS w FROM range(1, 10) UNION ALL SELECT 'cycle', range, range + 1, 1.0::DOUBLE FROM range(19) UNION ALL SELECT 'cycle', 0, 19, 1.0::DOUBLE
+  UNION ALL SELECT 'path', range, range + 1, 1.0::DOUBLE FROM range(7)""")
+def star_cycle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [f(spark, n).withColumn("kind", F.lit(k)) for k, f, n in (("star", generators.star, 10), ("cycle", generators.cycle, 20), ("path", generators.path, 8))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT true AS simple, true AS dense_enough")
+def erdos_renyi_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_see_package(spark)
+    e = generators.erdos_renyi(spark, 2000, 0.01)
+    return e.agg((F.count_if(F.col("u") >= F.col("v")) == 0).alias("simple"), F.count(F.lit(1)).between(18_000, 22_000).alias("dense_enough"))
+
+
+@query("SELECT true AS simple, true AS dense_enough")
+def random_geometric_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = generators.random_geometric(spark, 2000, 0.05)
+    return e.agg((F.count_if(F.col("u") >= F.col("v")) == 0).alias("simple"), F.count(F.lit(1)).between(10_000, 20_000).alias("dense_enough"))
+
+
+@query("SELECT true AS mean_zero, true AS unit")
+def random_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rhs.random_zero_mean(tables.nation_vertices(spark, sf_dir))
+    return x.agg((F.abs(F.avg("x")) < 1e-14).alias("mean_zero"), (F.abs(F.sum(F.col("x") ** 2) - 1) < 1e-12).alias("unit"))
+
+
+@query("SELECT true AS sums_to_zero, true AS unit")
+def range_space_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rhs.range_space(_nation_laplacian(spark, sf_dir), tables.nation_vertices(spark, sf_dir))
+    return x.agg((F.abs(F.sum("x")) < 1e-12).alias("sums_to_zero"), (F.abs(F.sum(F.col("x") ** 2) - 1) < 1e-12).alias("unit"))
+
+
+def _balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems sold minus bought of every nation: sums to zero."""
+    p = tables.nation_pairs(spark, sf_dir)
+    net = p.select(F.col("sn").alias("v"), F.lit(1.0).alias("x")).unionByName(p.select(F.col("cn").alias("v"), F.lit(-1.0).alias("x"))).groupBy("v").agg(F.sum("x").alias("x"))
+    return tables.nation_vertices(spark, sf_dir).join(net, "v", "left").fillna(0.0, ["x"])
+
+
+def _pcg_sql(steps: int) -> str:
+    ctes = [_NATION, "bal AS (SELECT vx.v, coalesce(sum(x), 0)::DOUBLE AS x FROM vx LEFT JOIN (SELECT sn AS v, 1.0::DOUBLE AS x FROM pairs UNION ALL SELECT cn, -1.0::DOUBLE FROM pairs) t ON t.v = vx.v GROUP BY vx.v)", "dg AS (SELECT i AS v, a AS d FROM lap WHERE i = j)"]
+    ctes.append("s0 AS MATERIALIZED (SELECT v, 0.0::DOUBLE AS x, bal.x AS r, d, bal.x / d AS p FROM bal JOIN dg USING (v))")
+    for k in range(steps):
+        ctes += [
+            f"y{k} AS MATERIALIZED (SELECT s.v, any_value(s.x) AS x, any_value(s.r) AS r, any_value(s.d) AS d, any_value(s.p) AS p, sum(a * t.p) AS y FROM s{k} s JOIN lap ON lap.i = s.v JOIN s{k} t ON t.v = lap.j GROUP BY s.v)",
+            f"m{k} AS MATERIALIZED (SELECT v, x + al * p AS x, r - al * y AS r, d, p, rz FROM y{k}, (SELECT sum(r * r / d) AS rz, sum(r * r / d) / sum(p * y) AS al FROM y{k}))",
+            f"s{k + 1} AS MATERIALIZED (SELECT v, x, r, d, r / d + (SELECT sum(r * r / d) FROM m{k}) / rz * p AS p FROM m{k})",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT v, round(x, 6) + 0.0 AS x, round(r, 4) + 0.0 AS r FROM s{steps}"
+
+
+@query(_pcg_sql(3))
+def jacobi_pcg_3_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, _ = linalg.jacobi_pcg(_nation_laplacian(spark, sf_dir), _balance(spark, sf_dir), 3)
+    return x.select("v", (F.round("x", 6) + 0.0).alias("x"), (F.round("r", 4) + 0.0).alias("r"))
+
+
+@query(f"WITH {_NATION}, bal AS (SELECT vx.v, coalesce(sum(x), 0)::DOUBLE AS imbalance FROM vx LEFT JOIN (SELECT sn AS v, 1.0::DOUBLE AS x FROM pairs UNION ALL SELECT cn, -1.0::DOUBLE FROM pairs) t ON t.v = vx.v GROUP BY vx.v) SELECT n_name, imbalance, true AS settled FROM bal JOIN nation ON n_nationkey = v")
+def nation_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Potentials at which trade between nations balances: L x = sold - bought, solved to 1e-8, checked at every nation."""
+    a, b = _nation_laplacian(spark, sf_dir), _balance(spark, sf_dir)
+    got = solver.solve(a, b)
+    left = linalg.residual(a, got.x, b)
+    names = tables.read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").cast("long").alias("v"))
+    settled = (F.abs("r") <= 1e-6 * F.greatest(F.abs("x"), F.lit(1.0))) & F.lit(got.converged)
+    return b.join(left, "v").join(names, "v").select("n_name", F.col("x").alias("imbalance"), settled.alias("settled"))
+
+
+def _solved(name: str, sql: str, run: Query) -> None:
+    def safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workers_see_package(spark)
+        return run(spark, sf_dir)
+
+    safe.__name__ = name
+    query(sql)(safe)
+
+
+def _zero_sum(vertices: DataFrame) -> DataFrame:
+    return rhs.random_zero_mean(vertices)
+
+
+def _solve_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _supp(spark, sf_dir)
+    a = operator.laplacian(e)
+    got = solver.solve(a, rhs.range_space(a, v), maxiter=200)
+    return spark.createDataFrame([(got.converged,)], "converged boolean")
+
+
+def _solve_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = _sparse(spark, sf_dir)
+    a = operator.laplacian(e, v)
+    b = rhs.range_space(a, v)
+    got = solver.solve(a, b, "component")
+    return linalg.relative_residual(a, got.x, b).select((F.col("residual") < 1e-8).alias("converged"))
+
+
+def _warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _nation_laplacian(spark, sf_dir), _balance(spark, sf_dir)
+    s = solver.Solver(a)
+    x = s.solve(b, 1e-12)
+    return spark.createDataFrame([(s.solve(b, 1e-8, x0=x.x).iters, s.solve(b, maxiter=0).residual)], "iterations int, untouched double")
+
+
+def _exact_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _nation_laplacian(spark, sf_dir), _balance(spark, sf_dir)
+    got = solver.Solver(a, sampler="exact").solve(b)
+    return spark.createDataFrame([(got.iters <= 3, got.converged)], "few boolean, converged boolean")
+
+
+def _factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = generators.grid2d(spark, 20, 20)
+    fac = solver.factorize(operator.laplacian(edges), peel_below=100)
+    return spark.createDataFrame([(factor.quality(operator.laplacian(edges), fac.matrix(), fac.perm) < 0.45,)], "close boolean")
+
+
+_solved("solve_supp_part", "SELECT true AS converged", _solve_supp_part)
+_solved("solve_by_component", "SELECT true AS converged", _solve_by_component)
+_solved("warm_start_zero_iters", "SELECT 0::INTEGER AS iterations, 1.0::DOUBLE AS untouched", _warm_start)
+_solved("exact_factor_le_3_iters", "SELECT true AS few, true AS converged", _exact_factor)
+_solved("factor_quality_ok", "SELECT true AS close", _factor_quality)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)

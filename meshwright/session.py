@@ -16,3 +16,20 @@ def workers_see_package(spark: SparkSession) -> None:
     had = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in had:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *had])
+
+
+def materialise(df):
+    """Write df to the shared folder of spark.checkpoint.dir and read it back: cuts lineage, survives lost executors."""
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="meshwright-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
