@@ -10,10 +10,10 @@ element, larger sets coarser ones; sets of up to six, which differ in
 one element at most, are one segment with its one-deletion neighbourhood. A set with too few occupied segments for the
 guarantee makes the join start again with another hash.
 
-In the band of one-element segments, a set that has indexed all its infrequent elements knows which of them no other set has
-(other sets rank infrequent ones first too, so if they too have indexed all of theirs, none is hidden). Sets that link have at
-most n - o elements each that the other lacks (o: least overlap), so pairs with more of these are not looked at, which settles
-crowds that share a passage and little else, and copies with many edits.
+In the band of one-element segments, of two sets that link, the one whose index of infrequent elements ends first has at most
+n - o of these that nobody else has indexed (o: least overlap): the other has indexed all that they share there. Where both have
+indexed all their infrequent elements this holds for both. Pairs that fail it are not looked at, which settles crowds that share
+a passage and little else, and copies with many edits.
 
 Classes under one key are first compared with the key's first class, and those under crowded keys along random chains.
 Components of what links leave the pairs of classes of
@@ -114,7 +114,7 @@ def keys(s: np.ndarray, band: int, end: int, seed: int) -> tuple[np.ndarray, int
 
 def chosen(s: np.ndarray, seed: int, told: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, int, bool]:
     """The keys to index: of each band the first by (cost, key), SHARED - 1 more than H + 1. Second, where the set lies in the
-    band of one-element segments alone: how many of its elements are infrequent (their keys have bit 1), if all are indexed,
+    band of one-element segments alone: how many infrequent elements are indexed (their keys have bit 1), as -2 - number if not all are;
     else -1."""
     out, fine, rare, own = [], True, -1, bands(len(s))
     for band, end in own:
@@ -133,8 +133,8 @@ def chosen(s: np.ndarray, seed: int, told: np.ndarray, cost: np.ndarray) -> tupl
                 rest = k[~hit] if need >= free else np.partition(k[~hit], need - 1)[:need]
             else:
                 rest = k[~hit]
-            if len(own) == 1 and free <= max(need, len(rest)) and len(rest) == free:
-                rare = free
+            if len(own) == 1:
+                rare = free if len(rest) == free else -2 - len(rest)
             k = np.concatenate([common & _U(-3 & (1 << 64) - 1), rest | _U(2)])
         elif need < len(k):
             at = np.searchsorted(told, k)
@@ -250,7 +250,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple]:
         for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("key", "root", "class", "n", "alone", "viable")), strict=True)
+            yield from zip(*(b.column(c).to_pylist() for c in ("key", "root", "class", "n", "alone", "viable", "whole")), strict=True)
 
     held, size = [], 0
 
@@ -264,16 +264,19 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = list({x[1:] for x in group})
         if len(g) < 2:
             continue
-        root, cls, n, alone, viable = (np.array(x, np.int64) for x in zip(*g, strict=True))
+        root, cls, n, alone, viable, whole = (np.array(x, np.int64) for x in zip(*g, strict=True))
         if (root == root[0]).all() or not viable.any():
             continue
         order = np.argsort(n, kind="stable")
-        root, cls, n, alone, viable = root[order], cls[order], n[order], alone[order], viable[order]
+        root, cls, n, alone, viable, whole = (x[order] for x in (root, cls, n, alone, viable, whole))
         last, first = np.searchsorted(n, n * 100 // PERCENT, "right"), np.searchsorted(n, -(-n * PERCENT // 100), "left")
         for i in np.flatnonzero(viable):
             j = np.arange(first[i], last[i])
             o = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))
-            j = j[(root[j] != root[i]) & ((viable[j] == 0) | (j > i)) & ((alone[i] < 0) | (alone[j] < 0) | ((alone[i] <= n[i] - o) & (alone[j] <= n[j] - o) & (alone[i] + alone[j] <= n[i] + n[j] - 2 * o)))]
+            fits_i, fits_j = alone[i] <= n[i] - o, alone[j] <= n[j] - o
+            both = fits_i & fits_j & (alone[i] + alone[j] <= n[i] + n[j] - 2 * o)
+            mixed = np.where(whole[j] == 1, fits_i, fits_i | fits_j) if not whole[i] else np.where(whole[j] == 1, both, fits_j)
+            j = j[(root[j] != root[i]) & ((viable[j] == 0) | (j > i)) & ((alone[i] < 0) | (alone[j] < 0) | mixed)]
             if len(j):
                 held.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
                 size += len(j)
@@ -366,9 +369,10 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def candidates(counted: DataFrame, classes: DataFrame, few: int = SHARED) -> DataFrame:
     """counted(a, b, keys) -> pairs with enough keys in common (at most `few` are asked for) and sizes that allow a link."""
-    sized = counted.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("alone").alias("va")), "a").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("alone").alias("vb")), "b")
+    sized = counted.join(classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("alone").alias("va"), F.col("whole").alias("wa")), "a").join(classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("alone").alias("vb"), F.col("whole").alias("wb")), "b")
     least = f"cast(ceil({PERCENT} * (na + nb) / {100 + PERCENT}) as bigint)"
-    return sized.where(f"va < 0 OR vb < 0 OR (va <= na - {least} AND vb <= nb - {least} AND va + vb <= na + nb - 2 * {least})").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("keys") >= F.least("la", "lb", F.lit(few)))).select("a", "b")
+    a, b = f"va <= na - {least}", f"vb <= nb - {least}"
+    return sized.where(f"va < 0 OR vb < 0 OR CASE WHEN wa AND wb THEN {a} AND {b} AND va + vb <= na + nb - 2 * {least} WHEN wa THEN {b} WHEN wb THEN {a} ELSE {a} OR {b} END").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("keys") >= F.least("la", "lb", F.lit(few)))).select("a", "b")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -390,10 +394,11 @@ def join(docs: DataFrame) -> DataFrame:
         first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
     classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least")), "class")
     # elements that no other set has, where they are known; -1 elsewhere
-    met = groups.where("key <> 0").select("key", "class", "rare").distinct().groupBy("class").agg(F.max("rare").alias("rare"), F.sum(F.when(F.col("key").bitwiseAND(F.lit(3)) == 3, 1).otherwise(0)).alias("met"))
-    alone = F.when(F.coalesce("rare", F.lit(-1)) >= 0, F.col("rare") - F.col("met")).otherwise(F.lit(-1)).cast("long")
+    met = groups.where("key <> 0").select("key", "class", "rare").distinct().groupBy("class").agg(F.first("rare").alias("rare"), F.sum(F.when(F.col("key").bitwiseAND(F.lit(3)) == 3, 1).otherwise(0)).alias("met"))
+    rare = F.coalesce("rare", F.lit(-1))
+    alone = F.when(rare == -1, F.lit(-1)).otherwise(F.when(rare >= 0, rare).otherwise(-2 - rare) - F.col("met")).cast("long")
     spare = F.expr(f"n - cast(ceil({PERCENT} * (n + ceil({PERCENT} * n / 100)) / {100 + PERCENT}) as bigint)")
-    classes = cut(classes.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).drop("met", "rare"), "viable")
+    classes = cut(classes.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).withColumn("whole", rare >= 0).drop("met", "rare"), "viable")
     # only some of a pair's keys have it with their lead: that fewer than SHARED are counted here does not rule it out
     led = groups.where("class <> lead").groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     pairs = cut(candidates(led, classes, 3), "pairs")
@@ -412,7 +417,7 @@ def join(docs: DataFrame) -> DataFrame:
         done = done.unionByName(chain)
         linked = linked.unionByName(found)
         roots = components(linked)
-    labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable")
+    labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
     open_ = labelled.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root")
     more = candidates(open_.mapInArrow(_rest, "a long, b long, keys long").groupBy("a", "b").agg(F.sum("keys").alias("keys")), classes)
