@@ -48,12 +48,12 @@ def _census_sql(source: str) -> str:
       SELECT j, count(*) AS stored, count(*) FILTER (NOT isfinite(a)) AS nonfinite, count(*) FILTER (i <> j) AS offdiag, count(*) FILTER (i <> j AND a > 0) AS offdiag_pos, max(a) FILTER (i = j) AS diag,
         coalesce(sum(abs(a)) FILTER (i <> j), 0) AS mass, coalesce(sum(a) FILTER (i <> j AND a > 0), 0) AS pos FROM lap GROUP BY j
     ), s AS (
-      SELECT count(*) AS asymmetric FROM (SELECT i, j, a FROM lap WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM lap WHERE i < j) r USING (i, j)
+      SELECT count(*) AS skew FROM (SELECT i, j, a FROM lap WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM lap WHERE i < j) r USING (i, j)
       WHERE abs(coalesce(a, 0) - coalesce(t, 0)) > 1e-10 * greatest(abs(coalesce(a, 0)), abs(coalesce(t, 0)))
     )
     SELECT sum(stored)::BIGINT AS stored, sum(nonfinite)::BIGINT AS nonfinite, sum(offdiag)::BIGINT AS offdiag, sum(offdiag_pos)::BIGINT AS offdiag_pos, count(*) FILTER (diag > 0) AS diag_pos, count(*) FILTER (NOT coalesce(diag > 0, false)) AS bad_diag,
-      min(j) FILTER (NOT coalesce(diag > 0, false)) AS first_bad_diag, sum(mass)::DOUBLE AS abs_mass, sum(pos)::DOUBLE AS pos_mass, count(*) FILTER (coalesce(diag, 0) - mass < -1e-12 * coalesce(diag, 0)) AS deficient_rows,
-      count(*) FILTER (coalesce(diag, 0) - mass > 1e-12 * coalesce(diag, 0)) AS excess_rows, any_value(asymmetric) AS asymmetric FROM c, s"""
+      coalesce(min(j) FILTER (NOT coalesce(diag > 0, false)), -1)::BIGINT AS first_bad_diag, sum(mass)::DOUBLE AS abs_mass, sum(pos)::DOUBLE AS pos_mass, count(*) FILTER (coalesce(diag, 0) - mass < -1e-12 * coalesce(diag, 0)) AS deficient_rows,
+      count(*) FILTER (coalesce(diag, 0) - mass > 1e-12 * coalesce(diag, 0)) AS excess_rows, any_value(skew) AS "asymmetric" FROM c, s"""
 
 
 def _nation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -90,12 +90,12 @@ def supp_part_laplacian_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_census_sql(_NATION))
 def operator_census_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operator.census(_nation_laplacian(spark, sf_dir))
+    return operator.census(_nation_laplacian(spark, sf_dir)).fillna(-1, ["first_bad_diag"])
 
 
 @query(_census_sql(_SUPP))
 def operator_census_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operator.census(operator.laplacian(tables.supplier_part_edges(spark, sf_dir)))
+    return operator.census(operator.laplacian(tables.supplier_part_edges(spark, sf_dir))).fillna(-1, ["first_bad_diag"])
 
 
 @query(f"""WITH {_VISITS} SELECT i, j, coalesce(a, 0.0) AS lower, coalesce(t, 0.0) AS upper FROM (SELECT i, j, a FROM d WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM d WHERE i < j) r USING (i, j)
