@@ -145,16 +145,24 @@ def _bitmap(terms: DataFrame) -> bytes:
 def _counter(bitmap: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
+        counts: dict[str, int] = {}
+
+        def give() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            counts.clear()
+            return out
+
         for _, ends, data in utf8_blocks(batches):
             starts, stops, h = word_hashes(data, ends, _LETTERS)
             hit = bits[h >> np.uint64(64 - BITS)]
             starts, stops, h = starts[hit], stops[hit], h[hit]
             _, first = np.unique(np.stack([np.searchsorted(ends, starts, "right").astype(np.uint64), h]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, int))
-            counts: dict[str, int] = {}
             for k in first:
                 term = lowered(data[starts[k] : stops[k]].tobytes().decode("utf-8"))
                 counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            if len(counts) > 300_000:
+                yield give()
+        yield give()
 
     return run
 
