@@ -27,7 +27,7 @@ from meshwright.llm.common import arrow_batches, mix64, utf8_blocks
 #: A cut follows a byte whose window hash has these bits clear: about one in 1024.
 CUT_BITS = 10
 WINDOW = 16
-WORDS, CHUNKS = 600_000, 20_000
+WORDS, CHUNKS = 1_000_000, 20_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACE)] = True
