@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality_filter), ("n-gram Jaccard join", near_duplicates), ("PII", private_data), ("mixing sources", source_mix), ("BPE", tokens)]
 
-#: SQL can't express the classifier or the tokenizer; tests hold run() against a plain version.
+#: SQL can't express the classifier or the tokenizer.
 ORACLE_SQL = None
 
 
