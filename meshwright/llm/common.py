@@ -49,6 +49,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows of equal cols into one partition, for kernels that rely on it. A plain repartition by the columns of a join before it
+    is optimised away, and the join's partitions may then be split at run time where they are skewed; by a hash of them it is not."""
+    return df.repartition(F.xxhash64(*cols))
+
+
 def spread(df: DataFrame, by: list[str], order: list[str], bins: int, weight: str, before: str, place: str | None = None) -> DataFrame:
     """Running sum of weight (and rank) inside each group, without one task per group.
 

@@ -15,7 +15,11 @@ n - o of these that nobody else has indexed (o: least overlap): the other has in
 indexed all their infrequent elements this holds for both. Pairs that fail it are not looked at, which settles crowds that share
 a passage and little else, and copies with many edits.
 
-Classes under one key are first compared with the key's first class, and those under crowded keys along random chains.
+Every class also has one parity bit for each of some segments: no more segments can differ in parity than elements differ, so
+a pair with more differing bits than a link allows is ruled out exactly, without its sets. BRIEF bits go with the keys; a longer
+signature, of four bits an element or more, is asked before sets are fetched.
+
+Classes under one key are first compared with the key's first class, and those under crowded keys with one class and along a random chain.
 Components of what links leave the pairs of classes of
 one key in different components; all of these that have L keys in common and sizes that allow a link are then compared, so no
 link that matters to a component is lost. Comparisons are exact, on whole sets.
@@ -27,15 +31,13 @@ texts share a class; long texts only have larger sets; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import arrow_batches, cut, mix64, utf8_blocks, word_hashes
+from meshwright.llm.common import arrow_batches, cut, mix64, together, utf8_blocks, word_hashes
 from meshwright.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -45,8 +47,10 @@ TINY, SMALL, BAND = 7, 1024, 4
 FREQUENT, TOLD = 8, 1 << 18
 #: Keys in common that a pair must have (L), where its sets have that many to spare.
 SHARED = 5
-#: Classes of a key that make it crowded, and rounds of chains through crowded keys.
-CROWD, ROUNDS = 8, 5
+#: Classes of a key that make it crowded; of eight such keys, so many are compared with one class or chained.
+CROWD, STARS, CHAINS = 8, 1, 2
+#: Bits of the signature that goes with keys, and rows of keys looked at together.
+BRIEF, ROWS = 1024, 1 << 16
 #: Pairs of one lead that one task verifies.
 LEAD = 512
 BITS = 24
@@ -79,6 +83,27 @@ def class_of(s: np.ndarray) -> int:
     return int(np.array(mix64(np.add.reduce(mix64(s + _U(0x51ED)), keepdims=True) + _U(len(s))))[0].view(np.int64)) if len(s) else 0
 
 
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """One bit a segment (the low bits of the hash): whether the set has an odd number of elements there."""
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def signature(s: np.ndarray) -> bytes:
+    return parity(s, max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64)
+
+
+def folded(sig: np.ndarray, size: int) -> np.ndarray:
+    """The signature with `size` bytes, no longer than it is: halves of the segments joined."""
+    while len(sig) > size:
+        sig = sig[: len(sig) // 2] ^ sig[len(sig) // 2 :]
+    return sig
+
+
+def most(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
+    """How many elements two linked sets of these sizes can differ in."""
+    return n + m + 2 * (-PERCENT * (n + m) // (100 + PERCENT))
+
+
 def bands(n: int) -> list[tuple[int, int]]:
     """(number of the band, its end) for a set of n: its own, and the next if partners can lie there."""
     edges, k = [1, TINY, SMALL], 0
@@ -152,25 +177,28 @@ def _classes(seed: int):
         met: list[np.ndarray] = []
         seen: set[int] = set()
         kept = 0
+        names = ["kind", "id", "n", "class", "least", "sig", "brief"]
 
         def flush() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, np.uint64), np.zeros(0, int))
             k, n = k[n >= 3], n[n >= 3]
             met.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64)), pa.array(np.zeros(len(k), np.int32))], ["kind", "id", "n", "class", "least"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64)), pa.array(np.zeros(len(k), np.int32)), pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary())], names)
 
         for rows, ends, data in utf8_blocks(batches):
             sets = shingle_sets(data, ends)
             own = [class_of(s) for s in sets]
             least = np.zeros(len(own), np.int32)
+            sigs, briefs = [None] * len(own), [None] * len(own)
             for at, (s, c) in enumerate(zip(sets, own, strict=True)):
                 if len(s) and c not in seen:
                     seen.add(c)
+                    sigs[at], briefs[at] = signature(s), parity(s, BRIEF)
                     got = [(band, *keys(s, band, end, seed)) for band, end in bands(len(s))]
                     least[at] = min(1 + min(SHARED - 1, len(k) - need) if band else 1 for band, k, need, _ in got)
                     met += [k for band, k, _, _ in got if band]
                     kept += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(least)], ["kind", "id", "n", "class", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(least), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())], names)
             if kept > 4_000_000 or len(seen) > 1_000_000:
                 yield flush()
                 kept = 0
@@ -180,7 +208,7 @@ def _classes(seed: int):
     return run
 
 
-_CLASSES = "kind int, id long, n long, class long, least int"
+_CLASSES = "kind int, id long, n long, class long, least int, sig binary, brief binary"
 
 
 def _index(seed: int, told: np.ndarray, cost: np.ndarray):
@@ -244,14 +272,33 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (out_k, out_c, out_l)], pa.array(np.concatenate(out_r).astype(np.int32))], ["key", "class", "lead", "rare"])
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, root, class, n, alone, viable) sorted by key -> (a, b, keys): pairs of classes of one key, one of them viable, whose
-    roots differ and whose sizes allow a link, counted within the task; a row of a group meets the others at once, so no group's pairs are all held."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables of about ROWS rows that end where a key ends."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < ROWS:
+            continue
+        whole = pa.Table.from_batches(held)
+        k = whole.column("key").to_numpy()
+        end = len(k) - int(np.argmax(k[::-1] != k[-1])) if k[0] != k[-1] else 0
+        if end:
+            yield whole.slice(0, end)
+        held = whole.slice(end).combine_chunks().to_batches()
+        rows = len(k) - end
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in ("key", "root", "class", "n", "alone", "viable", "whole")), strict=True)
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BRIEF // 64)
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, root, class, n, alone, viable, whole, brief) sorted by key, n -> (a, b, keys): pairs of classes of one key, one of
+    them viable, whose roots differ and whose sizes and brief signatures allow a link, counted within the task. Each row meets the
+    one so many places on, for all rows at once, as long as the key is the same and the size fits."""
     held, size = [], 0
 
     def give() -> pa.RecordBatch:
@@ -260,26 +307,30 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, count = np.unique(mix64(a.view(np.uint64) + mix64(b.view(np.uint64))), return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(count, pa.int64())], ["a", "b", "keys"])
 
-    for _, group in groupby(rows(), key=lambda x: x[0]):
-        g = list({x[1:] for x in group})
-        if len(g) < 2:
-            continue
-        root, cls, n, alone, viable, whole = (np.array(x, np.int64) for x in zip(*g, strict=True))
-        if (root == root[0]).all() or not viable.any():
-            continue
-        order = np.argsort(n, kind="stable")
-        root, cls, n, alone, viable, whole = (x[order] for x in (root, cls, n, alone, viable, whole))
-        last, first = np.searchsorted(n, n * 100 // PERCENT, "right"), np.searchsorted(n, -(-n * PERCENT // 100), "left")
-        for i in np.flatnonzero(viable):
-            j = np.arange(first[i], last[i])
+    for rows in _whole_groups(batches):
+        key, root, cls, n, alone = (rows.column(c).to_numpy() for c in ("key", "root", "class", "n", "alone"))
+        viable, whole = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("viable", "whole"))
+        brief = _matrix(rows.column("brief"))
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[: np.searchsorted(at, len(key) - step)]
+            at = at[(key[at] == key[at + step]) & (PERCENT * n[at + step] <= 100 * n[at])]
+            i = at[(root[at] != root[at + step]) & (viable[at] | viable[at + step])]
+            j = i + step
             o = -(-PERCENT * (n[i] + n[j]) // (100 + PERCENT))
             fits_i, fits_j = alone[i] <= n[i] - o, alone[j] <= n[j] - o
             both = fits_i & fits_j & (alone[i] + alone[j] <= n[i] + n[j] - 2 * o)
-            mixed = np.where(whole[j] == 1, fits_i, fits_i | fits_j) if not whole[i] else np.where(whole[j] == 1, both, fits_j)
-            j = j[(root[j] != root[i]) & ((viable[j] == 0) | (j > i)) & ((alone[i] < 0) | (alone[j] < 0) | mixed)]
-            if len(j):
-                held.append((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])))
-                size += len(j)
+            fits = np.where(whole[i], np.where(whole[j], both, fits_j), np.where(whole[j], fits_i, fits_i | fits_j))
+            i = i[(alone[i] < 0) | (alone[j] < 0) | fits]
+            for k in range(0, len(i), 1 << 14):
+                x = i[k : k + (1 << 14)]
+                y = x + step
+                x = x[np.bitwise_count(brief[x] ^ brief[y]).sum(1, dtype=np.int64) <= most(n[x], n[y])]
+                y = x + step
+                if len(x):
+                    held.append((np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])))
+                    size += len(x)
             if size > 500_000:
                 yield give()
                 size = 0
@@ -287,19 +338,41 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def _chained(batches: Iterator[pa.RecordBatch], star: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (key, turn, root, class, n) sorted by key, turn -> (a, b): neighbours in a key's own random order, or the first
-    and each other one (star), that have different roots and sizes that allow a link."""
-    last = None
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, star, turn, class, n, brief) sorted by key, turn -> (a, b): neighbours in a key's own random order, or the first
+    and each other one (star), whose sizes and brief signatures allow a link."""
+    for rows in _whole_groups(batches):
+        key, cls, n = (rows.column(c).to_numpy() for c in ("key", "class", "n"))
+        star = rows.column("star").to_numpy(zero_copy_only=False).astype(bool)
+        brief = _matrix(rows.column("brief"))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        y = np.flatnonzero(~new)
+        x = np.where(star[y], first[y], y - 1)
+        ok = (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (cls[x] != cls[y])
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(brief[x] ^ brief[y]).sum(1, dtype=np.int64) <= most(n[x], n[y])
+        x, y = x[ok], y[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(star[y])], ["a", "b", "star"])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, sa, sb) -> (a, b) of those whose signatures allow a link."""
     for batch in batches:
-        a_out, b_out = [], []
-        for key, root, cls, n in zip(*(batch.column(c).to_pylist() for c in ("key", "root", "class", "n")), strict=True):
-            if last and last[0] == key and last[1] != root and 100 * min(n, last[3]) >= PERCENT * max(n, last[3]):
-                a_out.append(min(cls, last[2]))
-                b_out.append(max(cls, last[2]))
-            if not star or last is None or last[0] != key:
-                last = (key, root, cls, n)
-        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+        keep = []
+        sa, sb = batch.column("sa"), batch.column("sb")
+        for k, bound in enumerate(np.asarray(most(batch.column("na").to_numpy(), batch.column("nb").to_numpy())).tolist()):
+            x, y = np.frombuffer(sa[k].as_buffer(), np.uint8), np.frombuffer(sb[k].as_buffer(), np.uint8)
+            size = min(len(x), len(y))
+            keep.append(int(np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum()) <= bound)
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out."""
+    a = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
+    b = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close, "a long, b long")
 
 
 def _bitmap(classes: DataFrame) -> bytes:
@@ -363,7 +436,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD).cast("int").alias("salts")).where("salts > 1")
     dealt = rest.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     given = leads.join(many, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    both = dealt.unionByName(given).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    both = together(dealt.unionByName(given), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return both.select("a", "b", "elements").mapInArrow(_verify, "a long, b long")
 
 
@@ -375,6 +448,13 @@ def candidates(counted: DataFrame, classes: DataFrame, few: int = SHARED) -> Dat
     return sized.where(f"va < 0 OR vb < 0 OR CASE WHEN wa AND wb THEN {a} AND {b} AND va + vb <= na + nb - 2 * {least} WHEN wa THEN {b} WHEN wb THEN {a} ELSE {a} OR {b} END").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (F.col("keys") >= F.least("la", "lb", F.lit(few)))).select("a", "b")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links), class."""
     arrow_batches(docs.sparkSession)
@@ -387,12 +467,12 @@ def join(docs: DataFrame) -> DataFrame:
         order = np.argsort(told)
         told, cost = told[order], np.log2(np.maximum(np.asarray(often.column("n")), 1)).astype(np.int8)[order]
         index = texts.mapInArrow(_index(seed, told, cost), "key long, class long, rare int")
-        groups = cut(index.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_grouped, "key long, class long, lead long, rare int"), "groups")
+        groups = cut(together(index, "key").sortWithinPartitions("key", "class").mapInArrow(_grouped, "key long, class long, lead long, rare int"), "groups")
         if not groups.where("key = 0").take(1):
             break
         seed += 1
         first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
-    classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least")), "class")
+    classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least"), F.first("sig", True).alias("sig"), F.first("brief", True).alias("brief")), "class")
     # elements that no other set has, where they are known; -1 elsewhere
     met = groups.where("key <> 0").select("key", "class", "rare").distinct().groupBy("class").agg(F.first("rare").alias("rare"), F.sum(F.when(F.col("key").bitwiseAND(F.lit(3)) == 3, 1).otherwise(0)).alias("met"))
     rare = F.coalesce("rare", F.lit(-1))
@@ -401,27 +481,28 @@ def join(docs: DataFrame) -> DataFrame:
     classes = cut(classes.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).withColumn("whole", rare >= 0).drop("met", "rare"), "viable")
     # only some of a pair's keys have it with their lead: that fewer than SHARED are counted here does not rule it out
     led = groups.where("class <> lead").groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
-    pairs = cut(candidates(led, classes, 3), "pairs")
-    # keys of many classes: some rounds of chains through them join most of a large group before all its pairs are looked at
-    crowded = groups.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD).select("key")
-    hot = cut(groups.select("key", "class").distinct().where(F.shiftright("key", 2).bitwiseAND(F.lit(7)) < ROUNDS).join(crowded, "key", "left_semi").join(classes.where("viable").select("class", "n", "alone"), "class"), "hot")
-    sets = fetch(ends_of(pairs).unionByName(hot.select("class")).distinct(), docs)
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(close(candidates(led, classes, 3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes), "pairs")
+    # keys of many classes: a star and chains through them join most of a large group before all its pairs are looked at
+    turn = F.shiftright("key", 2).bitwiseAND(F.lit(7))
+    dealt = groups.select("key", "class").distinct().where(turn < STARS + CHAINS)
+    crowded = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD).select("key")
+    rows = dealt.join(crowded, "key", "left_semi").join(classes.where("viable").select("class", "n", "alone", "brief"), "class")
+    rows = rows.select("key", (turn < STARS).alias("star"), F.when(turn < STARS, F.col("alone")).otherwise(F.xxhash64("key", "class")).alias("turn"), "class", "n", "brief")
+    hot = together(rows, "key").sortWithinPartitions("key", "turn", "class").mapInArrow(_chained, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    hot = cut(hot.join(pairs, ["a", "b"], "left_anti"), "hot")
+    hot = cut(close(hot, classes).join(hot, ["a", "b"]), "close")
+    sets = fetch(ends_of(pairs.unionByName(hot.select("a", "b"))), docs)
+    pairs = pairs.unionByName(hot.where("star").select("a", "b"))
     linked = cut(verify(pairs, sets), "linked")
     roots = components(linked)
-    for turn in range(ROUNDS):
-        rows = hot.where(F.shiftright("key", 2).bitwiseAND(F.lit(7)) == turn).join(roots, F.col("class") == F.col("node"), "left").select("key", (F.col("alone") if turn == 0 else F.xxhash64("key", "class")).alias("turn"), F.coalesce("root", "class").alias("root"), "class", "n")
-        chain = rows.repartition("key").sortWithinPartitions("key", "turn", "class").mapInArrow(partial(_chained, star=turn == 0), "a long, b long").distinct()
-        chain = cut(chain.join(done, ["a", "b"], "left_anti"), "chain")
-        found = cut(verify(chain, sets), "linked")
-        done = done.unionByName(chain)
-        linked = linked.unionByName(found)
-        roots = components(linked)
-    labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole")
+    chain = apart(hot.where("NOT star").select("a", "b"), roots)
+    linked = cut(linked.unionByName(verify(chain, sets)), "linked")
+    roots = components(linked)
+    labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole", "brief"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole", "brief")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
-    open_ = labelled.join(several, "key", "left_semi").repartition("key").sortWithinPartitions("key", "root")
+    open_ = together(labelled.join(several, "key", "left_semi"), "key").sortWithinPartitions("key", "n", "class")
     more = candidates(open_.mapInArrow(_rest, "a long, b long, keys long").groupBy("a", "b").agg(F.sum("keys").alias("keys")), classes)
-    more = cut(more.join(done, ["a", "b"], "left_anti"), "rest")
+    more = cut(close(more.join(pairs.unionByName(chain), ["a", "b"], "left_anti"), classes), "rest")
     if more.take(1):
         linked = linked.unionByName(cut(verify(more, fetch(ends_of(more), docs)), "linked"))
     named = linked.join(classes.select(F.col("class").alias("a"), F.col("doc").alias("da")), "a").join(classes.select(F.col("class").alias("b"), F.col("doc").alias("db")), "b")
