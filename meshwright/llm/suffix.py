@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import arrow_batches, cut, mix64, utf8_blocks
+from meshwright.llm.common import arrow_batches, cut, mix64, together, utf8_blocks
 
 LENGTH, Q = 200, 64
 #: Starts that one suffix can stand for.
@@ -312,7 +312,7 @@ def covered(docs: DataFrame, base: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("text")
     rows = texts.mapInArrow(_suffixes, "gram long, whole long, key long, packed long")
-    shared = cut(rows.repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(_shared, "gram long, whole long, key long, packed long, same boolean"), "shared")
+    shared = cut(together(rows, "gram").sortWithinPartitions("gram", "whole").mapInArrow(_shared, "gram long, whole long, key long, packed long, same boolean"), "shared")
     place, front, back = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
     whole = shared.where("same").select("key", (place - front).alias("start"), (place - back + LENGTH).alias("stop"))
     mixed = shared.where("NOT same")
@@ -325,13 +325,13 @@ def covered(docs: DataFrame, base: DataFrame) -> DataFrame:
     found = "gram long, whole long, near int, far int"
     if large.take(1):
         windows = cut(windows, "windows")
-        few = windows.join(large, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram", "whole")
+        few = together(windows.join(large, "gram", "left_anti"), "gram").sortWithinPartitions("gram", "whole")
         each = windows.join(large, "gram", "left_semi").dropDuplicates(["gram", "whole"]).mapInArrow(_each, "string long, gram long, whole long, near int")
         often = each.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
         more = each.join(often, "string").select("gram", "whole", "near", F.col("near").alias("far"))
         ranges = few.mapInArrow(_refined, found).unionByName(more)
     else:
-        ranges = windows.repartition("gram").sortWithinPartitions("gram", "whole").mapInArrow(_refined, found)
+        ranges = together(windows, "gram").sortWithinPartitions("gram", "whole").mapInArrow(_refined, found)
     edges = mixed.join(ranges, ["gram", "whole"]).select("key", (place - F.col("far")).alias("start"), (place - F.col("near") + LENGTH).alias("stop"))
     return whole.unionByName(edges)
 
