@@ -49,6 +49,8 @@ FREQUENT, TOLD = 8, 1 << 18
 SHARED = 5
 #: Classes of a key that make it crowded; of eight such keys, so many are compared with one class or chained.
 CROWD, STARS, CHAINS = 8, 1, 2
+#: Keys that a task packs together, and that a bucket is to hold; key of notes.
+PACK, BUCKET, NOTE = 1 << 20, 1 << 19, -1
 #: Bits of the signature that goes with keys, and rows of keys looked at together.
 BRIEF, ROWS = 1024, 1 << 16
 #: Pairs of one lead that one task verifies.
@@ -211,65 +213,85 @@ def _classes(seed: int):
 _CLASSES = "kind int, id long, n long, class long, least int, sig binary, brief binary"
 
 
-def _index(seed: int, told: np.ndarray, cost: np.ndarray):
+def _packed(buckets: int, k: np.ndarray, c: np.ndarray, note: bool) -> pa.RecordBatch:
+    """Keys and their classes, or classes and notes on them, as one row a bucket."""
+    bucket = (mix64(k) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    k, c, bucket = k[order], c[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    ends = pa.py_buffer((np.concatenate([first, [len(k)]]) * 8).astype(np.int32))
+    blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x)]) for x in (k, c)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *blobs, pa.array(np.full(len(first), note))], ["bucket", "keys", "classes", "note"])
+
+
+def _index(seed: int, told: np.ndarray, cost: np.ndarray, buckets: int):
+    """Texts -> packed keys, and as notes what `chosen` says of infrequent elements."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ks, cs, notes, size = [], [], [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            yield _packed(buckets, np.concatenate(ks), np.concatenate(cs), False)
+            own = np.array(notes, np.int64)
+            yield _packed(buckets, np.ascontiguousarray(own[:, 0]).view(np.uint64), np.ascontiguousarray(own[:, 1]), True)
+            for x in (ks, cs, notes):
+                x.clear()
+
         for _, ends, data in utf8_blocks(batches):
-            ks, cs, rs = [], [], []
             for s in shingle_sets(data, ends):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     k, rare, fine = chosen(s, seed, told, cost)
                     ks.append(k if fine else np.concatenate([k, [_U(0)]]))
                     cs.append(np.full(len(ks[-1]), c, np.int64))
-                    rs.append(np.full(len(ks[-1]), rare, np.int32))
+                    size += len(ks[-1])
+                    notes.append((c, rare))
             if len(seen) > 1_000_000:
                 seen.clear()
-            if ks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(rs))], ["key", "class", "rare"])
+            if size > PACK:
+                yield from give()
+                size = 0
+        if ks:
+            yield from give()
 
     return run
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and class -> those of keys with two classes or more, with the key's first class. Key 0 marks sets
-    without the guarantee and always passes."""
-    key, lead, lead_rare, last, open_ = None, None, -1, None, False
+    """Packed rows sorted by bucket -> (key, class, lead) of keys with two classes or more; lead: the key's first class. Key 0
+    marks sets without the guarantee and always passes. Notes come out with key NOTE and themselves as lead."""
+
+    def give() -> pa.RecordBatch:
+        k, c = np.frombuffer(b"".join(ks), np.uint64), np.frombuffer(b"".join(cs), np.int64)
+        order = np.argsort(k)
+        k, c = k[order], c[order]
+        again = np.concatenate([[False], k[1:] == k[:-1]])
+        some = again[: len(k)] | np.concatenate([again[1:], [False]])[: len(k)] | (k == 0)
+        k, c = k[some], c[some]
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])[: len(k)]
+        k, c = k[once], c[once]
+        new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+        lead = c[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        more = ~new | np.concatenate([~new[1:], [False]])[: len(k)] | (k == 0)
+        about, said = (np.frombuffer(b"".join(x), np.int64) for x in (nk, nc))
+        out = zip((k.view(np.int64)[more], c[more], lead[more]), (np.full(len(about), NOTE), about, said), strict=True)
+        for x in (ks, cs, nk, nc):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "class", "lead"])
+
+    at, ks, cs, nk, nc = None, [], [], [], []
     for batch in batches:
-        k, c, r = (np.asarray(batch.column(x)) for x in ("key", "class", "rare"))
-        if not len(k):
-            continue
-        new = np.concatenate([[k[0] != key], k[1:] != k[:-1]])
-        again = np.concatenate([[k[0] == key and c[0] == last], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-        leads = np.where(at >= 0, c[np.maximum(at, 0)], 0 if lead is None else lead)
-        more = (~new & ~again) | (k == 0)
-        # the first class of a group is given once, when its second comes
-        heads = np.flatnonzero(more & (leads != c))
-        firsts = np.unique(at[heads])
-        firsts = firsts[firsts >= 0]
-        out_k, out_c, out_l, out_r = [k[heads]], [c[heads]], [leads[heads]], [r[heads]]
-        out_k.append(k[firsts])
-        out_c.append(c[firsts])
-        out_l.append(c[firsts])
-        out_r.append(r[firsts])
-        if len(heads) and (at[heads] < 0).any() and not open_:
-            out_k.append(np.array([key]))
-            out_c.append(np.array([lead]))
-            out_l.append(np.array([lead]))
-            out_r.append(np.array([lead_rare]))
-        if (k == 0).any():
-            z = k == 0
-            out_k.append(k[z])
-            out_c.append(c[z])
-            out_l.append(c[z])
-            out_r.append(r[z])
-        tail = at[-1]
-        open_ = bool((more & (leads != c) & (at == tail)).any()) or (tail < 0 and open_)
-        if tail >= 0:
-            lead, lead_rare = c[tail], r[tail]
-        key, last = k[-1], c[-1]
-        yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (out_k, out_c, out_l)], pa.array(np.concatenate(out_r).astype(np.int32))], ["key", "class", "lead", "rare"])
+        for bucket, k, c, note in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "classes", "note")), strict=True):
+            if bucket != at and at is not None:
+                yield give()
+            at = bucket
+            (nk if note else ks).append(k)
+            (nc if note else cs).append(c)
+    if at is not None:
+        yield give()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -461,20 +483,24 @@ def join(docs: DataFrame) -> DataFrame:
     seed, texts = 0, docs.select("text")
     first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
     base = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class")
+    elements = base.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // BUCKET)
     while True:
         often = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "id").limit(TOLD).toArrow()
         told = np.asarray(often.column("id")).view(np.uint64)
         order = np.argsort(told)
         told, cost = told[order], np.log2(np.maximum(np.asarray(often.column("n")), 1)).astype(np.int8)[order]
-        index = texts.mapInArrow(_index(seed, told, cost), "key long, class long, rare int")
-        groups = cut(together(index, "key").sortWithinPartitions("key", "class").mapInArrow(_grouped, "key long, class long, lead long, rare int"), "groups")
-        if not groups.where("key = 0").take(1):
+        index = texts.mapInArrow(_index(seed, told, cost, buckets), "bucket int, keys binary, classes binary, note boolean")
+        table = cut(together(index, "bucket").sortWithinPartitions("bucket").mapInArrow(_grouped, "key long, class long, lead long"), "groups")
+        if not table.where("key = 0").take(1):
             break
         seed += 1
         first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
     classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least"), F.first("sig", True).alias("sig"), F.first("brief", True).alias("brief")), "class")
     # elements that no other set has, where they are known; -1 elsewhere
-    met = groups.where("key <> 0").select("key", "class", "rare").distinct().groupBy("class").agg(F.first("rare").alias("rare"), F.sum(F.when(F.col("key").bitwiseAND(F.lit(3)) == 3, 1).otherwise(0)).alias("met"))
+    groups = table.where(F.col("key") != NOTE)
+    one = F.when(F.col("key") == NOTE, 0).otherwise((F.col("key").bitwiseAND(F.lit(3)) == 3).cast("int"))
+    met = table.groupBy("class").agg(F.max(F.when(F.col("key") == NOTE, F.col("lead"))).alias("rare"), F.sum(one).alias("met"))
     rare = F.coalesce("rare", F.lit(-1))
     alone = F.when(rare == -1, F.lit(-1)).otherwise(F.when(rare >= 0, rare).otherwise(-2 - rare) - F.col("met")).cast("long")
     spare = F.expr(f"n - cast(ceil({PERCENT} * (n + ceil({PERCENT} * n / 100)) / {100 + PERCENT}) as bigint)")
@@ -484,7 +510,7 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = cut(close(candidates(led, classes, 3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes), "pairs")
     # keys of many classes: a star and chains through them join most of a large group before all its pairs are looked at
     turn = F.shiftright("key", 2).bitwiseAND(F.lit(7))
-    dealt = groups.select("key", "class").distinct().where(turn < STARS + CHAINS)
+    dealt = groups.select("key", "class").where(turn < STARS + CHAINS)
     crowded = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD).select("key")
     rows = dealt.join(crowded, "key", "left_semi").join(classes.where("viable").select("class", "n", "alone", "brief"), "class")
     rows = rows.select("key", (turn < STARS).alias("star"), F.when(turn < STARS, F.col("alone")).otherwise(F.xxhash64("key", "class")).alias("turn"), "class", "n", "brief")
