@@ -50,7 +50,7 @@ SHARED = 5
 #: Classes of a key that make it crowded; of eight such keys, so many are compared with one class or chained.
 CROWD, STARS, CHAINS = 8, 1, 2
 #: Keys that a task packs together, and that a bucket is to hold; key of notes.
-PACK, BUCKET, NOTE = 1 << 20, 1 << 19, -1
+PACK, BUCKET, NOTE = 1 << 17, 1 << 19, -1
 #: Bits of the signature that goes with keys, and rows of keys looked at together.
 BRIEF, ROWS = 1024, 1 << 16
 #: Pairs of one lead that one task verifies.
