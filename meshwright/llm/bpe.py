@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from meshwright.llm.common import arrow_batches, mix64, utf8_blocks
+from meshwright.llm.common import HELD, arrow_batches, mix64, utf8_blocks
 
 #: A cut follows a byte whose window hash has these bits clear: about one in 1024.
 CUT_BITS = 10
@@ -186,6 +186,7 @@ def place_cuts(data: np.ndarray, ends: np.ndarray) -> list[tuple[list[int], list
 
 
 _codecs: dict[str, Codec] = {}
+HELD.append(_codecs)
 
 
 def codec(path: str) -> Codec:
@@ -203,7 +204,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for rows, ends, data in utf8_blocks(batches):
+        for rows, ends, data in utf8_blocks(batches, held=True):
             counts, ids, back = [], [], []
             own.learn_block(data, ends)
             for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), place_cuts(data, ends), strict=True):
@@ -222,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for rows, ends, data in utf8_blocks(batches):
+        for rows, ends, data in utf8_blocks(batches, held=True):
             own.learn_block(data, ends)
             got = [own.encode(data[a:b].tobytes(), *where) for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), place_cuts(data, ends), strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([list(map(int, x.split())) for x, _ in got], pa.list_(pa.int32())), pa.array([y.decode() for _, y in got], pa.string())], ["doc_id", "ids", "decoded"])

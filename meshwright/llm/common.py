@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,8 +79,28 @@ def spread(df: DataFrame, by: list[str], order: list[str], bins: int, weight: st
     return joined if place else joined.drop("_place")
 
 
-def utf8_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut to about limit bytes of text: (rows, offsets, bytes). Null texts are empty."""
+#: Tables that operators keep in a worker from task to task; the next other operator's task lets go of them.
+HELD: list[dict] = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what one keeps counts for its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def utf8_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, held: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut to about limit bytes of text: (rows, offsets, bytes). Null texts are empty. held: the operator uses tables in
+    HELD; others let go of them."""
+    if not held:
+        for tables in HELD:
+            tables.clear()
+    yield from _blocks(batches, column, limit)
+    give_back()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         if not batch.num_rows:
             continue
