@@ -45,7 +45,7 @@ def text_view(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for k in range(n):
         text = data[ends[k] : ends[k + 1]].tobytes()
         lines = text.split(b"\n")
-        words = text.split(None, 2000)[:2000]
+        words = text.split()
         shape[k] = (len(set(lines)) / len(lines), len(text) / len(lines) / 500, len(set(words)) / max(1, len(words)), len(text) / max(1, text.count(b" ") + len(lines)) / 10, np.log1p(len(text)) / 10, text.count(b". ") * 20 / max(1, len(text)), 1.0)
     return np.concatenate([np.sqrt(ones), np.sqrt(twos), shape], 1)
 

@@ -207,6 +207,13 @@ def test_quality(spark):
     assert quality.kept(docs, labels).columns == docs.columns
 
 
+def test_quality_reads_words_to_the_end():
+    late = " ".join([*(f"w{k}" for k in range(2000)), *["again"] * 3000])
+    data = np.frombuffer(f"{late}a b a".encode(), np.uint8)
+    shares = quality.text_view(data, np.array([0, len(late), len(data)]))[:, -5]
+    assert shares.tolist() == [2001 / 5000, 2 / 3]
+
+
 def test_empty_tables(spark):
     docs = _docs(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
