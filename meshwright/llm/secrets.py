@@ -1,9 +1,11 @@
 """Secret scans (operator 1): base patterns plus a character convolutional network in numpy.
 
-Base findings (assignments, access keys, hex runs) are always kept. The network reads each further candidate (a run of secret
-characters with a digit among them) with its surrounding context, and adds those whose calibrated score reaches a threshold
-that keeps a set share of the labelled findings. It is trained on the driver on labelled findings of fixed rules: a seeded
-generator writes secrets of several shapes and harmless look-alikes (versions, dates, paths, addresses, numbers) into context.
+Base findings (assignments, access keys, hex runs) are always kept. The network reads each run of secret characters of at
+least 16 that does not lie in base findings as a whole, with its surrounding context: its view starts at every character that
+leaves it full, and the highest score counts. Runs whose calibrated score reaches a threshold that keeps a set share of the
+labelled findings (with digits, without, longer than the view) are added. It is trained on the driver on labelled findings of fixed rules: a seeded generator writes secrets
+of several shapes, with and without digits, and harmless look-alikes (versions, dates, paths, addresses, numbers, words) into
+context, and secrets behind paths into longer runs.
 
 Edge cases: a null text is empty; offsets are code points of the whole text, however long; overlapping kinds are all reported;
 repeated rows give repeated rows, an empty table an empty result, and extra columns are ignored.
@@ -30,7 +32,7 @@ _NAMES = "|".join([_either("password"), _either("passwd"), _either("secret"), _e
 ASSIGN = re.compile(rf"""(?:{_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]{0,63}[0-9])[A-Za-z0-9+/_.=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 
 #: Alphabet of the network: characters outside of it share one place.
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-:\"' \n,;@()<>#$%&!?"
@@ -66,6 +68,25 @@ def codes(text: str, a: int, b: int) -> np.ndarray:
     return row
 
 
+def spread_codes(text: str, a: int, b: int) -> np.ndarray:
+    """A run of INSIDE or more: WIDTH codes from k on are what codes() gives for the INSIDE characters from a + k on."""
+    row = np.zeros(BEFORE + b - a + AFTER, np.int64)
+    front = text[max(0, a - BEFORE) : a]
+    raw = np.frombuffer((front + text[a : b + AFTER]).encode("latin-1", "replace"), np.uint8)
+    row[BEFORE - len(front) : BEFORE - len(front) + len(raw)] = _CODE[raw]
+    return row
+
+
+def _highest(h: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Maximum of h[k : k + width] for the first n k."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h = np.maximum(h[:-step], h[step:])
+        have += step
+    return h[:n]
+
+
 class CharNet:
     """Embedding, one convolution with ReLU, maximum over three zones (before, inside, after), logistic output."""
 
@@ -87,9 +108,34 @@ class CharNet:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[k : k + 256])[3] for k in range(0, len(x), 256)]) if len(x) else np.zeros(0)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def slide(self, row: np.ndarray, part: int = 8192) -> np.ndarray:
+        """Logits of the view at every position of a row of codes; each position is convolved once."""
+        out = []
+        for k in range(0, len(row) - WIDTH + 1, part):
+            x = row[k : k + part + WIDTH - 1]
+            e, n = self.p["e"][x], len(x) - WIDTH + 1
+            wide = np.concatenate([e[t : len(x) - TAPS + 1 + t] for t in range(TAPS)], 1)
+            h = np.maximum(wide @ self.p["k"] + self.p["b"], 0)
+            out.append(np.concatenate([_highest(h[a:], b - a, n) for a, b in self.zones], 1) @ self.p["w"] + self.p["c"])
+        return np.concatenate(out)
+
+    def runs(self, found: list[tuple[str, int, int]]) -> np.ndarray:
+        """Logit of each run: the highest of all positions of the view."""
+        z = np.zeros(len(found))
+        short = [k for k, (_, a, b) in enumerate(found) if b - a <= INSIDE]
+        for k in range(0, len(short), 4096):
+            z[short[k : k + 4096]] = self.logits(np.stack([codes(*found[i]) for i in short[k : k + 4096]]))
+        for k, (text, a, b) in enumerate(found):
+            if b - a > INSIDE:
+                z[k] = self.slide(spread_codes(text, a, b)).max()
+        return z
+
+    def sure(self, z: np.ndarray) -> np.ndarray:
         """Calibrated probability of a secret."""
-        return 1 / (1 + np.exp(-(self.scale * self.logits(x) + self.shift)))
+        return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.sure(self.logits(x))
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = 3) -> None:
         r, m = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -119,67 +165,109 @@ class CharNet:
                     b += 0.001 * (g[k] ** 2 - b)
                     v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling on held-out rows; the threshold is the highest that keeps `recall` of the findings, at least 0.5."""
-        z = self.logits(x)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, group: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling on logits of held-out runs; the threshold is the highest that keeps `recall` of the findings of each group."""
         for _ in range(200):
             d = 1 / (1 + np.exp(-(self.scale * z + self.shift))) - y
             self.scale -= 0.1 * float((d * z).mean() + 0.01 * (self.scale - 1))
             self.shift -= 0.1 * float(d.mean())
-        found = np.sort(self.score(x[y == 1]))
-        self.threshold = float(max(0.5, found[int((1 - recall) * len(found))]))
+        found = [np.sort(self.sure(z[(y == 1) & (group == g)])) for g in np.unique(group[y == 1])]
+        self.threshold = float(min(p[int((1 - recall) * len(p))] for p in found))
 
 
-def labelled(n: int = 4000, seed: int = 11) -> tuple[list[tuple[str, int, int]], np.ndarray]:
-    """Labelled findings: (text, start, end) and 1 for secrets, 0 for look-alikes, from fixed shapes and a seed."""
-    r = random.Random(seed)
+def shapes(r: random.Random):
+    """Writers of a word, of secrets and of harmless look-alikes."""
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     up, low, dig = string.ascii_uppercase, string.ascii_lowercase, string.digits
     word = lambda: pick(low, r.randint(2, 9))
     secret = [
         lambda: pick("0123456789abcdef", r.choice((32, 40, 64))), lambda: "AKIA" + pick(up + dig, 16), lambda: "ghp_" + pick(up + low + dig, 36), lambda: "sk_live_" + pick(up + low + dig, 24),
         lambda: pick(up + low + dig + "+/", r.choice((27, 39, 43))) + "=", lambda: "xoxb-" + pick(dig, 11) + "-" + pick(up + low + dig, 24), lambda: "AIza" + pick(up + low + dig + "_-", 35), lambda: pick(up + low + dig, r.randint(20, 44)),
+        lambda: pick(up + low, r.randint(20, 44)), lambda: "ghp_" + pick(up + low, 36), lambda: "sk_live_" + pick(up + low, 24), lambda: pick(up + low + "+/", r.choice((27, 39, 43))) + "=",
         lambda: "eyJ" + pick(up + low + dig, 20) + "." + pick(up + low + dig, 24) + "." + pick(up + low + dig + "_-", 30),
     ]
     harmless = [
         lambda: f"{word()}-{word()}-{word()}-{r.randint(1, 2030)}", lambda: f"20{pick(dig, 2)}-{pick(dig, 2)}-{pick(dig, 2)}_{word()}_{word()}", lambda: pick(dig, r.randint(16, 24)), lambda: "/".join([word(), word(), word() + pick(dig, 1), word() + ".html"]),
         lambda: f"mail{pick(dig, 1)}.{word()}.{word()}.example.com", lambda: f"{word()}_{word()}_{word()}_v{r.randint(1, 20)}.{r.randint(0, 9)}.{r.randint(0, 9)}", lambda: "=" * r.randint(8, 20) + pick(dig, 1) + "=" * 9, lambda: f"{word()}{word()}{word()}{word()}{pick(dig, 1)}", lambda: ".".join(pick(dig, r.randint(2, 3)) for _ in range(6)),
+        lambda: "".join(word() for _ in range(4)), lambda: (word() + word() + word()).upper(), lambda: (word() + word() + word()).capitalize() + ".", lambda: "".join(word().capitalize() for _ in range(4)), lambda: "_".join(word().upper() for _ in range(4)),
+        lambda: "/".join(word() for _ in range(5)), lambda: ".".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(4)), lambda: r.choice("=-_.") * r.randint(16, 60),
     ]
-    lead = ["key = ", "key: ", "auth=", "bearer ", "pwd=", "credential: '", "", "", "Authorization: "]
+    return word, secret, harmless
+
+
+_LEAD = ["key = ", "key: ", "auth=", "bearer ", "pwd=", "credential: '", "", "", "Authorization: "]
+
+
+def labelled(n: int = 4000, seed: int = 11) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Labelled findings: (text, start, end) and 1 for secrets, 0 for look-alikes, from fixed shapes and a seed."""
+    r = random.Random(seed)
+    word, secret, harmless = shapes(r)
     rows, y = [], []
     for k in range(n):
         hot = k % 2
         body = r.choice(secret if hot else harmless)()
-        if not CANDIDATE.fullmatch(body):
-            body = body + pick(low, 16) + "1"
-        front = " ".join(word() for _ in range(4)) + r.choice(" \n") + (r.choice(lead) if r.random() < (0.7 if hot else 0.3) else "")
+        while len(body) < 16:
+            body += "_" + word()
+        front = " ".join(word() for _ in range(4)) + r.choice(" \n") + (r.choice(_LEAD) if r.random() < (0.7 if hot else 0.3) else "")
         rows.append((front + body + r.choice(["\n", " ", "'", '"', ". "]) + word(), len(front), len(front) + len(body)))
         y.append(hot)
     return rows, np.array(y, float)
 
 
+def labelled_runs(n: int = 2000, seed: int = 13) -> tuple[list[tuple[str, int, int]], np.ndarray, list[int]]:
+    """Labelled runs longer than the view, as `labelled` gives them, and where to look: at the secret, or anywhere."""
+    r = random.Random(seed)
+    word, secret, harmless = shapes(r)
+    rows, y, at = [], [], []
+    for k in range(n):
+        hot, front, path = k % 2, " ".join(word() for _ in range(4)) + " ", ""
+        for _ in range(r.randint(1, 4)):
+            path += r.choice(harmless)() + r.choice("/=.-_")
+        while len(path) <= INSIDE:
+            path += word() + "/"
+        body = path + (r.choice(secret)() if hot else word())
+        rows.append((front + body + r.choice(["\n", " ", "'", '"']) + word(), len(front), len(front) + len(body)))
+        y.append(hot)
+        at.append(len(front) + (min(len(path), len(body) - INSIDE) if hot else r.randint(0, len(body) - INSIDE)))
+    return rows, np.array(y, float), at
+
+
+def as_run(text: str, a: int, b: int) -> tuple[str, int, int]:
+    """The run that a labelled finding is read in: "auth=" in front of it, for one, belongs to it."""
+    return next(((text, x, z) for x, z in candidates(text) if x <= a and b <= z), (text, a, b))
+
+
 @lru_cache(maxsize=1)
 def trained(n: int = 4000) -> CharNet:
     rows, y = labelled(n)
-    x = np.stack([codes(*row) for row in rows])
+    long, long_y, at = labelled_runs(n // 2)
+    x = np.stack([codes(*row) for row in rows] + [codes(text, a, a + INSIDE) for (text, _, _), a in zip(long, at, strict=True)])
+    every, y = [as_run(*row) for row in rows + long], np.concatenate([y, long_y])
     held = np.arange(len(y)) % 8 >= 6
     net = CharNet()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
+    wider = [k for k, row in enumerate(rows) if every[k] != row and not held[k]]
+    net.fit(np.concatenate([x[~held], np.stack([codes(*every[k]) for k in wider])]), np.concatenate([y[~held], y[wider]]))
+    kept = [row for row, h in zip(every, held, strict=True) if h]
+    group = np.array([2 if b - a > INSIDE else int(any(c.isdigit() for c in text[a:b])) for text, a, b in kept])
+    net.calibrate(net.runs(kept), y[held], group)
     return net
 
 
+def _covered(a: int, b: int, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether spans (start, kind, end), by start, hold all of a to b."""
+    for x, _, z in spans:
+        if x <= a < z:
+            a = z
+    return a >= b
+
+
 def find(texts: list[str], net: CharNet) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text: base spans and all spans, (start, kind, end)."""
-    base, asked, views = [base_spans(t) for t in texts], [], []
-    for k, t in enumerate(texts):
-        for a, b in candidates(t):
-            if not any(x < b and a < z for x, _, z in base[k]):
-                asked.append((k, a, b))
-                views.append(codes(t, a, b))
+    base = [base_spans(t) for t in texts]
+    asked = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t) if not _covered(a, b, base[k])]
     every = [list(x) for x in base]
-    if views:
-        for (k, a, b), p in zip(asked, net.score(np.stack(views)), strict=True):
+    if asked:
+        for (k, a, b), p in zip(asked, net.sure(net.runs([(texts[k], a, b) for k, a, b in asked])), strict=True):
             if p >= net.threshold:
                 every[k].append((a, 3, b))
     return [(x, sorted(e)) for x, e in zip(base, every, strict=True)]

@@ -45,6 +45,19 @@ def test_secrets(spark, texts):
     assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.05
 
 
+def test_secrets_in_whole_runs():
+    net, key = secrets.trained(), "Zk3vQ9xT7bWm2LpR8sYd5GnH4jKc"
+    path = "/".join(["usr", "local", "share", "settings", "common", "storage", "folder", "archive"])
+    texts = [f"see {path}/{key} end", f"see {'0123456789abcdef' * 2}/{key} end", f"see {path} end", "a" * 3000]
+    for (base, every), t, want in zip(secrets.find(texts, net), texts, [f"{path}/{key}", f"{'0123456789abcdef' * 2}/{key}", None, None], strict=True):
+        assert [t[a:b] for a, k, b in every if k == 3] == ([want] if want else []) and set(base) <= set(every)
+    x = np.lib.stride_tricks.sliding_window_view(secrets.spread_codes(texts[0], 4, len(texts[0]) - 4), secrets.WIDTH)
+    assert np.abs(net.logits(x) - net.slide(secrets.spread_codes(texts[0], 4, len(texts[0]) - 4), 7)).max() < 1e-9
+    rows, y = secrets.labelled(800, 77)
+    free = [row for row, hot in zip(rows, y, strict=True) if hot and not re.search("[0-9]", row[0][row[1] : row[2]])]
+    assert free and np.mean([any(k == 3 and x <= a and b <= z for x, k, z in every) for (_, a, b), (_, every) in zip(free, secrets.find([x[0] for x in free], net), strict=True)]) > 0.9
+
+
 def test_pii(spark, texts):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for t in ["a@b.c@d.e", "@a.b@c.d", "x" * 200 + "@q.r.s a@b", "..@a.b", "a@b..c@d.e.f@g.h"]:
