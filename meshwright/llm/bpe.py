@@ -129,41 +129,57 @@ class Codec:
         while True:
             left, right = _word_before(text, a), _word_after(text, b)
             three = (text[left:a], text[a:b], text[b:right])
-            if b - a > 256 or three in self.agreed:
+            if three in self.agreed:
                 return a, b
             if self._ids(text[left:right]) == sum(map(self._ids, three), []):
                 if len(self.agreed) > WORDS:
                     self.agreed.clear()
-                self.agreed.add(three)
+                if right - left <= 1024:
+                    self.agreed.add(three)
                 return a, b
             a, b = left, right
 
     def encode(self, text: bytes, cuts: list[int], firsts: list[int], lasts: list[int]) -> tuple[bytes, bytes]:
         """cuts: chunk starts after the first; firsts, lasts: first white space at or after each cut, last one before it."""
-        out, done = [], 0
+        spans, done = [], 0  # (start, stop, whether a chunk)
         for a, b in zip(lasts, firsts, strict=True):
             if a <= done:  # no white space since the last joint: this cut is inside it
                 continue
             a, b = self._joint(text, a, b)
+            while a < done:  # widened into what came before: a joint there is one with this one, a chunk ends earlier
+                done, _, chunk = spans.pop()
+                a, b = self._joint(text, a if chunk else min(a, done), b)
             if a > done:
-                out.append(self._chunk(text[done:a]))
-            out.append(self._piece(text[a:b]))
+                spans.append((done, a, True))
+            spans.append((a, b, False))
             done = b
         if done < len(text):
-            out.append(self._chunk(text[done:]))
+            spans.append((done, len(text), True))
+        out = [self._chunk(text[a:b]) if chunk else self._piece(text[a:b]) for a, b, chunk in spans]
         ids, back = zip(*out, strict=True) if out else ((), ())
         return b" ".join(filter(None, ids)), b" ".join(filter(None, back))
 
 
 def _word_before(text: bytes, at: int) -> int:
-    head = text[max(0, at - 256) : at].rstrip(_SPACE)
-    return max(0, at - 256) + max(head.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1 if head else at
+    reach = 256
+    while True:
+        low = max(0, at - reach)
+        head = text[low:at].rstrip(_SPACE)
+        space = max(head.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if space >= 0 or low == 0:
+            return low + space + 1 if head else at
+        reach *= 2
 
 
 def _word_after(text: bytes, at: int) -> int:
-    tail = text[at : at + 256]
-    body = tail.lstrip(_SPACE)
-    return at + len(tail) - len(body) + len(body.split(None, 1)[0]) if body else at
+    reach = 256
+    while True:
+        tail = text[at : at + reach]
+        body = tail.lstrip(_SPACE)
+        stop = len(tail) - len(body) + len(body.split(None, 1)[0]) if body else len(tail)
+        if stop < len(tail) or at + len(tail) == len(text):
+            return at + stop if body else at
+        reach *= 2
 
 
 def place_cuts(data: np.ndarray, ends: np.ndarray) -> list[tuple[list[int], list[int], list[int]]]:

@@ -145,6 +145,25 @@ def test_bpe(spark, texts):
         assert x.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_long_words():
+    r, own = random.Random(9), bpe.Codec(vocabulary())
+    wide = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    texts = [" ".join(wide(r.choice([1, 2, 90, 400])) + r.choice(["", " a", "\n" * 300]) for _ in range(400)), " " * 700 + wide(300)]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ends = np.array([0, len(raw)])
+        own.learn_block(raw, ends)
+        got = own.encode(raw.tobytes(), *bpe.place_cuts(raw, ends)[0])
+        ids = own.tok.encode(t, add_special_tokens=False).ids
+        assert got == (" ".join(map(str, ids)).encode(), own.decode(ids).encode())
+    t = b"a " + "\u5b57".encode() * 300 + b" b"
+    assert bpe._word_before(t, len(t) - 2) == 2 and bpe._word_after(t, 1) == len(t) - 2 and bpe._word_before(b"w" + b" " * 600, 601) == 0 and bpe._word_after(b" " * 600 + b"w", 0) == 601
+    cuts = list(range(12, 72, 6))
+    t = "\u5b57 ".encode() * 18
+    own._joint = lambda text, a, b: (max(0, a - 8), min(len(text), b + 8))
+    assert own.encode(t, cuts, [x + 3 for x in cuts], [x - 1 for x in cuts])[0].split() == [b for b in " ".join(str(i) for i in own.tok.encode(t.decode(), add_special_tokens=False).ids).encode().split()]
+
+
 def test_topk(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(700, 16)).astype(np.float32)
