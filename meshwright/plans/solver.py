@@ -19,7 +19,7 @@ from meshwright.operators import components, eliminate, factor, linalg, operator
 from meshwright.session import materialise, workers_see_package
 
 STORAGES = ("vec", "bstr", "forward_star", "vec_pool")
-PEELS = ("natural", "min_degree", "bk_serial")
+PEELS = ("natural", "min_degree")
 
 
 @dataclass

@@ -153,3 +153,8 @@ def test_spmv_and_pcg(spark):
     assert linalg.spmv(a, v.select("v", F.lit(1.0).alias("x"))).where("abs(y) > 1e-12").count() == 0
     x, norms = linalg.jacobi_pcg(a, rhs.range_space(a, v), 60, 1e-8)
     assert norms[-1] < 1e-8
+
+
+def test_peel_that_is_not_built_is_rejected():
+    with pytest.raises(ValueError, match="unknown peel strategy 'bk_serial'"):
+        solver.Options.of(peel="bk_serial")
