@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +50,39 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+#: Where `cut` wrote what it returned.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `cut` wrote for tables that nothing reads any more: all that was made of them has been written itself."""
+    for df in tables:
+        if (path := _WRITTEN.pop(df, None)) is not None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to; else they stay until the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(names: list[str], *stems: str) -> list[str]:
+    """Column names like the stems that are not among the given ones, whatever their case."""
+    taken, out = {x.lower() for x in names}, []
+    for stem in stems:
+        while stem in taken:
+            stem += "_"
+        taken.add(stem)
+        out.append(stem)
+    return out
 
 
 def together(df: DataFrame, *cols: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut
+from meshwright.llm.common import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the least of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(small.distinct(), "stars")
+        old, edges = edges, cut(small.distinct(), "stars")
+        discard(old)
         now = _mark(edges)
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -25,7 +25,10 @@ one key in different components; all of these that have L keys in common and siz
 link that matters to a component is lost. Comparisons are exact, on whole sets.
 
 Edge cases: null texts and texts without words have no set, no links and are their own component; repeated rows and equal
-texts share a class; long texts only have larger sets; an empty table gives an empty result; extra columns are ignored.
+texts share a class; rows without a doc_id link as others do, and their component is null where no row in it has one; long texts
+only have larger sets; an empty table gives an empty result; extra columns, whatever their names, are ignored by `join` and stay
+in `distinct_documents`. Sets and classes are known by 64-bit hashes: of n different texts, n * n / 2**65 pairs are expected to be
+taken for equal.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import arrow_batches, cut, mix64, together, utf8_blocks, word_hashes
+from meshwright.llm.common import arrow_batches, cut, discard, mix64, tidy, together, unused, utf8_blocks, word_hashes
 from meshwright.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -478,13 +481,15 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links), class."""
-    arrow_batches(docs.sparkSession)
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable by links), class, root (the same for
+    classes; null without a set)."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
     seed, texts = 0, docs.select("text")
     first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
-    base = first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class")
+    base = cut(first.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class"), "base")
     elements = base.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), elements // BUCKET)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), elements // BUCKET)
     while True:
         often = first.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "id").limit(TOLD).toArrow()
         told = np.asarray(often.column("id")).view(np.uint64)
@@ -495,8 +500,10 @@ def join(docs: DataFrame) -> DataFrame:
         if not table.where("key = 0").take(1):
             break
         seed += 1
+        discard(first, table)
         first = cut(docs.select("doc_id", "text").mapInArrow(_classes(seed), _CLASSES), "classes")
-    classes = cut(first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least"), F.first("sig", True).alias("sig"), F.first("brief", True).alias("brief")), "class")
+    del index
+    sized = first.where("kind = 0 AND n > 0").groupBy("class").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.max("least").alias("least"), F.first("sig", True).alias("sig"), F.first("brief", True).alias("brief"))
     # elements that no other set has, where they are known; -1 elsewhere
     groups = table.where(F.col("key") != NOTE)
     one = F.when(F.col("key") == NOTE, 0).otherwise((F.col("key").bitwiseAND(F.lit(3)) == 3).cast("int"))
@@ -504,7 +511,10 @@ def join(docs: DataFrame) -> DataFrame:
     rare = F.coalesce("rare", F.lit(-1))
     alone = F.when(rare == -1, F.lit(-1)).otherwise(F.when(rare >= 0, rare).otherwise(-2 - rare) - F.col("met")).cast("long")
     spare = F.expr(f"n - cast(ceil({PERCENT} * (n + ceil({PERCENT} * n / 100)) / {100 + PERCENT}) as bigint)")
-    classes = cut(classes.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).withColumn("whole", rare >= 0).drop("met", "rare"), "viable")
+    classes = cut(sized.join(met, "class", "left").withColumn("alone", alone).withColumn("viable", F.col("alone") <= spare).withColumn("whole", rare >= 0).drop("met", "rare"), "viable")
+    del sized, met
+    discard(first)
+    tidy(spark)
     # only some of a pair's keys have it with their lead: that fewer than SHARED are counted here does not rule it out
     led = groups.where("class <> lead").groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     pairs = cut(close(candidates(led, classes, 3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes), "pairs")
@@ -514,32 +524,77 @@ def join(docs: DataFrame) -> DataFrame:
     crowded = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD).select("key")
     rows = dealt.join(crowded, "key", "left_semi").join(classes.where("viable").select("class", "n", "alone", "brief"), "class")
     rows = rows.select("key", (turn < STARS).alias("star"), F.when(turn < STARS, F.col("alone")).otherwise(F.xxhash64("key", "class")).alias("turn"), "class", "n", "brief")
-    hot = together(rows, "key").sortWithinPartitions("key", "turn", "class").mapInArrow(_chained, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
-    hot = cut(hot.join(pairs, ["a", "b"], "left_anti"), "hot")
-    hot = cut(close(hot, classes).join(hot, ["a", "b"]), "close")
-    sets = fetch(ends_of(pairs.unionByName(hot.select("a", "b"))), docs)
-    pairs = pairs.unionByName(hot.where("star").select("a", "b"))
-    linked = cut(verify(pairs, sets), "linked")
-    roots = components(linked)
-    chain = apart(hot.where("NOT star").select("a", "b"), roots)
-    linked = cut(linked.unionByName(verify(chain, sets)), "linked")
+    chained = together(rows, "key").sortWithinPartitions("key", "turn", "class").mapInArrow(_chained, "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    hot = cut(chained.join(pairs, ["a", "b"], "left_anti"), "hot")
+    near = cut(close(hot, classes).join(hot, ["a", "b"]), "close")
+    del led, dealt, crowded, rows, chained
+    discard(hot)
+    tidy(spark)
+    sets = fetch(ends_of(pairs.unionByName(near.select("a", "b"))), docs)
+    starred = pairs.unionByName(near.where("star").select("a", "b"))
+    linked = cut(verify(starred, sets), "linked")
     roots = components(linked)
+    chain = apart(near.where("NOT star").select("a", "b"), roots)
+    more = cut(linked.unionByName(verify(chain, sets)), "linked")
+    looked = cut(starred.unionByName(chain), "looked")
+    discard(sets, roots, linked, pairs, near)
+    linked, roots = more, components(more)
+    del chain, starred
+    tidy(spark)
     labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole", "brief"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole", "brief")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
     open_ = together(labelled.join(several, "key", "left_semi"), "key").sortWithinPartitions("key", "n", "class")
-    more = candidates(open_.mapInArrow(_rest, "a long, b long, keys long").groupBy("a", "b").agg(F.sum("keys").alias("keys")), classes)
-    more = cut(close(more.join(pairs.unionByName(chain), ["a", "b"], "left_anti"), classes), "rest")
-    if more.take(1):
-        linked = linked.unionByName(cut(verify(more, fetch(ends_of(more), docs)), "linked"))
-    named = linked.join(classes.select(F.col("class").alias("a"), F.col("doc").alias("da")), "a").join(classes.select(F.col("class").alias("b"), F.col("doc").alias("db")), "b")
-    roots = components(named.select(F.col("da").alias("a"), F.col("db").alias("b")))
-    of_class = classes.join(roots, F.col("doc") == F.col("node"), "left").select("class", F.coalesce("root", "doc").alias("component_id"))
-    return base.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class")
+    counted = open_.mapInArrow(_rest, "a long, b long, keys long").groupBy("a", "b").agg(F.sum("keys").alias("keys"))
+    rest = cut(close(candidates(counted, classes).join(looked, ["a", "b"], "left_anti"), classes), "rest")
+    del labelled, several, open_, counted
+    discard(table, looked)
+    tidy(spark)
+    if rest.take(1):
+        sets = fetch(ends_of(rest), docs)
+        more = cut(linked.unionByName(verify(rest, sets)), "linked")
+        discard(sets, linked, roots)
+        linked, roots = more, components(more)
+    discard(linked, rest)
+    # the smallest doc_id of every component of two classes or more
+    docs_of = classes.select("class", "doc")
+    joined = docs_of.join(roots, F.col("class") == F.col("node"))
+    least = joined.groupBy("root").agg(F.min("doc").alias("least"))
+    of_class = cut(docs_of.join(roots.join(least, "root"), F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("least", "doc").alias("component_id")), "components")
+    discard(classes, roots)
+    tidy(spark)
+    return base.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root")
+
+
+def _with_class(text: str, names: list[str]):
+    """Rows, and the class of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends, data in utf8_blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([class_of(s) for s in shingle_sets(data, ends)], pa.int64())], names)
+
+    return run
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; documents without a set all stay."""
-    keep = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each component, with all its columns: that of the smallest doc_id (nulls last); where several rows have that
+    doc_id, that of the least class, then text. Documents without a set all stay."""
     names = docs.columns
-    whole = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    return whole.dropDuplicates(["doc_id", "text"]).select(*names)
+    rows = cut(join(docs), "rows")
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    alone = times.where("times = 1 AND doc_id IS NOT NULL").select("doc_id")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("x")).select("x.doc_id", "x.class")
+    kept = first.select("doc_id").unionByName(rows.where("root IS NULL").select("doc_id"))
+    (own,) = unused(names, "own")
+    ids = kept.join(alone, "doc_id", "left_semi").select(F.col("doc_id").alias(own))
+    out = docs.join(ids, docs["doc_id"] == ids[own], "left_semi")
+    # rows whose doc_id does not name one row alone: few, and told apart by their class
+    again = cut(times.where("times > 1 OR doc_id IS NULL").select(F.col("doc_id").alias(own)), "again")
+    if not again.take(1):
+        return out
+    plain = [f"c{k}" for k in range(len(names))]
+    id_, text = plain[names.index("doc_id")], plain[names.index("text")]
+    both = docs.join(again, docs["doc_id"].eqNullSafe(again[own]), "left_semi").toDF(*plain)
+    both = both.mapInArrow(_with_class(text, [*plain, "class"]), both.schema.add("class", "long"))
+    mine = both.join(first, both[id_].eqNullSafe(first["doc_id"]) & (both["class"] == first["class"]), "left_semi")
+    one = mine.groupBy(id_, "class").agg(F.min_by(F.struct(*plain), F.col(text)).alias("x")).select(*[F.col(f"x.{c}").alias(n) for c, n in zip(plain, names, strict=True)])
+    return out.unionByName(one).unionByName(both.where("class = 0").select(*plain).toDF(*names))

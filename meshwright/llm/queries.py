@@ -56,7 +56,7 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("class")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("class", "root")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
