@@ -1,11 +1,17 @@
-"""A training corpus from raw documents, in five stages. Each is written to the shared folder before the next one reads it."""
+"""A training corpus from raw documents, in five stages. Each is written to the shared folder before the next one reads it.
+
+Edge cases, for all stages: an empty table gives empty tables; extra columns, whatever their names, stay up to the last stage;
+null texts count as empty (the classifier decides on them, no copies are looked for, nothing is private, the mix takes none of
+them); null sources are a source of their own; repeated rows of one text leave one of them after the second stage; without
+labels of both classes no document is rejected; texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm import bpe, jaccard, mixing, pii, quality
-from meshwright.llm.common import cut, table
+from meshwright.llm.common import cut, discard, table, tidy
 from meshwright.llm.queries import vocabulary
 
 
@@ -43,5 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        read, docs = docs, cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(read)  # what the stage before wrote; a table that was not written by `cut` stays
+        tidy(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
