@@ -178,12 +178,12 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a block: starts, stops and 64-bit hashes. inside[byte]: whether a byte belongs to words; A-Z count as a-z; no
-    word crosses the end of a text."""
+def word_hashes(data: np.ndarray, ends: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Words of a block: starts, stops and 64-bit hashes, and for each of `prefixes` hashes of so many leading bytes, up to the end
+    of the character. inside[byte]: whether a byte belongs to words; A-Z count as a-z; no word crosses the end of a text."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * (1 + len(prefixes))
     is_in = inside[data]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
@@ -196,4 +196,13 @@ def word_hashes(data: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64) + np.uint64(1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(low * up[:n], out=total[1:])
-    return starts, stops, mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    hashed = lambda to: mix64((total[to] - total[starts]) * down[starts] + (to - starts).astype(np.uint64))
+    return starts, stops, hashed(stops), *[mix64(hashed(prefix_ends(data, starts, stops, k)) + np.uint64(k)) for k in prefixes]
+
+
+def prefix_ends(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int) -> np.ndarray:
+    """Where the first `size` bytes of each word end, with the rest of a character that begins there."""
+    to = np.minimum(starts + size, stops)
+    for _ in range(3):
+        to = to + ((to < stops) & (data[np.minimum(to, len(data) - 1)] & 0xC0 == 0x80))
+    return to

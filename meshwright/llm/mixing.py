@@ -5,7 +5,8 @@ ranked per source, and slot r of a source takes block r of that source's shuffle
 shuffled, never texts. Everything is DataFrame work; a hot source is split into hash bins for its running sums.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source of its own, last in the order; repeated rows
-are separate documents; an empty table gives an empty result; further columns are dropped by `mix` (it returns its own).
+are separate documents; an empty table gives an empty result; `mix` and `blocks` ignore further columns, `mixed_documents` keeps
+them, whatever their names. Windows without a hot key: sources and runs of slots have one row each there.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import cut, spread
+from meshwright.llm.common import cut, discard, spread, unused
 
 #: Weights of the sources in code-point order, repeating (fixed values of the contract).
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 GOLDEN = 0.6180339887498949
 BLOCK = 512
-RUN = 1 << 16
+RUN = 1 << 12
 
 
 def word_count(text: str = "text"):
@@ -77,33 +78,44 @@ def schedule(plan: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.where("rank < quota").select("slot", "place", "rank").unionByName(extra)
 
 
-def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, bins: int = 4096, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken, first_slot."""
+def blocks(docs: DataFrame, seed: int = 0, block: int = BLOCK, bins: int = 4096, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, source) -> (rows, pieces). rows(row, doc_id, source, size, source_size, target, ...) are the documents;
+    pieces(row, slot, lap, a, b) the mix: slot by slot, words a to b of a document, the lap-th time round its source."""
     sized = docs.select("doc_id", "source", word_count().alias("size")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     sized = cut(sized, "sizes")
     plan = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("total")), share, cap), "targets")
     slots = schedule(plan, block)
-    # rank r of a source is block r of its word stream; the stream repeats when the source is used up
-    per = plan.select("place", "total", F.floor("target").cast("long").alias("goal"))
-    spans = slots.join(per, "place").where("total > 0").select("place", "total", "slot", (F.col("rank") * block).alias("a"), F.least((F.col("rank") + 1) * block, F.col("goal")).alias("b")).where("a < b")
-    # a slot covers [a, b) of the unrolled stream; in source words that is one piece, or two or more where the stream wraps
-    pieces = spans.withColumn("lap", F.explode(F.sequence(F.floor(F.col("a") / F.col("total")), F.floor((F.col("b") - 1) / F.col("total"))))).select(
-        "place", "slot", F.greatest(F.col("a") - F.col("lap") * F.col("total"), F.lit(0)).alias("a"), F.least(F.col("b") - F.col("lap") * F.col("total"), F.col("total")).alias("b")
-    )
-    fine = pieces.withColumn("cell", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block)))).groupBy("place", "cell", "a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("slot").alias("slot"))
     placed = spread(sized, ["source"], ["_h", "doc_id"], bins, "size", "begin")
     named = plan.select(F.col("source").alias("_s"), "place", F.col("total").alias("source_size"), "target")
-    rows = placed.join(named, placed["source"].eqNullSafe(named["_s"])).select("doc_id", "source", "size", "source_size", "target", "place", "begin").withColumn("_row", F.monotonically_increasing_id())
+    rows = placed.join(named, placed["source"].eqNullSafe(named["_s"])).select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "size", "source_size", "target", "place", "begin")
     rows = cut(rows, "placed")
-    cells = rows.where("size > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
-    over = F.greatest(F.lit(0), F.least(F.col("b"), F.col("begin") + F.col("size"), (F.col("cell") + 1) * block) - F.greatest(F.col("a"), F.col("begin"), F.col("cell") * block))
-    got = cells.join(fine, ["place", "cell"]).groupBy("_row").agg(F.sum(over * F.col("times")).cast("long").alias("taken"), F.min(F.when(over > 0, F.col("slot"))).alias("first_slot"))
-    return rows.join(got, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    discard(sized)
+    # a source's stream repeats: on lap l a document covers words l * source_size + begin and on, up to the target
+    goal = F.floor("target").cast("long")
+    laps = rows.where("size > 0").select("row", "place", "size", goal.alias("goal"), F.posexplode(F.array(*[F.lit(k).cast("long") * F.col("source_size") + F.col("begin") for k in range(cap)])).alias("lap", "at")).where("at < goal")
+    laps = laps.withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("goal")))
+    cells = laps.select("row", "place", "lap", "at", "stop", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("stop") - 1) / block))).alias("rank"))
+    word = lambda x: (x - F.col("at")).cast("long")
+    pieces = cells.join(slots, ["place", "rank"]).select("row", "slot", "lap", word(F.greatest("at", F.col("rank") * block)).alias("a"), word(F.least("stop", (F.col("rank") + 1) * block)).alias("b"))
+    return rows, pieces
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, taken, first_slot, again_slot: the slots of the mix in
+    which the document begins on its source's first and second lap, if it does."""
+    rows, pieces = blocks(docs, **options)
+    start = lambda lap, name: F.min(F.when(F.col("lap") == lap, F.col("slot"))).alias(name)
+    got = pieces.groupBy("row").agg(F.sum(F.col("b") - F.col("a")).cast("long").alias("taken"), start(0, "first_slot"), start(1, "again_slot"))
+    return rows.join(got, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "again_slot")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each whole document as often as its taken words cover it, rounded."""
+    """The documents of the mix in its order: each whole document as often as its taken words cover it, rounded, at the slots in
+    which it begins. Rows are ranged and sorted by slot, so files read one after the other follow the schedule."""
     names = docs.columns
-    plan = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_t"), F.sum("size").alias("_z"))
-    copies = F.when(F.col("_z") > 0, F.round(F.col("_t") / F.col("_z"))).otherwise(0).cast("int")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).withColumn("_c", copies).where("_c > 0").select(*[docs[c] for c in names], F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_k")).select(*names)
+    own, copies, slots = unused(names, "own", "copies", "slots")
+    plan = mix(docs, **options).groupBy(F.col("doc_id").alias(own)).agg(F.sum("taken").alias("t"), F.sum("size").alias("z"), F.min("first_slot").alias("first"), F.min("again_slot").alias("again"))
+    often = F.when(F.col("z") > 0, F.round(F.col("t") / F.col("z"))).otherwise(0).cast("int")
+    plan = plan.select(own, often.alias(copies), F.array("first", F.coalesce("again", "first")).alias(slots)).where(F.col(copies) > 0)
+    every = docs.join(plan, docs["doc_id"].eqNullSafe(plan[own])).select(*[docs[c] for c in names], F.explode(F.slice(slots, 1, F.col(copies))).alias(own))
+    return every.repartitionByRange(own).sortWithinPartitions(own).select(*names)

@@ -32,7 +32,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("first_slot")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +78,65 @@ WITH sized AS (
   SELECT arg_min((1.5::DOUBLE * whole - fixed) / rest::DOUBLE, ratio) AS lv FROM filled WHERE (1.5::DOUBLE * whole - fixed) / rest::DOUBLE < ratio
 ), aims AS (
   SELECT source, total, least(cap::DOUBLE, coalesce(lv, cap::DOUBLE) * w) AS target FROM weighed, level
+), bounds AS (
+  SELECT source, place, quota, coalesce(sum(quota) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
+  FROM (SELECT s.source, s.place, ceil(a.target / 512)::BIGINT AS quota FROM src s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source) WHERE quota > 0
+), total_slots AS (
+  SELECT coalesce(sum(quota), 0)::BIGINT AS n FROM bounds
+), points AS (
+  SELECT slot, floor((slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE)) * n::DOUBLE)::BIGINT AS point FROM (SELECT n, unnest(range(n)) AS slot FROM total_slots)
+), ranked AS (
+  SELECT place, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM points JOIN bounds ON point >= lo AND point < lo + quota
 ), placed AS (
-  SELECT s.doc_id, s.source, s.size, a.total, a.target, floor(a.target)::BIGINT AS goal,
+  SELECT s.doc_id, s.source, s.size, a.total, a.target, floor(a.target)::BIGINT AS goal, x.place,
     coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ('0x' || substr(s.h, 1, 6))::BIGINT % 4096, s.h, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source JOIN src x ON s.source IS NOT DISTINCT FROM x.source
 )
 SELECT doc_id, source, size, total AS source_size, target,
-  (greatest(0, least(b + size, goal) - b) + greatest(0, least(total + b + size, goal) - total - b))::BIGINT AS taken FROM placed
+  (greatest(0, least(b + size, goal) - b) + greatest(0, least(total + b + size, goal) - total - b))::BIGINT AS taken,
+  CASE WHEN size > 0 AND b < goal THEN coalesce(p.slot, n + placed.place) END::BIGINT AS first_slot,
+  CASE WHEN size > 0 AND total + b < goal THEN coalesce(q.slot, n + placed.place) END::BIGINT AS again_slot
+FROM placed CROSS JOIN total_slots LEFT JOIN ranked p ON p.place = placed.place AND p.rank = b // 512 LEFT JOIN ranked q ON q.place = placed.place AND q.rank = (total + b) // 512
 """
 
+
+def _law(node: str) -> str:
+    """The draw of a child: -ln(u), u from the digest of doc_id and the child; all weights of a level are equal there."""
+    return f"-ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{node}'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
+
+
+def _least(*options: tuple[str, str]) -> str:
+    """The value of the child with the least draw, of two or three."""
+    (a, x), (b, y) = options[:2]
+    if len(options) == 2:
+        return f"CASE WHEN {a} <= {b} THEN {x} ELSE {y} END"
+    c, z = options[2]
+    return f"CASE WHEN {a} <= {b} AND {a} <= {c} THEN {x} WHEN {b} <= {c} THEN {y} ELSE {z} END"
+
+
+def _op5() -> str:
+    shards = [_least((_law(f"s{k}"), str(k)), (_law(f"s{k + 1}"), str(k + 1))) for k in (0, 2, 4, 6)]
+    regions = [_least((_law(f"g{g}/r0"), shards[2 * g]), (_law(f"g{g}/r1"), shards[2 * g + 1])) for g in (0, 1)]
+    weighed = [f"({_law(f'g{g}')}) / {w}" for g, w in ((0, 4.0), (1, 4.0), (2, 1.0))]
+    return f"""
+WITH RECURSIVE crc(k, i, c) AS (
+  SELECT k, 0, k FROM range(256) t(k) UNION ALL SELECT k, i + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE i < 8
+), steps AS (
+  SELECT list(c ORDER BY k) AS step FROM crc WHERE i = 8
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {_least((weighed[0], regions[0]), (weighed[1], regions[1]))} AS shard, {_least((weighed[0], regions[0]), (weighed[1], regions[1]), (weighed[2], '8'))} AS grown_shard,
+    md5('slot:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), bytes AS (
+  SELECT text, step, list_transform(range(0, strlen(text)), lambda k: ('0x' || substr(hex(encode(text)), 2 * k + 1, 2))::BIGINT) AS b FROM (SELECT DISTINCT text FROM d), steps
+), sums AS (
+  SELECT text, xor(list_reduce(b, lambda c, x: xor(c >> 8, step[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM bytes
+), sized AS (
+  SELECT doc_id, (strlen(d.text) + 1)::BIGINT AS size, crc::BIGINT AS text_crc32, shard, grown_shard, h FROM d JOIN sums ON d.text = sums.text
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, (row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(h, 1, 6))::BIGINT % 4096, h, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard FROM sized
+"""
+
+
 _OP8 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
@@ -137,4 +187,4 @@ SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(r.root)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4, "op8_topk": _OP8, "op9_suffix": _OP9, "op10_jaccard": _OP10}
+    return {"op4_mixing": _OP4, "op5_sharding": _op5(), "op8_topk": _OP8, "op9_suffix": _OP9, "op10_jaccard": _OP10}

@@ -1,14 +1,19 @@
 """Secret scans (operator 1): base patterns plus a character convolutional network in numpy.
 
-Base findings (assignments, access keys, hex runs) are always kept. The network reads each run of secret characters of at
-least 16 that does not lie in base findings as a whole, with its surrounding context: its view starts at every character that
-leaves it full, and the highest score counts. Runs whose calibrated score reaches a threshold that keeps a set share of the
-labelled findings (with digits, without, longer than the view) are added. It is trained on the driver on labelled findings of fixed rules: a seeded generator writes secrets
-of several shapes, with and without digits, and harmless look-alikes (versions, dates, paths, addresses, numbers, words) into
-context, and secrets behind paths into longer runs.
+Base findings (assignments, access keys, hex runs) are always kept. The network reads every run of secret characters of at least
+16 with its surrounding context, those in base findings too: its view starts at every character that leaves it full, and the
+highest score counts. Runs whose calibrated score reaches a threshold that keeps a set share of the labelled findings of every kind
+(with digits, without, longer than the view, of the table itself) are added if base findings do not cover them; `n_confirmed`
+counts base findings that hold or touch such a run, `top_score` is the highest score of the document's runs.
+
+It is trained on the driver on labelled findings: of the table itself, base findings against runs of plain letters or of digits (at most
+FINDINGS of each, those of least hash), and of fixed rules, a seeded generator that writes secrets of several shapes, with and
+without digits, and harmless look-alikes (versions, dates, paths, addresses, numbers, words) into context, and secrets behind paths
+into longer runs. Of each eight findings six fit, one calibrates and one sets the threshold.
 
 Edge cases: a null text is empty; offsets are code points of the whole text, however long; overlapping kinds are all reported;
-repeated rows give repeated rows, an empty table an empty result, and extra columns are ignored.
+repeated rows give repeated rows, an empty table an empty result, and extra columns are ignored; a null doc_id stays null; a
+table without findings leaves those of the generator.
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from meshwright.llm.common import arrow_batches
+from meshwright.llm.common import arrow_batches, cut
 
 KINDS = ("assign", "access", "hex", "net")
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -38,6 +44,10 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-:\"' \n,;@()<>#$%&!?"
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH, FILTERS, TAPS, DIM = BEFORE + INSIDE + AFTER, 24, 5, 8
+#: Findings of the table to train on, of each label at most.
+FINDINGS = 1000
+#: Runs that no secret looks like.
+PLAIN = re.compile(r"[0-9]+|[A-Za-z]?[a-z]+\.?")
 #: Share of the held-out labelled findings that the threshold must keep.
 RECALL = 0.95
 _CODE = np.full(256, len(ALPHABET) + 1, np.int64)
@@ -165,13 +175,16 @@ class CharNet:
                     b += 0.001 * (g[k] ** 2 - b)
                     v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, group: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling on logits of held-out runs; the threshold is the highest that keeps `recall` of the findings of each group."""
+    def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling on logits of held-out runs."""
         for _ in range(200):
             d = 1 / (1 + np.exp(-(self.scale * z + self.shift))) - y
             self.scale -= 0.1 * float((d * z).mean() + 0.01 * (self.scale - 1))
             self.shift -= 0.1 * float(d.mean())
-        found = [np.sort(self.sure(z[(y == 1) & (group == g)])) for g in np.unique(group[y == 1])]
+
+    def demand(self, z: np.ndarray, group: np.ndarray, recall: float = RECALL) -> None:
+        """The threshold is the highest that keeps `recall` of the findings of each group; z: logits of other held-out findings."""
+        found = [np.sort(self.sure(z[group == g])) for g in np.unique(group)]
         self.threshold = float(min(p[int((1 - recall) * len(p))] for p in found))
 
 
@@ -237,19 +250,47 @@ def as_run(text: str, a: int, b: int) -> tuple[str, int, int]:
     return next(((text, x, z) for x, z in candidates(text) if x <= a and b <= z), (text, a, b))
 
 
-@lru_cache(maxsize=1)
-def trained(n: int = 4000) -> CharNet:
+def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (h, label, piece, start, stop): runs that base findings touch, and plain ones, with their context."""
+    for batch in batches:
+        out = []
+        for t in batch.column("text").to_pylist():
+            base = base_spans(t or "")
+            for a, b in candidates(t or ""):
+                hot = any(x < b and a < z for x, _, z in base)
+                if hot or PLAIN.fullmatch(t, a, b):
+                    low = max(0, a - BEFORE)
+                    piece = t[low : b + AFTER]
+                    out.append((xxhash.xxh64_intdigest(piece) - (1 << 63), int(hot), piece, a - low, b - low))
+        cols = list(zip(*out, strict=True)) if out else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["h", "label", "piece", "start", "stop"])
+
+
+def findings(docs: DataFrame, bound: int = FINDINGS) -> tuple[tuple[str, int, int, int], ...]:
+    """(piece, start, stop, label) of at most `bound` different findings of the table of each label, those of least hash."""
+    arrow_batches(docs.sparkSession)
+    every = cut(docs.select("text").mapInArrow(_findings, "h long, label int, piece string, start int, stop int").dropDuplicates(["h"]), "findings")
+    rows = [x for label in (0, 1) for x in every.where(f"label = {label}").orderBy("h").limit(bound).collect()]
+    return tuple((x.piece, x.start, x.stop, x.label) for x in rows)
+
+
+@lru_cache(maxsize=4)
+def trained(own: tuple[tuple[str, int, int, int], ...] = (), n: int = 4000) -> CharNet:
     rows, y = labelled(n)
+    rows, y = rows + [x[:3] for x in own], np.concatenate([y, [x[3] for x in own]])
     long, long_y, at = labelled_runs(n // 2)
     x = np.stack([codes(*row) for row in rows] + [codes(text, a, a + INSIDE) for (text, _, _), a in zip(long, at, strict=True)])
     every, y = [as_run(*row) for row in rows + long], np.concatenate([y, long_y])
-    held = np.arange(len(y)) % 8 >= 6
-    net = CharNet()
-    wider = [k for k, row in enumerate(rows) if every[k] != row and not held[k]]
-    net.fit(np.concatenate([x[~held], np.stack([codes(*every[k]) for k in wider])]), np.concatenate([y[~held], y[wider]]))
-    kept = [row for row, h in zip(every, held, strict=True) if h]
-    group = np.array([2 if b - a > INSIDE else int(any(c.isdigit() for c in text[a:b])) for text, a, b in kept])
-    net.calibrate(net.runs(kept), y[held], group)
+    part = np.random.default_rng(17).permutation(len(y)) % 8
+    net, fit = CharNet(), part < 6
+    wider = [k for k, row in enumerate(rows) if every[k] != row and fit[k]]
+    net.fit(np.concatenate([x[fit], *([np.stack([codes(*every[k]) for k in wider])] if wider else [])]), np.concatenate([y[fit], y[wider]]))
+    table = np.arange(len(y))
+    table = (table >= n) & (table < n + len(own))
+    group = np.array([3 if t else 2 if b - a > INSIDE else int(any(c.isdigit() for c in text[a:b])) for (text, a, b), t in zip(every, table, strict=True)])
+    z = lambda p: net.runs([row for row, q in zip(every, p, strict=True) if q])
+    net.calibrate(z(part == 6), y[part == 6])
+    net.demand(z((part == 7) & (y == 1)), group[(part == 7) & (y == 1)])
     return net
 
 
@@ -261,36 +302,44 @@ def _covered(a: int, b: int, spans: list[tuple[int, int, int]]) -> bool:
     return a >= b
 
 
-def find(texts: list[str], net: CharNet) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """For each text: base spans and all spans, (start, kind, end)."""
+Spans = list[tuple[int, int, int]]
+
+
+def find(texts: list[str], net: CharNet) -> list[tuple[Spans, Spans, list[tuple[int, int, float]]]]:
+    """For each text: base spans and all spans, (start, kind, end), and the score of every run, (start, end, score)."""
     base = [base_spans(t) for t in texts]
-    asked = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t) if not _covered(a, b, base[k])]
-    every = [list(x) for x in base]
+    asked = [(k, a, b) for k, t in enumerate(texts) for a, b in candidates(t)]
+    every, scores = [list(x) for x in base], [[] for _ in texts]
     if asked:
         for (k, a, b), p in zip(asked, net.sure(net.runs([(texts[k], a, b) for k, a, b in asked])), strict=True):
-            if p >= net.threshold:
+            scores[k].append((a, b, float(p)))
+            if p >= net.threshold and not _covered(a, b, base[k]):
                 every[k].append((a, 3, b))
-    return [(x, sorted(e)) for x, e in zip(base, every, strict=True)]
+    return [(x, sorted(e), s) for x, e, s in zip(base, every, scores, strict=True)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, n_confirmed long, top_score double"
 
 
 def scan(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
-    """docs(doc_id, text) -> counts, digest of the base spans, and all spans."""
+    """docs(doc_id, text) -> counts, digest of the base spans, all spans, and what the network says. net: one trained already."""
     arrow_batches(docs.sparkSession)
-    own = net or trained()
+    own = net or trained(findings(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = find([t or "" for t in batch.column("text").to_pylist()], own)
-            counts = [[sum(s[1] == k for s in x) for x, _ in found] for k in range(3)]
-            net_count = [sum(s[1] == 3 for s in e) for _, e in found]
-            digest = [hashlib.sha256(written(x).encode()).hexdigest() for x, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest, pa.string()), pa.array([written(e) for _, e in found], pa.string()), pa.array(net_count, pa.int64())], [x.split()[0] for x in SCHEMA.split(", ")])
+            counts = [[sum(s[1] == k for s in x) for x, _, _ in found] for k in range(3)]
+            net_count = [sum(s[1] == 3 for s in e) for _, e, _ in found]
+            sure = [[(a, b) for a, b, p in s if p >= own.threshold] for _, _, s in found]
+            confirmed = [sum(any(x < b and a < z for a, b in hits) for x, _, z in base) for (base, _, _), hits in zip(found, sure, strict=True)]
+            top = [round(max((p for _, _, p in s), default=0.0), 6) for _, _, s in found]
+            digest = [hashlib.sha256(written(x).encode()).hexdigest() for x, _, _ in found]
+            cols = [*[pa.array(c, pa.int64()) for c in counts], pa.array(digest, pa.string()), pa.array([written(e) for _, e, _ in found], pa.string()), pa.array(net_count, pa.int64()), pa.array(confirmed, pa.int64()), pa.array(top, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
