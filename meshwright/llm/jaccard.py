@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshwright.llm.common import arrow_batches, cut, discard, mix64, tidy, together, unused, utf8_blocks, word_hashes
 from meshwright.llm.components import components
@@ -594,7 +595,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     plain = [f"c{k}" for k in range(len(names))]
     id_, text = plain[names.index("doc_id")], plain[names.index("text")]
     both = docs.join(again, docs["doc_id"].eqNullSafe(again[own]), "left_semi").toDF(*plain)
-    both = both.mapInArrow(_with_class(text, [*plain, "class"]), both.schema.add("class", "long"))
+    both = both.mapInArrow(_with_class(text, [*plain, "class"]), StructType([*both.schema.fields, StructField("class", LongType())]))
     mine = both.join(first, both[id_].eqNullSafe(first["doc_id"]) & (both["class"] == first["class"]), "left_semi")
     one = mine.groupBy(id_, "class").agg(F.min_by(F.struct(*plain), F.col(text)).alias("x")).select(*[F.col(f"x.{c}").alias(n) for c, n in zip(plain, names, strict=True)])
     return out.unionByName(one).unionByName(both.where("class = 0").select(*plain).toDF(*names))

@@ -49,13 +49,13 @@ def test_secrets_in_whole_runs():
     net, key = secrets.trained(), "Zk3vQ9xT7bWm2LpR8sYd5GnH4jKc"
     path = "/".join(["usr", "local", "share", "settings", "common", "storage", "folder", "archive"])
     texts = [f"see {path}/{key} end", f"see {'0123456789abcdef' * 2}/{key} end", f"see {path} end", "a" * 3000]
-    for (base, every), t, want in zip(secrets.find(texts, net), texts, [f"{path}/{key}", f"{'0123456789abcdef' * 2}/{key}", None, None], strict=True):
+    for (base, every, _), t, want in zip(secrets.find(texts, net), texts, [f"{path}/{key}", f"{'0123456789abcdef' * 2}/{key}", None, None], strict=True):
         assert [t[a:b] for a, k, b in every if k == 3] == ([want] if want else []) and set(base) <= set(every)
     x = np.lib.stride_tricks.sliding_window_view(secrets.spread_codes(texts[0], 4, len(texts[0]) - 4), secrets.WIDTH)
     assert np.abs(net.logits(x) - net.slide(secrets.spread_codes(texts[0], 4, len(texts[0]) - 4), 7)).max() < 1e-9
     rows, y = secrets.labelled(800, 77)
     free = [row for row, hot in zip(rows, y, strict=True) if hot and not re.search("[0-9]", row[0][row[1] : row[2]])]
-    assert free and np.mean([any(k == 3 and x <= a and b <= z for x, k, z in every) for (_, a, b), (_, every) in zip(free, secrets.find([x[0] for x in free], net), strict=True)]) > 0.9
+    assert free and np.mean([any(k == 3 and x <= a and b <= z for x, k, z in every) for (_, a, b), (_, every, _) in zip(free, secrets.find([x[0] for x in free], net), strict=True)]) > 0.9
 
 
 def test_pii(spark, texts):
@@ -69,13 +69,7 @@ def test_pii(spark, texts):
     clean = pii.sanitise(_docs(spark, texts))
     rows = {x.doc_id: x for x in clean.collect()}
     assert clean.columns == _docs(spark, texts).columns and "a.b@c.d" not in rows[len(texts) - 1].text
-    assert all(rows[i].text == t for i, t in enumerate(texts[:-1]))
-
-
-def test_pii_terms_that_disclose(spark):
-    t = [f"plain text number {k} about nothing" for k in range(40)] + ["call zorblax at jo@x.org now", "ask zorblax jo@x.org again"]
-    got = {x.doc_id: x for x in pii.scan(_docs(spark, t)).collect()}
-    assert "term:5:12" in got[40].spans and got[0].spans == ""
+    assert all(rows[i].text == t for i, t in enumerate(texts[:-1])) and all(x.n_chars == len(x.text) for x in rows.values() if x.text is not None)
 
 
 def _plain_targets(sizes, sources):
@@ -122,15 +116,94 @@ def test_gif(spark, texts):
     for i, t in enumerate(texts):
         p = gif.pad((t or "").encode())
         assert rows[i].payload_sha256 == hashlib.sha256(p).hexdigest() and rows[i].tail_crc32 == zlib.crc32(p[-32:]) and rows[i].payload_bytes == len(p)
-        assert b"".join(f.indices.tobytes() for f in gif.decode(gif.encode(p, True))) == p
-    noise = np.random.default_rng(0).integers(0, 3, 576 * 30, dtype=np.uint8).tobytes()
-    assert gif.lzw_unpack(gif.lzw_pack(noise), 8) == noise
+        (file,) = gif.encode([p])
+        assert b"".join(gif.samples(f.colours).tobytes() for f in gif.decode(file)) == p
+        assert rows[i].media_sha256 == hashlib.sha256(file).hexdigest() and rows[i].media_bytes == len(file) and rows[i].n_frames * 576 == len(p)
+
+
+def _plain_unpack(stream, size):
+    """LZW code by code, with a table of strings."""
+    bits = "".join(f"{b:08b}"[::-1] for b in stream)
+    clear, at, out, table, width, last = 1 << size, 0, b"", {}, size + 1, None
+    while True:
+        code, at = int(bits[at : at + width][::-1], 2), at + width
+        if code == clear:
+            table, width, last = {i: bytes([i]) for i in range(clear)}, size + 1, None
+            continue
+        if code == clear + 1:
+            return out
+        if last is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = last + (table[code] if code in table else last)[:1]
+            width += len(table) + 2 == 1 << width and width < 12
+        last = table[code]
+        out += last
+
+
+def _plain_pack(data, size, every):
+    """LZW that clears its table after `every` codes."""
+    clear, bits, table, width, n = 1 << size, [], {bytes([i]): i for i in range(1 << size)}, size + 1, 0
+    put = lambda code: bits.extend(code >> k & 1 for k in range(width))
+    put(clear)
+    held = b""
+    for k in range(len(data)):
+        if held + data[k : k + 1] in table:
+            held += data[k : k + 1]
+            continue
+        put(table[held])
+        n += 1
+        if n % every == 0 or len(table) + 2 >= 4096:
+            put(clear)
+            table, width = {bytes([i]): i for i in range(clear)}, size + 1
+        else:
+            table[held + data[k : k + 1]] = len(table) + 2
+            width += len(table) + 1 == 1 << width and width < 12
+        held = data[k : k + 1]
+    put(table[held])
+    width += len(table) + 2 == 1 << width and n % every != 0 and width < 12
+    put(clear + 1)
+    return np.packbits(np.array(bits, np.uint8), bitorder="little").tobytes()
+
+
+def test_gif_code_streams():
+    r = np.random.default_rng(0)
+    for size, colours in ((2, 1), (2, 4), (3, 5), (6, 60), (8, 256)):
+        rows = r.integers(0, colours, (5, 700))
+        rows[1, 300:] = rows[1, :400]
+        packed = gif.lzw_pack(rows, np.full(5, size))
+        assert [_plain_unpack(x, size) for x in packed] == [x.astype(np.uint8).tobytes() for x in rows]
+        assert all((a == b).all() for a, b in zip(gif.lzw_unpack(packed, [size] * 5, [700] * 5), rows, strict=True))
+    data = [r.integers(0, 3, n, dtype=np.uint8).tobytes() for n in (1, 7, 900, 9000)]
+    streams = [_plain_pack(x, 2, every) for x, every in zip(data, (50, 50, 333, 10**9), strict=True)]
+    assert [x.tobytes() for x in gif.lzw_unpack(streams, [2] * 4, [len(x) for x in data])] == data
+    with pytest.raises(ValueError):
+        gif.lzw_unpack(streams[:1], [2], [50])
+
+
+def test_gif_parts_of_the_format_reach_the_result(monkeypatch):
+    r = random.Random(4)
+    line = "".join(r.choice("abcdefghij klmno") for _ in range(576))
+    text = (line + line[:300] + "x" * 276 + line + "".join(map(chr, range(32, 126))) * 7).encode()
+    (file,) = gif.encode([gif.pad(text)])
+    *_, palette, images = gif.parse(file)
+    assert any(x.hidden is not None for x in images) and any(x.palette is not palette for x in images) and len({x.size for x in images}) > 1
+    good = gif.read([file])[0].digest.hexdigest()
+    assert good == hashlib.sha256(gif.pad(text)).hexdigest()
+    histogram = gif._rows([text])[0][6].split(";")
+    assert len(set(histogram)) == 3
+    images[1].hidden = None
+    seen = gif.Seen()
+    for f in gif.compose(*gif.parse(file)[:4], images, gif.planes(images)):
+        seen.add(f)
+    seen.settle()
+    assert seen.digest.hexdigest() != good
+    long = "lorem ipsum dolor " * 60_000
+    assert gif._rows([long.encode()])[0][2] == hashlib.sha256(gif.pad(long.encode())).hexdigest()
 
 
 def test_gif_disposal_and_transparency():
     head = b"GIF89a" + bytes([2, 0, 1, 0, 0x80, 0, 0]) + bytes([0, 0, 0, 255, 255, 255])
-    frame = lambda flags, hidden, px: b"\x21\xf9\x04" + bytes([flags, 7, 0, hidden, 0]) + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0]) + b"\x02" + gif._blocks(gif.lzw_pack(bytes(px), 2))
-    got = gif.decode(head + frame(4, 0, [1, 0]) + frame(4 * 3 + 1, 0, [0, 1]) + frame(4 * 2 + 1, 1, [1, 0]) + frame(1, 0, [0, 0]) + b"\x3b")
+    frame = lambda flags, hidden, px: b"\x21\xf9\x04" + bytes([flags, 7, 0, hidden, 0]) + b"\x2c" + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0]) + b"\x02" + gif._blocks(gif.lzw_pack(np.array([px]), np.array([2]))[0])
+    got = list(gif.decode(head + frame(4, 0, [1, 0]) + frame(4 * 3 + 1, 0, [0, 1]) + frame(4 * 2 + 1, 1, [1, 0]) + frame(1, 0, [0, 0]) + b"\x3b"))
     shown = [f.colours[:, 0].tolist() for f in got]
     assert shown == [[255, 0], [255, 255], [255, 0], [0, 0]] and [f.delay for f in got] == [7] * 4
 
