@@ -5,11 +5,12 @@ documents share become the same chunks and are encoded once per worker. A cut ma
 between the last white space of one chunk and the first of the next) is encoded anew, and widened by a word on either side
 until encoding it with its neighbours agrees with encoding the three apart. Inside a new chunk, words are encoded once too.
 
-Reuse is per worker with bounded tables: shuffling chunks to encode each once in the whole corpus would move more bytes than
-encoding costs. The vocabulary file's path is a parameter; every machine has it.
+Reuse is per worker, over its tasks, with tables of two generations: what is met again moves to the newer one, and the older one is
+dropped when that is full. Encoding each chunk once in the whole corpus would take a shuffle of all their codes, about as
+many bytes as the texts. The vocabulary file's path is a parameter; every machine has it.
 
 Edge cases: null and empty texts have no tokens and decode to the empty text; texts without white space are one joint; other
-columns are ignored by `digests`, repeated rows give repeated rows and an empty table an empty result.
+columns are ignored, texts of any length and script are cut at white space only, repeated rows give repeated rows and an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from meshwright.llm.common import HELD, arrow_batches, mix64, utf8_blocks
@@ -27,7 +29,8 @@ from meshwright.llm.common import HELD, arrow_batches, mix64, utf8_blocks
 #: A cut follows a byte whose window hash has these bits clear: about one in 1024.
 CUT_BITS = 10
 WINDOW = 16
-WORDS, CHUNKS = 1_000_000, 20_000
+#: What a generation of the tables holds: words, chunks and joints.
+WORDS, CHUNKS, JOINTS = 100_000, 8_000, 20_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACE)] = True
@@ -55,13 +58,18 @@ class Codec:
         self.tok.no_padding()
         self.plain = self.tok.decoder is None
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.names, self.texts = [self.tok.id_to_token(i) or "" for i in range(size)], [str(i) for i in range(size)]
+        names = [self.tok.id_to_token(i) or "" for i in range(size)]
+        self.names, self.texts = [x.encode() for x in names], [str(i).encode() for i in range(size)]
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = np.array([x.endswith(suffix) for x in names]) if suffix else None
         special = [(x.content.encode(), i) for i, x in self.tok.get_added_tokens_decoder().items() if x.special]
         self.mark_text, self.mark = special[-1] if special else (b"", None)
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}
-        self.agreed: set[tuple[bytes, bytes, bytes]] = set()
-        self.reused = 0
+        self.words_before: dict[bytes, tuple[bytes, bytes]] = {}
+        self.chunks: dict[bytes, tuple[bytes, bytes]] = {}  # by 128-bit digests
+        self.chunks_before: dict[bytes, tuple[bytes, bytes]] = {}
+        self.agreed: set[tuple[bytes, int, int]] = set()
+        self.encoded = self.reused = 0
         if self._ids(b"a1 b's, c") != sum((self._ids(w) for w in (b"a1", b"b's,", b"c")), []):
             raise ValueError("this vocabulary joins words across white space")
 
@@ -72,14 +80,29 @@ class Codec:
         return self.tok.decode(ids, skip_special_tokens=False)
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words not seen yet, many in one call, with a special token between them that no word holds."""
+        """Encode words not seen yet, many in one call. Words of letters alone stand behind each other, as each is one run of tokens
+        up to one that ends a word; others have a special token between them that no word holds."""
         if len(self.words) > WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        plain = [w for w in new if self.mark is not None and self.mark_text not in w]
+            self.words_before, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                if (had := self.words_before.get(w)) is not None:
+                    self.words[w] = had
+                else:
+                    new.append(w)
+        letters = [w for w in new if w.isalpha()] if self.last is not None else []
+        for k in range(0, len(letters), 4096):
+            part = letters[k : k + 4096]
+            flat = self._many(b" ".join(part))
+            stops = np.flatnonzero(self.last[flat]) + 1 if flat else np.zeros(0, int)
+            if len(stops) == len(part) and stops[-1] == len(flat):
+                for w, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+                    self._keep(w, flat[a:b])
+        plain = [w for w in new if w not in self.words and self.mark is not None and self.mark_text not in w]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            flat = self._ids(self.mark_text.join(part))
+            flat = self._many(self.mark_text.join(part))
             stops = [i for i, x in enumerate(flat) if x == self.mark]
             if len(stops) == len(part) - 1:
                 for w, a, b in zip(part, [0, *(i + 1 for i in stops)], [*stops, len(flat)], strict=True):
@@ -88,15 +111,31 @@ class Codec:
             if w not in self.words:
                 self._keep(w, self._ids(w))
 
-    def learn_block(self, data: np.ndarray, ends: np.ndarray) -> None:
+    def _many(self, joined: bytes) -> list[int]:
+        return self.tok.encode_batch_fast([joined.decode("utf-8")], add_special_tokens=False)[0].ids
+
+    def learn_block(self, data: np.ndarray, ends: np.ndarray, cuts: list[tuple[list[int], list[int], list[int]]]) -> None:
+        """Encode the words of a block that are in chunks not met yet, or outside of chunks."""
         words: set[bytes] = set()
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            words.update(data[a:b].tobytes().split())
+        for a, b, (_, firsts, lasts) in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts, strict=True):
+            text, done = data[a:b].tobytes(), 0
+            for low, high in zip(lasts, firsts, strict=True):
+                if low > done:
+                    if not self._met(piece := text[done:low]):
+                        words.update(piece.split())
+                    words.update(text[low:high].split())
+                    done = high
+            if not self._met(piece := text[done:]):
+                words.update(piece.split())
         self.learn(words)
 
+    def _met(self, piece: bytes) -> bool:
+        key = xxhash.xxh3_128_digest(piece)
+        return key in self.chunks or key in self.chunks_before
+
     def _keep(self, word: bytes, ids: list[int]) -> None:
-        back = " ".join([self.names[i] for i in ids]) if self.plain else self.decode(ids)
-        self.words[word] = (" ".join([self.texts[i] for i in ids]).encode(), back.encode())
+        back = b" ".join([self.names[i] for i in ids]) if self.plain else self.decode(ids).encode()
+        self.words[word] = (b" ".join([self.texts[i] for i in ids]), back)
 
     def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
         """(ids, decoded text) of bytes between white space, both joined by spaces."""
@@ -106,36 +145,40 @@ class Codec:
             got = list(map(get, words))
         except KeyError:
             self.learn(set(words))
-            if any(w not in self.words for w in words):  # the table was emptied meanwhile
-                self.learn(set(words))
-            got = list(map(get, words))
+            got = list(map(self.words.__getitem__, words))
         if not got:
             return b"", b""
         ids, out = zip(*got, strict=True)
         return b" ".join(filter(None, ids)), b" ".join(filter(None, out))
 
     def _chunk(self, piece: bytes) -> tuple[bytes, bytes]:
-        had = self.chunks.get(piece)
+        key = xxhash.xxh3_128_digest(piece)
+        had = self.chunks.get(key)
         if had is None:
             if len(self.chunks) > CHUNKS:
-                self.chunks.clear()
-            had = self.chunks[piece] = self._piece(piece)
-        else:
-            self.reused += 1
+                self.chunks_before, self.chunks = self.chunks, {}
+            had = self.chunks_before.get(key)
+            if had is None:
+                self.encoded += 1
+                self.chunks[key] = had = self._piece(piece)
+                return had
+            self.chunks[key] = had
+        self.reused += 1
         return had
 
     def _joint(self, text: bytes, a: int, b: int) -> tuple[int, int]:
-        """Widen [a, b) until encoding it with a word on either side agrees with encoding the parts."""
+        """Widen [a, b) until encoding it with a word on either side agrees with the codes of the parts."""
         while True:
             left, right = _word_before(text, a), _word_after(text, b)
-            three = (text[left:a], text[a:b], text[b:right])
-            if three in self.agreed:
+            known = (text[left:right], a - left, b - left)
+            if known in self.agreed:
                 return a, b
-            if self._ids(text[left:right]) == sum(map(self._ids, three), []):
-                if len(self.agreed) > WORDS:
+            apart = b" ".join(filter(None, (self._piece(text[x:y])[0] for x, y in ((left, a), (a, b), (b, right)))))
+            if b" ".join([self.texts[i] for i in self._ids(known[0])]) == apart:
+                if len(self.agreed) > JOINTS:
                     self.agreed.clear()
-                if right - left <= 1024:
-                    self.agreed.add(three)
+                if right - left <= 256:
+                    self.agreed.add(known)
                 return a, b
             a, b = left, right
 
@@ -222,8 +265,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
         for rows, ends, data in utf8_blocks(batches, held=True):
             counts, ids, back = [], [], []
-            own.learn_block(data, ends)
-            for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), place_cuts(data, ends), strict=True):
+            cuts = place_cuts(data, ends)
+            own.learn_block(data, ends, cuts)
+            for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), cuts, strict=True):
                 x, y = own.encode(data[a:b].tobytes(), *where)
                 counts.append(x.count(b" ") + 1 if x else 0)
                 ids.append(hashlib.sha256(x).hexdigest())
@@ -240,8 +284,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for rows, ends, data in utf8_blocks(batches, held=True):
-            own.learn_block(data, ends)
-            got = [own.encode(data[a:b].tobytes(), *where) for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), place_cuts(data, ends), strict=True)]
+            cuts = place_cuts(data, ends)
+            own.learn_block(data, ends, cuts)
+            got = [own.encode(data[a:b].tobytes(), *where) for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), cuts, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([list(map(int, x.split())) for x, _ in got], pa.list_(pa.int32())), pa.array([y.decode() for _, y in got], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

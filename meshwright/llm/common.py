@@ -21,7 +21,7 @@ from meshwright.session import workers_see_package
 #: Rows of an Arrow batch; with texts of up to a few hundred KB this bounds a worker's memory.
 ARROW_ROWS = 512
 #: Bytes of text that numpy kernels look at together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -166,6 +166,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
+HELD.append(_powers)
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -57,6 +57,8 @@ CROWD, STARS, CHAINS = 8, 1, 2
 PACK, BUCKET, NOTE = 1 << 17, 1 << 19, -1
 #: Bits of the signature that goes with keys, and rows of keys looked at together.
 BRIEF, ROWS = 1024, 1 << 16
+#: Classes that a task remembers, so as not to give them twice.
+SEEN = 250_000
 #: Pairs of one lead that one task verifies.
 LEAD = 512
 BITS = 24
@@ -205,7 +207,7 @@ def _classes(seed: int):
                     met += [k for band, k, _, _ in got if band]
                     kept += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(least), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())], names)
-            if kept > 4_000_000 or len(seen) > 1_000_000:
+            if kept > 1_500_000 or len(seen) > SEEN:
                 yield flush()
                 kept = 0
                 seen.clear()
@@ -251,7 +253,7 @@ def _index(seed: int, told: np.ndarray, cost: np.ndarray, buckets: int):
                     cs.append(np.full(len(ks[-1]), c, np.int64))
                     size += len(ks[-1])
                     notes.append((c, rare))
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             if size > PACK:
                 yield from give()

@@ -45,7 +45,7 @@ GENERAL, REMOVE = 0.75, 0.95
 #: Bytes of the prefixes that terms are generalised to, and the least length of a term.
 PREFIXES, SHORTEST = (5, 3, 1), 3
 #: Words that a task counts before it gives their counts away.
-HELD_WORDS = 2_000_000
+HELD_WORDS = 1_000_000
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
 

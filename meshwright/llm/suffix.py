@@ -101,7 +101,7 @@ def _fresh(data: np.ndarray, ends: np.ndarray, seen: set[int]) -> tuple[np.ndarr
         if key not in seen:
             seen.add(key)
             fresh[k] = True
-    if len(seen) > 1_000_000:
+    if len(seen) > 250_000:
         seen.clear()
     return keys, fresh
 

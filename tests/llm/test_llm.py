@@ -225,8 +225,9 @@ def test_bpe_long_words():
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         ends = np.array([0, len(raw)])
-        own.learn_block(raw, ends)
-        got = own.encode(raw.tobytes(), *bpe.place_cuts(raw, ends)[0])
+        cuts = bpe.place_cuts(raw, ends)
+        own.learn_block(raw, ends, cuts)
+        got = own.encode(raw.tobytes(), *cuts[0])
         ids = own.tok.encode(t, add_special_tokens=False).ids
         assert got == (" ".join(map(str, ids)).encode(), own.decode(ids).encode())
     t = b"a " + "\u5b57".encode() * 300 + b" b"
@@ -237,6 +238,23 @@ def test_bpe_long_words():
     assert own.encode(t, cuts, [x + 3 for x in cuts], [x - 1 for x in cuts])[0].split() == [b for b in " ".join(str(i) for i in own.tok.encode(t.decode(), add_special_tokens=False).ids).encode().split()]
 
 
+def test_bpe_reuses_chunks_across_documents(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS", 50)
+    monkeypatch.setattr(bpe, "CHUNKS", 40)
+    r, own = random.Random(12), bpe.Codec(vocabulary())
+    say = lambda n: " ".join("".join(r.choice("etaoin'é1.") for _ in range(r.randint(1, 9))) for _ in range(n))
+    shared = say(3000)
+    texts = [f"{say(r.randrange(300))} {shared} {say(20)}" for _ in range(6)]
+    raw = [t.encode() for t in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    cuts = bpe.place_cuts(data, ends)
+    own.learn_block(data, ends, cuts)
+    for t, b, where in zip(texts, raw, cuts, strict=True):
+        ids = own.tok.encode(t, add_special_tokens=False).ids
+        assert own.encode(b, *where) == (" ".join(map(str, ids)).encode(), own.decode(ids).encode())
+    assert own.reused > own.encoded and len(own.chunks) <= 41
+
+
 def test_topk(spark):
     r = np.random.default_rng(1)
     v = r.normal(size=(700, 16)).astype(np.float32)
