@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 
 from meshwright.llm.common import HELD, arrow_batches, mix64, utf8_blocks
 
-#: A cut follows a byte whose window hash has these bits clear: about one in 1024.
-CUT_BITS = 10
+#: A cut follows a byte whose window hash has these bits clear: about one in 2048.
+CUT_BITS = 11
 WINDOW = 16
 #: What a generation of the tables holds: words, chunks and joints.
-WORDS, CHUNKS, JOINTS = 100_000, 8_000, 20_000
+WORDS, CHUNKS, JOINTS = 100_000, 4_000, 20_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACE)] = True
@@ -97,19 +97,18 @@ class Codec:
             flat = self._many(b" ".join(part))
             stops = np.flatnonzero(self.last[flat]) + 1 if flat else np.zeros(0, int)
             if len(stops) == len(part) and stops[-1] == len(flat):
-                for w, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                    self._keep(w, flat[a:b])
+                self._keep(part, flat, [0, *stops[:-1].tolist()], stops.tolist())
         plain = [w for w in new if w not in self.words and self.mark is not None and self.mark_text not in w]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
             flat = self._many(self.mark_text.join(part))
             stops = [i for i, x in enumerate(flat) if x == self.mark]
             if len(stops) == len(part) - 1:
-                for w, a, b in zip(part, [0, *(i + 1 for i in stops)], [*stops, len(flat)], strict=True):
-                    self._keep(w, flat[a:b])
+                self._keep(part, flat, [0, *(i + 1 for i in stops)], [*stops, len(flat)])
         for w in new:
             if w not in self.words:
-                self._keep(w, self._ids(w))
+                ids = self._ids(w)
+                self._keep([w], ids, [0], [len(ids)])
 
     def _many(self, joined: bytes) -> list[int]:
         return self.tok.encode_batch_fast([joined.decode("utf-8")], add_special_tokens=False)[0].ids
@@ -133,9 +132,13 @@ class Codec:
         key = xxhash.xxh3_128_digest(piece)
         return key in self.chunks or key in self.chunks_before
 
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        back = b" ".join([self.names[i] for i in ids]) if self.plain else self.decode(ids).encode()
-        self.words[word] = (b" ".join([self.texts[i] for i in ids]), back)
+    def _keep(self, words: list[bytes], flat: list[int], starts: list[int], stops: list[int]) -> None:
+        """Enter words, whose ids are pieces of flat."""
+        texts, names = [self.texts[i] for i in flat], [self.names[i] for i in flat]
+        if self.plain:
+            self.words.update([(w, (b" ".join(texts[a:b]), b" ".join(names[a:b]))) for w, a, b in zip(words, starts, stops, strict=True)])
+        else:
+            self.words.update([(w, (b" ".join(texts[a:b]), self.decode(flat[a:b]).encode())) for w, a, b in zip(words, starts, stops, strict=True)])
 
     def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
         """(ids, decoded text) of bytes between white space, both joined by spaces."""
@@ -146,10 +149,7 @@ class Codec:
         except KeyError:
             self.learn(set(words))
             got = list(map(self.words.__getitem__, words))
-        if not got:
-            return b"", b""
-        ids, out = zip(*got, strict=True)
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, out))
+        return _joined(got)
 
     def _chunk(self, piece: bytes) -> tuple[bytes, bytes]:
         key = xxhash.xxh3_128_digest(piece)
@@ -173,7 +173,7 @@ class Codec:
             known = (text[left:right], a - left, b - left)
             if known in self.agreed:
                 return a, b
-            apart = b" ".join(filter(None, (self._piece(text[x:y])[0] for x, y in ((left, a), (a, b), (b, right)))))
+            apart = _joined([self._piece(text[x:y]) for x, y in ((left, a), (a, b), (b, right))])[0]
             if b" ".join([self.texts[i] for i in self._ids(known[0])]) == apart:
                 if len(self.agreed) > JOINTS:
                     self.agreed.clear()
@@ -199,8 +199,15 @@ class Codec:
         if done < len(text):
             spans.append((done, len(text), True))
         out = [self._chunk(text[a:b]) if chunk else self._piece(text[a:b]) for a, b, chunk in spans]
-        ids, back = zip(*out, strict=True) if out else ((), ())
-        return b" ".join(filter(None, ids)), b" ".join(filter(None, back))
+        return _joined(out)
+
+
+def _joined(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """ids and decoded texts of parts that white space divides; those without tokens are left out."""
+    if not parts:
+        return b"", b""
+    ids, back = zip(*parts, strict=True)
+    return b" ".join(filter(None, ids) if b"" in ids else ids), b" ".join(filter(None, back) if b"" in back else back)
 
 
 def _word_before(text: bytes, at: int) -> int:
