@@ -104,19 +104,37 @@ def symmetry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator.symmetry(tables.visits(spark, sf_dir)).select("i", "j", "lower", "upper")
 
 
-@query(f"""WITH {_VISITS}, r AS (SELECT i, coalesce(sum(a) FILTER (i = j), 0) AS dg, coalesce(sum(abs(a)) FILTER (i <> j), 0) AS s FROM d GROUP BY i)
-  SELECT count(*) FILTER (i <> j AND a > 0) AS off_pos, count(*) FILTER (i <> j AND a < 0) AS off_neg, count(*) FILTER (i > j) AS lower, count(*) FILTER (i < j) AS upper, count(*) FILTER (i = j AND a > 0) AS diag_pos,
-  (SELECT count(*) FILTER (dg < s) FROM r) AS deficient_rows, (SELECT count(*) FILTER (dg > s) FROM r) AS excess_rows FROM d""")
+def _input_sql(source: str, n: str = "max(greatest(i, j)) + 1") -> str:
+    return f"""SELECT ({n})::BIGINT AS n, count(*) FILTER (i <> j AND a > 0) AS off_pos, count(*) FILTER (i <> j AND a < 0) AS off_neg, count(*) FILTER (i > j) AS lower, count(*) FILTER (i < j) AS upper, count(DISTINCT i) FILTER (i = j AND a > 0) AS diag_pos FROM {source}"""
+
+
+@query(f"""WITH {_VISITS}, r AS (SELECT i, coalesce(sum(a) FILTER (i = j), 0) - coalesce(sum(abs(a)) FILTER (i <> j), 0) AS slack FROM d GROUP BY i),
+  q AS (SELECT count(*) FILTER (slack < 0) AS deficient_rows, count(*) FILTER (slack > 0) AS excess_rows, least(min(slack), 0)::DOUBLE AS worst_deficit, (SELECT i FROM r WHERE slack < 0 ORDER BY slack, i LIMIT 1)::BIGINT AS worst_row FROM r)
+  SELECT * FROM ({_input_sql("d")}), q""")
 def input_kind_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator.input_census(tables.visits(spark, sf_dir))
 
 
-@query(f"WITH {_NATION} SELECT 'laplacian' AS operator_kind, 'adjacency' AS adjacency_kind")
+#: Readings of the nation operator: (name, what replaces entry a, which entries stay).
+_CASES = {
+    "operator": ("a", "true"), "no diagonal": ("a", "i <> j"), "adjacency": ("abs(a)", "i <> j"), "adjacency with loops": ("abs(a)", "i <> j OR i % 5 = 0"),
+    "mixed, whole diagonal": ("CASE WHEN i <> j AND (i + j) % 7 = 0 THEN -a ELSE a END", "true"), "mixed, no diagonal": ("CASE WHEN (i + j) % 7 = 0 THEN -a ELSE a END", "i <> j"),
+    "mixed, part of the diagonal": ("CASE WHEN i <> j AND (i + j) % 7 = 0 THEN -a ELSE a END", "i <> j OR i % 5 = 0"), "lower triangle": ("a", "i >= j"), "diagonal": ("a", "i = j"),
+}
+_KIND = """CASE WHEN lower + upper > 0 AND least(lower, upper) = 0 THEN 'not symmetric' WHEN off_pos = 0 THEN 'laplacian' WHEN off_neg = 0 THEN 'adjacency' WHEN diag_pos = n THEN 'laplacian' ELSE 'cannot tell' END"""
+
+
+@query(f"WITH {_NATION} " + " UNION ALL ".join(f"SELECT '{k}' AS input, {_KIND} AS kind FROM ({_input_sql(f'(SELECT i, j, {x} AS a FROM lap WHERE {ok})', '25')})" for k, (x, ok) in _CASES.items()))
 def input_kind_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, _ = _nation(spark, sf_dir)
-    adjacency = operator.both_ways(e).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("a"))
-    kinds = [operator.resolve_kind(operator.input_census(x).first().asDict()) for x in (_nation_laplacian(spark, sf_dir), adjacency)]
-    return spark.createDataFrame([tuple(kinds)], "operator_kind string, adjacency_kind string")
+    a, out = _nation_laplacian(spark, sf_dir), []
+    for name, (x, ok) in _CASES.items():
+        seen = operator.input_census(a.where(ok).select("i", "j", F.expr(x).alias("a")), 25).first().asDict()
+        try:
+            kind, _ = operator.resolve_kind(seen)
+        except ValueError as e:
+            kind = "not symmetric" if "not symmetric" in str(e) else "cannot tell"
+        out.append((name, kind))
+    return spark.createDataFrame(out, "input string, kind string")
 
 
 _FLIP = "m AS (SELECT i, j, CASE WHEN i <> j AND (i + j) % 7 = 0 THEN -a ELSE a END AS a FROM lap)"
@@ -224,14 +242,14 @@ _invariants("rootset_maximal", _chosen(lambda e, d: select.rootset(e, d)), True)
 _invariants("luby_independent", _chosen(lambda e, d: select.luby(e, d)), False)
 _invariants("block_greedy_independent", _chosen(lambda e, d: select.block_greedy(e, d)), True)
 
-#: The nation graph is almost complete, so a round takes out one vertex; part vertices of the bipartite graph give a real one.
-_ROUND = f"""{_SUPP}, sel AS (SELECT v FROM deg WHERE v >= 1000000 AND v % 10 = 3), st AS (SELECT b.u AS v, b.v AS u, w FROM b JOIN sel ON sel.v = b.u),
+#: The nation graph is almost complete, so a round takes out one vertex; the parts, an independent set of the bipartite graph, give a real one.
+_ROUND = f"""{_SUPP}, sel AS (SELECT v FROM deg WHERE v >= 1000000), st AS (SELECT b.u AS v, b.v AS u, w FROM b JOIN sel ON sel.v = b.u),
   tot AS (SELECT v, sum(w) + (v % 3) AS total, (v % 3)::DOUBLE AS e FROM st GROUP BY v)"""
 
 
 def _round(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges, vertices = _supp(spark, sf_dir)
-    picked = vertices.where(f"v >= {tables.PART_OFFSET} AND v % 10 = 3").select("v", (F.col("v") % 3).cast("double").alias("excess"))
+    picked = vertices.where(f"v >= {tables.PART_OFFSET}").select("v", (F.col("v") % 3).cast("double").alias("excess"))
     star = eliminate.stars(edges, picked)
     return edges, star, eliminate.totals(star, picked)
 
@@ -267,40 +285,40 @@ def coalesce_multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliminate.coalesce_edges(line)
 
 
-#: A factor-like table: lower triangle of the supplier-part operator with values that spread over five decades.
-_G = "g AS (SELECT u AS col, v AS row, -w / pow(10.0::DOUBLE, (v % 6)::DOUBLE) AS val FROM e UNION ALL SELECT i, i, a FROM lap WHERE i = j)"
+#: The factor columns of a round that takes out all parts.
+_G = "g AS MATERIALIZED (SELECT v AS col, v AS row, sqrt(total) AS val FROM tot UNION ALL SELECT v, u, -w / sqrt(total) FROM st JOIN tot USING (v))"
 
 
 def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, _ = _supp(spark, sf_dir)
-    off = e.select(F.col("u").alias("col"), F.col("v").alias("row"), (-F.col("w") / F.pow(F.lit(10.0), (F.col("v") % 6).cast("double"))).alias("val"))
-    return off.unionByName(operator.laplacian(e).where("i = j").select(F.col("i").alias("col"), F.col("i").alias("row"), F.col("a").alias("val")))
+    _, star, total = _round(spark, sf_dir)
+    return eliminate.factor_columns(star, total)
 
 
-@query(f"""WITH {_SUPP}, {_G}, t AS (SELECT *, max(abs(val)) FILTER (row <> col) OVER (PARTITION BY col) AS top FROM g), k AS (SELECT *, row = col OR abs(val) >= 1e-4::DOUBLE * top AS keep FROM t),
+@query(f"""WITH {_ROUND}, {_G}, t AS (SELECT *, max(abs(val)) FILTER (row <> col) OVER (PARTITION BY col) AS top FROM g), k AS (SELECT *, row = col OR abs(val) >= 0.6::DOUBLE * top AS keep FROM t),
   s AS (SELECT *, sum(CASE WHEN keep THEN 0 ELSE val END) OVER (PARTITION BY col) AS lost, sum(CASE WHEN keep AND row <> col THEN abs(val) ELSE 0 END) OVER (PARTITION BY col) AS mass FROM k)
   SELECT col, row, round(CASE WHEN row <> col AND mass > 0 THEN val + lost * abs(val) / mass ELSE val END, 6) + 0.0 AS val FROM s WHERE keep""")
 def factor_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round6(factor.drop_small(_g(spark, sf_dir)), "val")
+    return _round6(factor.drop_small(_g(spark, sf_dir), 0.6), "val")
 
 
-@query(f"WITH {_SUPP}, {_G} SELECT col, round(coalesce(max(abs(val)) FILTER (row <> col), 1.0), 6) + 0.0 AS scale FROM g GROUP BY col")
+@query(f"WITH {_ROUND}, {_G} SELECT col, round(coalesce(max(abs(val)) FILTER (row <> col), 1.0), 6) + 0.0 AS scale FROM g GROUP BY col")
 def column_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(factor.column_scale(_g(spark, sf_dir)), "scale")
 
 
-@query(f"WITH {_SUPP}, {_G} SELECT col, row, val FROM g WHERE row < 1000500 AND col < 1000500")
+@query(f"WITH {_ROUND}, {_G} SELECT col, row, round(val, 6) + 0.0 AS val FROM g WHERE row < 1000500 AND col < 1000500")
 def leading_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor.leading_block(_g(spark, sf_dir), 1_000_500)
+    return _round6(factor.leading_block(_g(spark, sf_dir), 1_000_500), "val")
 
 
-@query(f"WITH {_SUPP}, {_G} SELECT (col % 11)::INTEGER AS level, count(DISTINCT col) AS rows, count(*) AS nnz FROM g GROUP BY 1")
+@query(f"WITH {_ROUND}, {_G} SELECT (w.deg // 3)::INTEGER AS level, count(DISTINCT col) AS rows, count(*) AS nnz FROM g JOIN deg w ON w.v = col GROUP BY 1")
 def level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _g(spark, sf_dir)
-    return factor.level_histogram(g, g.where("row = col").select("col", F.col("col").alias("pos"), (F.col("col") % 11).cast("int").alias("round")).select("pos", "round"))
+    edges, vertices = _supp(spark, sf_dir)
+    rounds = select.degrees(edges, vertices).select(F.col("v").alias("pos"), F.floor(F.col("deg") / 3).cast("int").alias("round"))
+    return factor.level_histogram(_g(spark, sf_dir), rounds)
 
 
-@query(f"WITH {_SUPP}, {_G}, p AS (SELECT col, val AS p FROM g WHERE row = col) SELECT g.col, row, round(val / p, 6) + 0.0 AS val FROM g JOIN p ON p.col = g.col")
+@query(f"WITH {_ROUND}, {_G}, p AS MATERIALIZED (SELECT col, val AS p FROM g WHERE row = col) SELECT g.col, row, round(val / p, 6) + 0.0 AS val FROM g JOIN p ON p.col = g.col")
 def unit_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(factor.ldl(_g(spark, sf_dir))[0], "val")
 
@@ -344,25 +362,19 @@ def permute_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.gather(v.select("v", F.col("v").cast("double").alias("x")), perm)
 
 
-_SPARSE = "e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1), b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), vx AS (SELECT DISTINCT u AS v FROM b)"
-_REACH = "reach AS (SELECT v, v AS root FROM vx UNION SELECT b.v, root FROM reach JOIN b ON b.u = reach.v), comp AS (SELECT v, min(root) AS component FROM reach GROUP BY v)"
+_REACH = """cc(v, component) USING KEY (v) AS (SELECT u, u FROM (SELECT DISTINCT u FROM b) UNION (SELECT b.v, min(cc.component) FROM cc JOIN b ON b.u = cc.v JOIN recurring.cc q ON q.v = b.v WHERE cc.component < q.component GROUP BY b.v)),
+  comp AS MATERIALIZED (SELECT v, component FROM cc)"""
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    line = tables.read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_linenumber = 1")
-    e = line.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + tables.PART_OFFSET).alias("v")).distinct().withColumn("w", F.lit(1.0))
-    return e, operator.both_ways(e).select(F.col("u").alias("v")).distinct()
-
-
-@query(f"WITH RECURSIVE {_SPARSE}, {_REACH} SELECT v, component FROM comp")
+@query(f"WITH RECURSIVE {_SUPP}, {_REACH} SELECT v, component FROM comp")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.components(*_sparse(spark, sf_dir))
+    return components.components(*_supp(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_SPARSE}, {_REACH}, lap AS (SELECT u AS i, u AS j, count(*)::DOUBLE AS a FROM b GROUP BY u UNION ALL SELECT u, v, -1.0::DOUBLE FROM b), pins AS (SELECT DISTINCT component AS p FROM comp)
+@query(f"""WITH RECURSIVE {_SUPP}, {_REACH}, pins AS (SELECT DISTINCT component AS p FROM comp)
   SELECT i, j, a FROM lap WHERE i NOT IN (SELECT p FROM pins) AND j NOT IN (SELECT p FROM pins) UNION ALL SELECT p, p, 1.0::DOUBLE FROM pins""")
 def dirichlet_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = _sparse(spark, sf_dir)
+    e, v = _supp(spark, sf_dir)
     return components.pin_components(operator.laplacian(e, v), components.components(e, v))
 
 
@@ -476,7 +488,7 @@ def _solve_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _solve_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, v = _sparse(spark, sf_dir)
+    e, v = _supp(spark, sf_dir)
     a = operator.laplacian(e, v)
     b = rhs.range_space(a, v)
     got = solver.solve(a, b, "component")

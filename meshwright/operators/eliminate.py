@@ -5,13 +5,14 @@ State of a factorisation: edges(u, v, w, mult) of the active vertices and active
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.functions import trees
 from meshwright.operators.operator import both_ways
 
 
@@ -44,41 +45,29 @@ def exact_clique(star: DataFrame, total: DataFrame) -> DataFrame:
     return a.join(b, "v").where("a < b").join(total.select("v", "total"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("wa") * F.col("wb") / F.col("total")).alias("w"))
 
 
-def sample_tree(w: np.ndarray, u: np.ndarray, total: float, draws: np.ndarray) -> list[tuple[int, int, float]]:
-    """d - 1 edges of a star whose expectation is its clique: leaf i (by weight, id) is joined to one heavier-ranked leaf,
-    drawn by weight, with weight w_i * (weight behind i) / total."""
-    order = np.lexsort((u, w))
-    w, u = w[order], u[order]
-    upto = np.cumsum(w)
-    out = []
-    for i in range(len(w) - 1):
-        behind = upto[-1] - upto[i]
-        if behind <= 0:
-            continue
-        j = min(int(np.searchsorted(upto, upto[i] + draws[i] * behind, "right")), len(w) - 1)
-        out.append((int(u[i]), int(u[max(j, i + 1)]), float(w[i] * behind / total)))
-    return out
+def tree_clique(star: DataFrame, total: DataFrame, seed: int = 42, sampler: Callable | None = None) -> DataFrame:
+    """(u, v, w): sampled clique of every star. Stars lie together and whole in sorted partitions and are drawn many at a time; a
+    caller's sampler(w, u, total, draws) is asked star by star."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
 
-def uniform(seed: int, v: int, n: int) -> np.ndarray:
-    """n draws in [0, 1) that only (seed, v) decide: splitmix steps in wrapping 64-bit numbers."""
-    x = np.uint64((seed ^ ((v + 1) * 0x9E3779B97F4A7C15)) & (1 << 64) - 1)
-    with np.errstate(over="ignore"):
-        z = x + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53
+        def give(cols: list[np.ndarray]) -> pa.RecordBatch:
+            got = trees.sampled(*cols, seed) if sampler is None else trees.by_rule(sampler, *cols, seed)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(got, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["u", "v", "w"])
 
+        for batch in batches:
+            held.append([np.asarray(batch.column(c)) for c in ("v", "u", "w", "total")])
+            v = held[-1][0]
+            end = int(np.searchsorted(v, v[-1])) if len(v) else 0
+            if end:  # the last star may go on in the next batch
+                yield give([np.concatenate([*[h[k] for h in held[:-1]], held[-1][k][:end]]) for k in range(4)])
+                held = [[c[end:] for c in held[-1]]]
+        if held:
+            yield give([np.concatenate([h[k] for h in held]) for k in range(4)])
 
-def tree_clique(star: DataFrame, total: DataFrame, seed: int = 42, sampler: Callable = sample_tree) -> DataFrame:
-    """(u, v, w): sampled clique of every star, one group of the star's rows at a time. sampler(w, u, total, draws)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = int(pdf["v"].iloc[0])
-        got = sampler(pdf["w"].to_numpy(), pdf["u"].to_numpy(), float(pdf["total"].iloc[0]), uniform(seed, v, len(pdf)))
-        return pd.DataFrame({"u": np.array([min(a, b) for a, b, _ in got], np.int64), "v": np.array([max(a, b) for a, b, _ in got], np.int64), "w": np.array([x for *_, x in got], float)})
-
-    return star.join(total.select("v", "total"), "v").groupBy("v").applyInPandas(run, "u long, v long, w double")
+    rows = star.join(total.select("v", "total"), "v").select("v", "u", "w", "total")
+    return rows.repartition(F.xxhash64("v")).sortWithinPartitions("v").mapInArrow(run, "u long, v long, w double")
 
 
 def coalesce_edges(edges: DataFrame) -> DataFrame:
@@ -97,7 +86,7 @@ def eliminate(edges: DataFrame, active: DataFrame, chosen: DataFrame, sampler: s
         new = exact_clique(star, total)
     else:
         size = star.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("v")))
-        rule = sample_tree if sampler == "tree" else sampler
+        rule = None if sampler == "tree" else sampler
         new = tree_clique(size.where(F.col("d") > exact_below).drop("d"), total, seed, rule)
         if exact_below:
             new = new.unionByName(exact_clique(size.where(F.col("d") <= exact_below).drop("d"), total))

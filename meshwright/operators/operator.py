@@ -108,29 +108,73 @@ def is_sddm(excess: DataFrame) -> bool:
     return bool(excess.where("excess > 0").take(1))
 
 
-def input_census(a: DataFrame) -> DataFrame:
-    """One row of counts by which a file is read as adjacency or as operator."""
+def input_census(a: DataFrame, n: int | None = None) -> DataFrame:
+    """One row of counts by which a file is read as adjacency or as operator; n: rows, else one more than the largest id."""
     off = F.col("i") != F.col("j")
     rows = a.groupBy("i").agg(F.coalesce(F.sum(F.when(~off, F.col("a"))), F.lit(0.0)).alias("d"), F.coalesce(F.sum(F.when(off, F.abs("a"))), F.lit(0.0)).alias("s"))
-    rows = rows.agg(F.count_if(F.col("d") < F.col("s")).alias("deficient_rows"), F.count_if(F.col("d") > F.col("s")).alias("excess_rows"))
-    return a.agg(F.count_if(off & (F.col("a") > 0)).alias("off_pos"), F.count_if(off & (F.col("a") < 0)).alias("off_neg"), F.count_if(F.col("i") > F.col("j")).alias("lower"), F.count_if(F.col("i") < F.col("j")).alias("upper"), F.count_if(~off & (F.col("a") > 0)).alias("diag_pos")).join(rows)
-
-
-def resolve_kind(seen: dict, kind: str = "auto") -> str:
-    """`laplacian` or `adjacency`; ValueError for one-sided matrices and where signs allow both readings or neither."""
-    if kind not in ("auto", "laplacian", "adjacency"):
-        raise ValueError(f"input kind {kind!r} is none of auto, laplacian, adjacency")
-    if (seen["lower"] == 0) != (seen["upper"] == 0):
-        raise ValueError("only one triangle is stored: declare the file symmetric")
-    if kind != "auto":
-        return kind
-    if seen["diag_pos"] and (seen["off_neg"] or not seen["off_pos"]):
-        return "laplacian"
-    if not seen["diag_pos"] and not seen["off_neg"]:
-        return "adjacency"
-    if not seen["diag_pos"] and not seen["off_pos"]:
-        return "adjacency"
-    raise ValueError("signs fit neither reading: say whether the input is laplacian or adjacency")
+    slack = F.col("d") - F.col("s")
+    rows = rows.agg(
+        F.count_if(slack < 0).alias("deficient_rows"), F.count_if(slack > 0).alias("excess_rows"),
+        F.coalesce(F.least(F.min(slack), F.lit(0.0)), F.lit(0.0)).alias("worst_deficit"), F.coalesce(F.min_by(F.when(slack < 0, F.col("i")), F.struct(slack, "i")), F.lit(-1)).alias("worst_row"),
+    )
+    size = F.lit(n).cast("long") if n is not None else F.coalesce(F.greatest(F.max("i"), F.max("j")) + 1, F.lit(0)).cast("long")
+    counts = a.agg(
+        size.alias("n"), F.count_if(off & (F.col("a") > 0)).alias("off_pos"), F.count_if(off & (F.col("a") < 0)).alias("off_neg"), F.count_if(F.col("i") > F.col("j")).alias("lower"), F.count_if(F.col("i") < F.col("j")).alias("upper"),
+        F.countDistinct(F.when(~off & (F.col("a") > 0), F.col("i"))).alias("diag_pos"),
+    )
+    return counts.join(rows)  # one row each
+
+
+KINDS = ("auto", "laplacian", "adjacency")
+
+
+def resolve_kind(seen: dict, kind: str = "auto", pattern: bool = False) -> tuple[str, str]:
+    """(`laplacian` or `adjacency`, why) from an input census. ValueError where only one triangle is stored, and where off-diagonal
+    entries have both signs and not every row has a positive diagonal entry."""
+    if kind not in KINDS:
+        raise ValueError(f"input kind {kind!r} is none of {', '.join(KINDS)}")
+    off = seen["lower"] + seen["upper"]
+    if off and not (seen["lower"] and seen["upper"]):
+        raise ValueError(f"matrix is not symmetric: all {off} off-diagonal entries are in the {'lower' if seen['lower'] else 'upper'} triangle; a file of one triangle must be declared symmetric")
+    signs = f"{seen['off_pos']} positive and {seen['off_neg']} negative off-diagonal entries"
+    if kind == "adjacency":
+        return kind, "asked for"
+    if kind == "laplacian":
+        if seen["n"] and not seen["diag_pos"]:
+            return kind, f"asked for; WARNING: none of {seen['n']} rows has a positive diagonal entry, as adjacency matrices have none"
+        return kind, f"asked for; WARNING: {seen['off_pos']} positive off-diagonal entries become negative edge weights" if seen["off_pos"] else "asked for"
+    if not seen["off_pos"]:
+        return "laplacian", f"all {off} off-diagonal entries are non-positive" if off else "a diagonal operator"
+    if not seen["off_neg"]:
+        return "adjacency", f"a pattern of {off} entries with unit weights" if pattern else f"all {off} off-diagonal entries are positive"
+    if seen["diag_pos"] == seen["n"]:
+        return "laplacian", f"mixed signs ({signs}), but every row has a positive diagonal entry"
+    raise ValueError(f"cannot tell an operator from an adjacency matrix: {signs}, and {seen['diag_pos']} of {seen['n']} rows have a positive diagonal entry; give the input kind")
+
+
+def describe_input(kind: str, seen: dict, why: str = "") -> str:
+    """One line on how an input is read."""
+    if kind == "adjacency":
+        return f"adjacency matrix, solving L = D - A ({why})"
+    if seen["diag_pos"] < seen["n"]:
+        more = f"{seen['diag_pos']} of {seen['n']} rows have a positive diagonal entry"
+    elif seen["deficient_rows"]:
+        more = f"{seen['deficient_rows']} of {seen['n']} rows are not diagonally dominant"
+    else:
+        more = f"SDDM, {seen['excess_rows']} rows have excess" if seen["excess_rows"] else "every row sums to zero"
+    return f"operator, solved as given ({'; '.join(x for x in (why, more) if x)})"
+
+
+def diagnose_failure(kind: str, seen: dict) -> str:
+    """What about the input may explain that a solve failed; empty if nothing does."""
+    found = []
+    if kind == "laplacian" and seen["off_pos"]:
+        found.append(f"{seen['off_pos']} off-diagonal entries are positive and give edges of negative weight")
+    if kind == "laplacian" and seen["diag_pos"] < seen["n"]:
+        found.append(f"{seen['diag_pos']} of {seen['n']} rows have a positive diagonal entry: is it an adjacency matrix?")
+    if seen["deficient_rows"]:
+        found.append(f"{seen['deficient_rows']} of {seen['n']} rows break diagonal dominance, row {seen['worst_row']} by {-seen['worst_deficit']:g}: the operator may be indefinite")
+    return "; ".join(found)
 
 
 def regularise(a: DataFrame, rel: float) -> DataFrame:

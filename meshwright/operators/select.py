@@ -88,13 +88,13 @@ def baumann_kyng(edges: DataFrame, degs: DataFrame, seed: int = 42, c: float = 0
     return local_minima(edges, by_degree(some, seed))
 
 
-def block_greedy(edges: DataFrame, degs: DataFrame, blocks: int = 16) -> DataFrame:
-    """Greedy by ascending id inside each block of ids; chosen vertices that lose by (degree, id) to a chosen neighbour of
+def block_greedy(edges: DataFrame, degs: DataFrame, blocks: int = 16, most: int = 1 << 16) -> DataFrame:
+    """Greedy by ascending id inside each block of at most `most` ids; chosen vertices that lose by (degree, id) to a chosen neighbour of
     another block drop out on one snapshot; what has become free is filled to a maximal set."""
     import pandas as pd
 
     n = (degs.agg(F.max("v")).first()[0] or 0) + 1
-    width = -(-n // blocks)
+    width = min(most, -(-n // blocks))
     inside = degs.select("v").withColumn("b", F.floor(F.col("v") / width)).join(both_ways(edges).where(F.floor(F.col("u") / width) == F.floor(F.col("v") / width)).groupBy(F.col("u").alias("v")).agg(F.collect_list("v").alias("near")), "v", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions import kernels
@@ -25,12 +26,13 @@ PEELS = ("natural", "min_degree")
 @dataclass
 class Options:
     seed: int = 42
-    partitioner: str | Callable = "baumann_kyng"
+    partitioner: str | Callable = "block_greedy"
     sampler: str | Callable = "tree"
     exact_below: int = 0
-    degree_quantile: float = 0.5
-    min_fraction: float = 0.02
-    peel_below: int = 20_000
+    degree_quantile: float = 0.2
+    min_is_fraction: float = 0.05
+    peel_below: int = 50_000
+    peel_edges: int = 5_000_000
     max_rounds: int = 200
     max_factor: int = 50_000_000
     storage: str = "vec_pool"
@@ -63,20 +65,20 @@ class Factorisation:
         return factor.assemble(self.columns, self.perm)
 
 
-def _peel(edges: DataFrame, active: DataFrame, opt: Options) -> tuple[list, list, list]:
-    """Eliminate a bounded rest on the driver: (column rows, vertices in order)."""
-    ids = np.array([r[0] for r in active.select("v").orderBy("v").collect()], np.int64)
-    extra = dict(active.select("v", "excess").collect())
-    e = edges.select("u", "v", "w").toPandas()
-    u, v, w = np.searchsorted(ids, e["u"]), np.searchsorted(ids, e["v"]), e["w"].to_numpy(float)
-    diag = np.bincount(u, w, minlength=len(ids)) + np.bincount(v, w, minlength=len(ids)) + np.array([extra[x] for x in ids.tolist()])
+def _peel(edges: DataFrame, active: DataFrame, opt: Options) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Eliminate a rest of at most peel_below vertices and peel_edges edges in one place: (columns, vertices in order, rounds)."""
+    got = active.select("v", "excess").toArrow().sort_by("v")
+    ids, extra = np.asarray(got.column("v")), np.asarray(got.column("excess"))
+    e = edges.select("u", "v", "w").toArrow()
+    u, v, w = np.searchsorted(ids, e.column("u")), np.searchsorted(ids, e.column("v")), np.asarray(e.column("w"))
+    diag = np.bincount(u, w, minlength=len(ids)) + np.bincount(v, w, minlength=len(ids)) + extra
     op = kernels.Operator(len(ids), np.concatenate([u, v, np.arange(len(ids))]), np.concatenate([v, u, np.arange(len(ids))]), np.concatenate([-w, -w, diag]))
-    rule = eliminate.sample_tree if opt.sampler in ("tree", "exact") else opt.sampler
+    rule = None if opt.sampler in ("tree", "exact") else opt.sampler
     f = kernels.factorise(op, opt.seed, len(ids) if opt.sampler == "exact" else opt.exact_below, rule, "natural" if opt.peel == "natural" else "min_degree")
     back = np.empty(len(ids), np.int64)
     back[f.perm] = ids
-    rows = [(int(back[p]), int(back[p]), float(d)) for p, d in enumerate(f.diag)] + [(int(back[c]), int(back[r]), float(x)) for c, r, x in zip(f.col, f.row, f.val, strict=True)]
-    return rows, back.tolist(), f.rounds[np.searchsorted(ids, back)].tolist()
+    rows = pa.table({"col": np.concatenate([back, back[f.col]]), "row": np.concatenate([back, back[f.row]]), "val": np.concatenate([f.diag, f.val])})
+    return rows, back, f.rounds[np.searchsorted(ids, back)]
 
 
 def factorize(a: DataFrame, vertices: DataFrame | None = None, **options) -> Factorisation:
@@ -90,14 +92,14 @@ def factorize(a: DataFrame, vertices: DataFrame | None = None, **options) -> Fac
     sddm = operator.is_sddm(active)
     edges = materialise(edges.withColumn("mult", F.lit(1).cast("long")))
     columns, placed, rounds, done, turn = [], [], [], 0, 0
-    n = active.count()
-    while n > opt.peel_below and turn < opt.max_rounds:
+    n, m = active.count(), edges.count()
+    while (n > opt.peel_below or m > opt.peel_edges) and turn < opt.max_rounds:
         degs = materialise(select.degrees(edges, active))
         some = select.under_cap(degs, select.quantile_cap(degs, opt.degree_quantile))
         inner = edges.join(some.select(F.col("v").alias("u")), "u", "left_semi").join(some.select("v"), "v", "left_semi")
         chosen = materialise(select.select(opt.partitioner, inner, some, opt.seed + turn))
         size = chosen.count()
-        if size < opt.min_fraction * n:  # too little for a round: the cheapest selector with a longer inner loop takes over
+        if size < opt.min_is_fraction * n:  # too little for a round: the cheapest selector with a longer inner loop takes over
             chosen = materialise(select.luby(inner, some, opt.seed + turn))
             size = chosen.count()
         if not size:
@@ -108,15 +110,12 @@ def factorize(a: DataFrame, vertices: DataFrame | None = None, **options) -> Fac
         edges, active = materialise(new_edges), materialise(new_active)
         rounds.append({"round": turn, "active": n, "is_size": size})
         done, turn = done + size, turn + 1
-        n -= size
-    if n > opt.peel_below:
-        raise ValueError(f"{n} vertices are left after {turn} rounds, over peel_below = {opt.peel_below}")
+        n, m = n - size, edges.count()
+    if n > opt.peel_below or m > opt.peel_edges:
+        raise ValueError(f"{n} vertices and {m} edges are left after {turn} rounds, over peel_below = {opt.peel_below} or peel_edges = {opt.peel_edges}")
     rows, order, levels = _peel(edges, active, opt)
-    if rows:
-        columns.append(spark.createDataFrame(rows, "col long, row long, val double"))
-    perm = spark.createDataFrame([(v, done + k, turn + lev) for k, (v, lev) in enumerate(zip(order, levels, strict=True))], "v long, pos long, round int")
-    from pyspark.sql import Window
-
+    columns.append(spark.createDataFrame(rows))
+    perm = spark.createDataFrame(pa.table({"v": order, "pos": done + np.arange(len(order)), "round": (turn + levels).astype(np.int32)}))
     for chosen, t, start in placed:
         width = 1 << 20
         bins = chosen.groupBy(F.floor(F.col("v") / width).alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("s", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -144,39 +143,71 @@ class Solver:
         opt = Options.of(**options)
         self.fac = fac or factorize(a, **options)
         g = self.fac.matrix()
-        if g.count() > opt.max_factor:
-            raise ValueError(f"the factor has more than max_factor = {opt.max_factor} entries; use tier jacobi or component")
-        p = self.fac.perm.orderBy("pos").toPandas()
-        self.ids = np.sort(p["v"].to_numpy())
-        perm = np.empty(len(p), np.int64)
-        perm[np.searchsorted(self.ids, p["v"])] = p["pos"]
-        g = g.toPandas()
-        diag = np.ones(len(p))
-        own = g["row"] == g["col"]
-        diag[g["col"][own]] = g["val"][own]
-        off = g[~own]
-        f = kernels.Factor(perm, p["round"].to_numpy(), diag, off["col"].to_numpy(), off["row"].to_numpy(), off["val"].to_numpy(float), self.fac.sddm)
-        m = a.toPandas()
-        self.local = kernels.Solver(kernels.Operator(len(self.ids), np.searchsorted(self.ids, m["i"]), np.searchsorted(self.ids, m["j"]), m["a"].to_numpy(float)), f)
+        for what, df in (("factor", g), ("operator", a)):
+            if df.count() > opt.max_factor:
+                raise ValueError(f"the {what} has more than max_factor = {opt.max_factor} entries; use tier jacobi or component")
+        p = self.fac.perm.toArrow().sort_by("pos")
+        own, pos = np.asarray(p.column("v")), np.asarray(p.column("pos"))
+        self.ids = np.sort(own)
+        perm = np.empty(len(own), np.int64)
+        perm[np.searchsorted(self.ids, own)] = pos
+        g = g.toArrow()
+        row, col, val = (np.asarray(g.column(c)) for c in ("row", "col", "val"))
+        diag, on = np.ones(len(own)), row == col
+        diag[col[on]] = val[on]
+        f = kernels.Factor(perm, np.asarray(p.column("round")), diag, col[~on], row[~on], val[~on], self.fac.sddm)
+        m = a.select("i", "j", "a").toArrow()
+        self.local = kernels.Solver(kernels.Operator(len(self.ids), np.searchsorted(self.ids, m.column("i")), np.searchsorted(self.ids, m.column("j")), np.asarray(m.column("a"))), f)
 
     def _vector(self, b: DataFrame, name: str) -> np.ndarray:
-        got = b.toPandas()
-        if len(got) != len(self.ids) or not np.array_equal(np.sort(got["v"].to_numpy()), self.ids):
-            raise ValueError(f"{name} has {len(got)} rows, not one for each of {len(self.ids)} vertices")
+        got = b.select("v", "x").toArrow()
+        v = np.asarray(got.column("v"))
+        if len(v) != len(self.ids) or not np.array_equal(np.sort(v), self.ids):
+            raise ValueError(f"{name} has {len(v)} rows, not one for each of {len(self.ids)} vertices")
         out = np.empty(len(self.ids))
-        out[np.searchsorted(self.ids, got["v"])] = got["x"]
+        out[np.searchsorted(self.ids, v)] = np.asarray(got.column("x"))
         return out
 
     def _frame(self, x: np.ndarray) -> DataFrame:
-        return self.spark.createDataFrame(list(zip(self.ids.tolist(), x.tolist(), strict=True)), "v long, x double")
+        return self.spark.createDataFrame(pa.table({"v": self.ids, "x": x}))
 
-    def solve(self, b: DataFrame, tol: float = 1e-8, rtol: float | None = None, maxiter: int = 500, x0: DataFrame | None = None) -> SolveResult:
+    def solve(self, b: DataFrame, tol: float = 1e-8, rtol: float | None = None, maxiter: int = 200, x0: DataFrame | None = None) -> SolveResult:
         got = self.local.solve(self._vector(b, "b"), tol if rtol is None else rtol, maxiter, None if x0 is None else self._vector(x0, "x0"))
         return SolveResult(self._frame(got.x), got.iterations, got.residual, got.converged)
 
     def apply(self, r: DataFrame) -> DataFrame:
         return self._frame(self.local.precondition(self._vector(r, "r")))
 
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.ids), len(self.ids)
+
+    @property
+    def sddm(self) -> bool:
+        return self.fac.sddm
+
+    @property
+    def lumped(self) -> int:
+        """Positive off-diagonal entries that were moved to the diagonal."""
+        return self.fac.lumped
+
+    @property
+    def perm(self) -> DataFrame:
+        return self.fac.perm
+
+    @property
+    def chol(self) -> DataFrame:
+        """G(col, row, val) in factor order: G G' is close to the permuted operator."""
+        return self.fac.matrix()
+
+    @property
+    def unit_lower(self) -> DataFrame:
+        return factor.ldl(self.chol)[0]
+
+    @property
+    def pivots(self) -> DataFrame:
+        return factor.ldl(self.chol)[1]
+
     @property
     def factor_nnz(self) -> int:
         return len(self.local.factor.val) + len(self.ids)
@@ -186,9 +217,11 @@ class Solver:
         return (2 * self.factor_nnz - len(self.ids)) / len(self.local.op.a)
 
 
-def solve(a: DataFrame, b: DataFrame, tier: str = "distributed", tol: float = 1e-8, maxiter: int = 500, **options) -> SolveResult:
+def solve(a: DataFrame, b: DataFrame, tier: str = "distributed", tol: float = 1e-8, maxiter: int = 200, **options) -> SolveResult:
     if tier == "distributed":
         return Solver(a, **options).solve(b, tol, maxiter=maxiter)
+    if tier in ("component", "jacobi"):  # a vertex without neighbours may have no entry
+        operator.require(a.where("i <> j OR a <> 0"))
     if tier == "component":
         workers_see_package(a.sparkSession)
         edges = a.where("i < j").select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("a").alias("w"))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwright.functions import kernels
+from meshwright.functions import kernels, trees
 from meshwright.operators import components, eliminate, factor, linalg, operator, select
 from meshwright.plans import solver
 from meshwright.sources import generators, matrix_market, rhs
@@ -50,20 +50,11 @@ def test_lumping_keeps_row_sums_and_is_idempotent(spark):
     assert sorted(map(tuple, operator.lump(b).collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_kind(spark):
-    seen = {"lower": 1, "upper": 1, "diag_pos": 0, "off_pos": 2, "off_neg": 0}
-    assert operator.resolve_kind(seen) == "adjacency"
-    assert operator.resolve_kind(seen | {"diag_pos": 2, "off_neg": 2, "off_pos": 0}) == "laplacian"
-    for bad in (seen | {"lower": 0}, seen | {"off_neg": 1}):
-        with pytest.raises(ValueError):
-            operator.resolve_kind(bad)
-
-
 @pytest.mark.parametrize("name", select.NAMES)
 def test_selectors_and_solve(spark, name):
     for excess in (None, 0.5):
         a, v = _grid(spark, 8, excess)
-        got = solver.solve(a, rhs.range_space(a, v), partitioner=name, peel_below=20)
+        got = solver.solve(a, rhs.range_space(a, v), partitioner=name, peel_below=40, degree_quantile=0.6)
         assert got.converged and got.residual < 1e-8
         if excess is None:
             assert abs(got.x.agg(F.avg("x")).first()[0]) < 1e-12
@@ -110,12 +101,12 @@ def test_multigraph_coalescing(spark):
 
 
 def test_tree_sample_is_unbiased():
-    w, u = np.array([1.0, 2.0, 3.0, 4.0]), np.arange(4)
+    w = np.array([1.0, 2.0, 3.0, 4.0])
     seen = np.zeros((4, 4))
     for k in range(4000):
-        got = eliminate.sample_tree(w, u, 10.0, eliminate.uniform(k, 1, 4))
-        assert len(got) == 3
-        for a, b, x in got:
+        got = trees.sampled(np.array([7] * 4 + [9, 9]), np.array([0, 1, 2, 3, 5, 4]), np.array([*w, 1.0, 3.0]), np.array([10.0] * 4 + [8.0] * 2), k)
+        assert len(got[0]) == 4 and (got[0][3], got[1][3], got[2][3]) == (4, 5, 3 / 8)
+        for a, b, x in list(zip(*got, strict=True))[:3]:
             seen[min(a, b), max(a, b)] += x / 4000
     assert np.allclose(seen, np.triu(np.outer(w, w) / 10, 1), atol=0.06)
 
@@ -130,6 +121,113 @@ def test_kernel_against_dense():
     assert np.allclose(s.solve(b, 1e-12).x, np.linalg.solve(m, b), atol=1e-9)
 
 
+def _laplacian(n, p, seed=2, ground=0.0):
+    r = np.random.default_rng(seed)
+    m = -np.triu((r.random((n, n)) < p) * r.random((n, n)), 1)
+    m = m + m.T
+    m += np.diag(ground - m.sum(1))
+    i, j = np.nonzero(m)
+    return m, kernels.Operator(n, i, j, m[i, j])
+
+
+@pytest.mark.parametrize("order", ["natural", "min_degree"])
+def test_exact_factor_is_cholesky(order):
+    m, op = _laplacian(30, 0.3, ground=0.5)
+    f = kernels.factorise(op, exact_below=30, order=order)
+    g = np.diag(f.diag)
+    g[f.row, f.col] = f.val
+    back = np.empty(30, int)
+    back[f.perm] = np.arange(30)
+    assert (f.row > f.col).all() and np.allclose(g @ g.T, m[np.ix_(back, back)])
+    if order == "natural":
+        assert np.allclose(g, np.linalg.cholesky(m))
+
+
+def test_sampled_factors_precondition():
+    m, op = _laplacian(3000, 0.004)
+    b = np.random.default_rng(1).normal(size=3000)
+    b -= b.mean()
+    for options in ({}, {"order": "natural"}, {"exact_below": 4}, {"sampler": lambda w, u, total, draws: [(int(u[k]), int(u[-1]), float(w[k] * w[k + 1 :].sum() / total)) for k in range(len(u) - 1)]}):
+        got = kernels.Solver(op, **options).solve(b, 1e-8, 400)
+        assert got.iterations < 400 and np.linalg.norm(b - op.times(got.x)) < 1e-6 * np.linalg.norm(b)
+
+
+def test_baselines():
+    m, op = _laplacian(200, 0.1, ground=0.01)
+    b = np.random.default_rng(3).normal(size=200)
+    want = np.linalg.solve(m, b)
+    assert np.allclose(kernels.direct(op, b).x, want) and kernels.direct(op, b).converged
+    got = kernels.Solver(op, kernels.incomplete_cholesky(op)).solve(b, 1e-10, 300)
+    assert got.converged and np.allclose(got.x, want, atol=1e-6)
+    m, op = _laplacian(12, 1.0, ground=0.2)  # on a full pattern nothing is left out
+    f = kernels.incomplete_cholesky(op)
+    g = np.diag(f.diag)
+    g[f.row, f.col] = f.val
+    assert np.allclose(g, np.linalg.cholesky(m))
+
+
+_GRID = [(0, 1, -1.0), (1, 0, -1.0), (1, 2, -1.0), (2, 1, -1.0)]
+
+
+@pytest.mark.parametrize(
+    ("entries", "n", "want"),
+    [
+        ([*_GRID, (0, 0, 1.0), (1, 1, 2.0), (2, 2, 1.0)], 3, "laplacian"),
+        (_GRID, 3, "laplacian"),
+        ([(i, j, -a) for i, j, a in _GRID], 3, "adjacency"),
+        ([(i, j, -2.5 * a) for i, j, a in _GRID] + [(0, 0, 3.0)], 3, "adjacency"),
+        ([(0, 1, 0.25), (1, 0, 0.25), (1, 2, -1.0), (2, 1, -1.0), (0, 0, 1.0), (1, 1, 2.0), (2, 2, 1.0)], 3, "laplacian"),
+        ([(0, 1, 1.0), (1, 0, 1.0), (1, 2, -1.0), (2, 1, -1.0)], 3, ValueError),
+        ([(0, 1, 1.0), (1, 0, 1.0), (1, 2, -1.0), (2, 1, -1.0), (0, 0, 1.0)], 3, ValueError),
+        ([(1, 0, -1.0), (2, 1, -1.0), (0, 0, 1.0), (1, 1, 2.0), (2, 2, 1.0)], 3, ValueError),
+        ([(0, 0, 1.0), (1, 1, 1.0), (2, 2, 1.0)], 3, "laplacian"),
+    ],
+)
+def test_input_kinds(spark, entries, n, want):
+    seen = operator.input_census(spark.createDataFrame(entries, "i long, j long, a double"), n).first().asDict()
+    if want is ValueError:
+        with pytest.raises(ValueError):
+            operator.resolve_kind(seen)
+    else:
+        kind, why = operator.resolve_kind(seen)
+        assert kind == want and why
+
+
+def test_explicit_kinds_and_what_is_said(spark):
+    lap, adj = ([*_GRID, (0, 0, 1.0), (1, 1, 2.0), (2, 2, 1.0)], [(i, j, -a) for i, j, a in _GRID])
+    seen = [operator.input_census(spark.createDataFrame(x, "i long, j long, a double"), 3).first().asDict() for x in (lap, adj)]
+    assert operator.resolve_kind(seen[0], "adjacency")[0] == "adjacency" and "WARNING" in operator.resolve_kind(seen[1], "laplacian")[1]
+    assert "unit weights" in operator.resolve_kind(seen[1], pattern=True)[1]
+    assert "every row sums to zero" in operator.describe_input("laplacian", seen[0]) and "L = D - A" in operator.describe_input("adjacency", seen[1])
+    assert operator.diagnose_failure("laplacian", seen[0]) == "" and "positive" in operator.diagnose_failure("laplacian", seen[1]) and "dominance" in operator.diagnose_failure("laplacian", seen[1])
+    with pytest.raises(ValueError):
+        operator.resolve_kind(seen[0], "graph")
+
+
+def test_every_tier_checks_its_operator(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, -1.0), (1, 0, -0.5), (1, 1, 1.0)], "i long, j long, a double")
+    b = spark.createDataFrame([(0, 1.0), (1, -1.0)], "v long, x double")
+    for tier in ("distributed", "component", "jacobi"):
+        with pytest.raises(ValueError, match="not symmetric"):
+            solver.solve(a, b, tier)
+
+
+def test_what_a_solver_tells(spark):
+    a, v = _grid(spark, 6)
+    s = solver.Solver(a, sampler="exact")
+    assert s.shape == (36, 36) and not s.sddm and s.lumped == 0 and s.perm.count() == 36 and s.chol.count() == s.factor_nnz
+    assert s.unit_lower.where("row = col AND abs(val - 1) > 1e-12").count() == 0 and s.pivots.count() == 36
+    with pytest.raises(ValueError, match="max_factor"):
+        solver.Solver(a, max_factor=10)
+
+
+def test_rounds_before_the_rest(spark):
+    a, v = _grid(spark, 9)
+    for options in ({"exact_below": 2}, {"partitioner": "luby", "sampler": "exact"}):
+        s = solver.Solver(a, peel_below=60, degree_quantile=0.6, **options)
+        assert s.fac.rounds and s.solve(rhs.range_space(a, v)).converged
+
+
 def test_drop_keeps_column_sums(spark):
     g = spark.createDataFrame([(0, 0, 2.0), (0, 1, -1.0), (0, 2, -1e-6), (0, 3, -0.5)], "col long, row long, val double")
     got = factor.drop_small(g)
