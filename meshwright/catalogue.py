@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from meshwright.operators import components, eliminate, factor, linalg, operator, select
 from meshwright.plans import solver
-from meshwright.session import workers_see_package
-from meshwright.sources import generators, rhs, tables
+from meshwright.session import shared_folder, workers_see_package
+from meshwright.sources import compressed, generators, matrix_market, rhs, tables
 
 SEED = 42
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,7 +511,7 @@ def _exact_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = generators.grid2d(spark, 20, 20)
-    fac = solver.factorize(operator.laplacian(edges), peel_below=100)
+    fac = solver.factorize(operator.laplacian(edges), peel_below=200, degree_quantile=0.5)
     return spark.createDataFrame([(factor.quality(operator.laplacian(edges), fac.matrix(), fac.perm) < 0.45,)], "close boolean")
 
 
@@ -521,6 +522,78 @@ _solved("exact_factor_le_3_iters", "SELECT true AS few, true AS converged", _exa
 _solved("factor_quality_ok", "SELECT true AS close", _factor_quality)
 
 
+_CELLS = "c AS (SELECT range AS id, range // 12 AS r, range % 12 AS c FROM range(120)), g AS (SELECT a.id AS u, b.id AS v, b.r - a.r AS dr FROM c a JOIN c b ON (b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1))"
+_GRIDLAP = "w AS (SELECT u, v, 1.0::DOUBLE AS w FROM g UNION ALL SELECT v, u, 1.0::DOUBLE FROM g), lap AS (SELECT u AS i, u AS j, sum(w) AS a FROM w GROUP BY u UNION ALL SELECT u, v, -w FROM w)"
+
+
+@query(f"WITH {_CELLS} SELECT u, v, CASE WHEN dr = 1 THEN 50.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM g")
+def aniso_grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.aniso_grid(spark, 10, 12, 50.0)
+
+
+@query(f"WITH {_CELLS} SELECT u, v, 1 + 99.0::DOUBLE * (((u * 65537 + v) * {select.MULTIPLIER} + {SEED * select.STEP}) % {select.MODULUS}) / {select.MODULUS}.0::DOUBLE AS w FROM g")
+def weighted_grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.weighted_grid(spark, 10, 12, 100.0, SEED)
+
+
+@query("SELECT 7 * k + a AS u, 7 * k + b AS v, 1.0::DOUBLE AS w FROM range(3) x(k), range(7) y(a), range(7) z(b) WHERE a < b UNION ALL SELECT 7 * k, 21, 1.0::DOUBLE FROM range(3) x(k)")
+def star_of_cliques_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.star_of_cliques(spark, 7)
+
+
+@query(f"WITH {_CELLS}, {_GRIDLAP} SELECT i, j, CASE WHEN i = j THEN a + 0.25::DOUBLE ELSE a END AS a FROM lap")
+def sddm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.grounded(operator.laplacian(generators.grid2d(spark, 10, 12)), 0.25)
+
+
+@query(f"""WITH {_CELLS}, {_GRIDLAP}, f AS (SELECT i AS x, j AS y FROM lap WHERE i < j ORDER BY ((i * 65537 + j) * {select.MULTIPLIER} + {SEED * select.STEP}) % {select.MODULUS}, i, j LIMIT 9)
+  SELECT i, j, CASE WHEN x IS NULL THEN a ELSE -a END AS a FROM lap LEFT JOIN f ON x = least(i, j) AND y = greatest(i, j)""")
+def nearly_sddm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.flipped(operator.laplacian(generators.grid2d(spark, 10, 12)), 9, SEED)
+
+
+@query(f"WITH {_SUPP} SELECT i, j, a FROM lap")
+def lists_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = operator.both_ways(tables.supplier_part_edges(spark, sf_dir))
+    return operator.lists_to_laplacian(both.select(F.col("u").alias("v"), F.col("v").alias("to"), "w"))
+
+
+@query(f"WITH {_VISITS} SELECT j AS i, i AS j, a FROM d")
+def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed.transpose(tables.visits(spark, sf_dir))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_NATION} SELECT i, j, a FROM lap")
+def matrix_market_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and read back."""
+    matrix_market.write_matrix(_nation_laplacian(spark, sf_dir), 25, path := _folder(spark, "matrix"))
+    return matrix_market.read_operator(spark, path)
+
+
+@query(f"WITH {_NATION} SELECT i, j, -a AS a FROM lap WHERE i <> j")
+def matrix_market_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix_market.write_matrix(_nation_laplacian(spark, sf_dir), 25, path := _folder(spark, "matrix"))
+    return matrix_market.read_adjacency(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS v, c_acctbal AS x FROM customer")
+def matrix_market_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.col("c_acctbal").alias("x"))
+    matrix_market.write_vector(x, path := _folder(spark, "vector"))
+    return matrix_market.read_vector(spark, path)
+
+
+@query(f"WITH {_ROUND}, l AS (SELECT col, row, val FROM (SELECT v AS col, v AS row, sqrt(total) AS val FROM tot UNION ALL SELECT v, u, -w / sqrt(total) FROM st JOIN tot USING (v))) SELECT count(*) AS nnz, round((2.0::DOUBLE * count(*) - count(DISTINCT col)) / (SELECT count(*) FROM lap), 6) AS fill FROM l")
+def factor_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, a = _g(spark, sf_dir), operator.laplacian(tables.supplier_part_edges(spark, sf_dir))
+    n = g.select("col").distinct().count()
+    return spark.createDataFrame([(g.count(), round(factor.fill_ratio(g, a.count(), n), 6))], "nnz long, fill double")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -35,6 +35,7 @@ class Options:
     peel_edges: int = 5_000_000
     max_rounds: int = 200
     max_factor: int = 50_000_000
+    drop: float = 1e-4
     storage: str = "vec_pool"
     peel: str = "min_degree"
 
@@ -157,7 +158,7 @@ class Solver:
         diag[col[on]] = val[on]
         f = kernels.Factor(perm, np.asarray(p.column("round")), diag, col[~on], row[~on], val[~on], self.fac.sddm)
         m = a.select("i", "j", "a").toArrow()
-        self.local = kernels.Solver(kernels.Operator(len(self.ids), np.searchsorted(self.ids, m.column("i")), np.searchsorted(self.ids, m.column("j")), np.asarray(m.column("a"))), f)
+        self.local = kernels.Solver(kernels.Operator(len(self.ids), np.searchsorted(self.ids, m.column("i")), np.searchsorted(self.ids, m.column("j")), np.asarray(m.column("a"))), f, opt.drop)
 
     def _vector(self, b: DataFrame, name: str) -> np.ndarray:
         got = b.select("v", "x").toArrow()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,18 +20,20 @@ def workers_see_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *had])
 
 
-def materialise(df):
-    """Write df to the shared folder of spark.checkpoint.dir and read it back: cuts lineage, survives lost executors."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set (tests, one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="meshwright-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def materialise(df):
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -79,3 +79,43 @@ def random_geometric(spark: SparkSession, n: int, radius: float, seed: int = 42)
     sent = pts.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), near.alias("g")).select("v", "vx", "vy", "g.gx", "g.gy")
     hit = pts.join(sent, (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy"))).where(F.col("id") < F.col("v"))
     return hit.where((F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2 <= radius**2).select(F.col("id").alias("u"), "v", F.lit(1.0).alias("w"))
+
+
+def complete(spark: SparkSession, n: int, w: float = 1.0) -> DataFrame:
+    """Every pair once: the output is n (n - 1) / 2 edges by definition."""
+    return spark.range(n - 1).select(F.col("id").alias("u"), F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1))).alias("v"), F.lit(float(w)).alias("w"))
+
+
+def aniso_grid(spark: SparkSession, rows: int, cols: int, stretch: float) -> DataFrame:
+    """Grid whose edges along rows weigh 1 and those across them `stretch`."""
+    cells = spark.range(rows * cols).withColumn("r", F.floor(F.col("id") / cols)).withColumn("c", F.col("id") % cols)
+    return _steps(cells, [(F.col("c") + 1 < cols, F.lit(1), F.lit(1.0)), (F.col("r") + 1 < rows, F.lit(cols), F.lit(float(stretch)))])
+
+
+def weighted_grid(spark: SparkSession, rows: int, cols: int, spread: float, seed: int = 42) -> DataFrame:
+    """Grid with weights between 1 and `spread` that only (seed, u, v) decide."""
+    from meshwright.operators.select import MODULUS, portable_hash
+
+    w = 1 + (F.lit(float(spread)) - 1) * portable_hash(F.col("u") * 65_537 + F.col("v"), seed) / F.lit(float(MODULUS))
+    return grid2d(spark, rows, cols).select("u", "v", w.alias("w"))
+
+
+def star_of_cliques(spark: SparkSession, k: int, copies: int | None = None) -> DataFrame:
+    """`copies` (k // 2) complete graphs of k vertices, the first vertex of each joined to one centre, the last id."""
+    copies = k // 2 if copies is None else copies
+    inside = complete(spark, k).crossJoin(spark.range(copies).select((F.col("id") * k).alias("at")))  # every copy of every edge is the output
+    joined = spark.range(copies).select((F.col("id") * k).alias("u"), F.lit(copies * k).cast("long").alias("v"), F.lit(1.0).alias("w"))
+    return inside.select((F.col("u") + F.col("at")).alias("u"), (F.col("v") + F.col("at")).alias("v"), "w").unionByName(joined)
+
+
+def grounded(a: DataFrame, excess: float) -> DataFrame:
+    """A + excess I: an SDDM operator of a Laplacian."""
+    return a.select("i", "j", F.when(F.col("i") == F.col("j"), F.col("a") + F.lit(float(excess))).otherwise(F.col("a")).alias("a"))
+
+
+def flipped(a: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """The k off-diagonal pairs of least hash with their sign turned: nearly SDDM."""
+    from meshwright.operators.select import portable_hash
+
+    some = a.where("i < j").orderBy(portable_hash(F.col("i") * 65_537 + F.col("j"), seed), "i", "j").limit(k).select(F.col("i").alias("x"), F.col("j").alias("y"))
+    return a.join(some, (F.least("i", "j") == F.col("x")) & (F.greatest("i", "j") == F.col("y")), "left").select("i", "j", F.when(F.col("x").isNotNull(), -F.col("a")).otherwise(F.col("a")).alias("a"))

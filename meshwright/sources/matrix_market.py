@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,8 +61,12 @@ def read_vector(spark: SparkSession, path: str, n: int | None = None) -> DataFra
     if n is not None and info["n"] != n:
         raise ValueError(f"right-hand side has {info['n']} rows, the matrix {n}")
     _, body = _lines(spark, path)
-    rows = body.rdd.map(lambda r: (r["k"], r["value"])).sortByKey().values().zipWithIndex().filter(lambda x: x[1] > 0).map(lambda x: (x[1] - 1, float(x[0])))
-    return spark.createDataFrame(rows, "v long, x double")
+    # ranks from counts of partitions: k holds a partition's number above bit 33 and the line's below, comments are left out
+    part = F.shiftrightunsigned("k", 33)
+    counts = body.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row a partition
+    ranked = body.withColumn("p", part).withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy("k"))).join(before, "p")
+    return ranked.select((F.col("start") + F.col("at") - 2).alias("v"), F.trim("value").cast("double").alias("x")).where("v >= 0")
 
 
 def write_vector(x: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ def random_zero_mean(vertices: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def range_space(a: DataFrame, vertices: DataFrame, seed: int = 42) -> DataFrame:
-    """A g for g that only (seed, v) decides, of norm 1."""
-    g = random_zero_mean(vertices, seed)
+    """A g, of norm 1, for normal g that only (seed, v) decides."""
+    even = lambda k: (F.pmod(F.xxhash64("v", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / F.lit(2.0**52)
+    g = vertices.select("v", (F.sqrt(-2 * F.log(even(1))) * F.cos(2 * math.pi * even(2))).alias("x"))
     return unit(vertices.join(spmv(a, g), "v", "left").select("v", F.coalesce("y", F.lit(0.0)).alias("x")))

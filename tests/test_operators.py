@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshwright.__main__ import main
 from meshwright.functions import kernels, trees
 from meshwright.operators import components, eliminate, factor, linalg, operator, select
 from meshwright.plans import solver
-from meshwright.sources import generators, matrix_market, rhs
+from meshwright.sources import compressed, generators, matrix_market, report, rhs
 
 _vec = "v long, x double"
 
@@ -214,7 +215,7 @@ def test_every_tier_checks_its_operator(spark):
 
 def test_what_a_solver_tells(spark):
     a, v = _grid(spark, 6)
-    s = solver.Solver(a, sampler="exact")
+    s = solver.Solver(a, sampler="exact", drop=0.0)
     assert s.shape == (36, 36) and not s.sddm and s.lumped == 0 and s.perm.count() == 36 and s.chol.count() == s.factor_nnz
     assert s.unit_lower.where("row = col AND abs(val - 1) > 1e-12").count() == 0 and s.pivots.count() == 36
     with pytest.raises(ValueError, match="max_factor"):
@@ -256,3 +257,31 @@ def test_spmv_and_pcg(spark):
 def test_peel_that_is_not_built_is_rejected():
     with pytest.raises(ValueError, match="unknown peel strategy 'bk_serial'"):
         solver.Options.of(peel="bk_serial")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    p = tmp_path / "path.mtx"
+    p.write_text("%%MatrixMarket matrix coordinate real symmetric\n4 4 7\n1 1 1\n2 2 2\n3 3 2\n4 4 1\n2 1 -1\n3 2 -1\n4 3 -1\n")
+    assert main([str(p), "--random-rhs", "-o", str(tmp_path / "x"), "--report", str(tmp_path / "r.json")], spark) == 0
+    assert matrix_market.read_vector(spark, str(tmp_path / "x"), 4).count() == 4 and report.read(spark, str(tmp_path / "r.json")).first()["converged"]
+    assert "every row sums to zero" in capsys.readouterr().err
+    assert main([str(p), "--rhs", str(tmp_path / "x"), "--input-kind", "laplacian", "--tier", "jacobi"], spark) == 0
+    q = tmp_path / "bad.mtx"
+    q.write_text("%%MatrixMarket matrix coordinate real general\n2 2 1\n2 1 -1\n")
+    assert main([str(q), "--random-rhs"], spark) == 2 and "not symmetric" in capsys.readouterr().err
+
+
+def test_compressed_columns(spark):
+    a = compressed.from_csc(spark, np.array([0, 2, 3], np.int32), [0, 1, 1], np.array([1, 2, 3], np.float32))
+    assert sorted(map(tuple, a.collect())) == [(0, 0, 1.0), (1, 0, 2.0), (1, 1, 3.0)]
+    back = compressed.to_csc(a.selectExpr("j AS col", "i AS row", "a AS val"), 2)
+    assert [x.tolist() for x in back] == [[0, 2, 3], [0, 1, 1], [1.0, 2.0, 3.0]]
+    with pytest.raises(ValueError):
+        compressed.from_csc(spark, [0, 2], [0], [1.0])
+
+
+def test_reports(spark, tmp_path):
+    for k in (3, 1, 2):
+        report.append(spark, [{"name": "q", "seconds": float(k)}], str(tmp_path / "r.csv"))
+    rows = [x.asDict() for x in report.read(spark, str(tmp_path / "r.csv")).collect()]
+    assert len(rows) == 3 and report.median_run(rows)["seconds"] == 2.0
