@@ -9,7 +9,7 @@ for has an equal elsewhere, all of them repeat; where its bucket is empty otherw
 q-gram but are not equal (the edges of repeated passages) are refined offset by offset, in memory for bounded groups; buckets
 of more windows are resolved by counting their 200-byte strings.
 
-Equal texts repeat as a whole and count once. Filters on what to fetch in a further scan are bitmaps of fixed size.
+Equal texts (by SHA-256) repeat as a whole and count once. Filters on what to fetch in a further scan are bitmaps of fixed size.
 
 Edge cases: null texts are empty; texts under 200 bytes lose nothing; a text may repeat itself, overlaps included; long texts
 are looked at whole; repeated rows repeat each other; an empty table gives an empty result; extra columns are ignored.
@@ -211,15 +211,23 @@ def refine(pieces: list[bytes], front: np.ndarray, back: np.ndarray, group: np.n
         out[live], more[live] = inverse, count[inverse] > 1
         return out, more
 
-    ids, live = ranked(ids, live)
-    for step in (Q, LENGTH - 2 * Q):  # 64 bytes and the next 64, then 128 bytes and the last 128 of 200
+    def refined(ids: np.ndarray, live: np.ndarray, length: int) -> np.ndarray:
+        """Buckets of equal strings of `length` bytes, sorted on the buckets that begin up to `length` bytes later, and so on with what
+        that gives, until the strings have LENGTH bytes. What is alone in its bucket is left out from there on."""
+        if length == LENGTH or not live.any():
+            return live
+        step = min(length, LENGTH - length)
         cols = ids.shape[1] - step
         both = live[:, :cols] & live[:, step:]
-        if step != Q:  # only the starts that each suffix stands for count
+        if length + step == LENGTH:  # only the starts that each suffix stands for count
             d = SPAN - 1 - np.arange(cols)
             both &= (d <= front[:, None]) & (d >= back[:, None])
-        ids, live = ranked(ids[:, :cols] * (int(ids.max(initial=0)) + 1) + ids[:, step:], both)
-    return live
+        return refined(*ranked(ids[:, :cols] * (int(ids.max(initial=0)) + 1) + ids[:, step:], both), length + step)
+
+    out = refined(*ranked(ids, live), Q)
+    whole = np.zeros((n, SPAN), bool)
+    whole[:, : min(SPAN, out.shape[1])] = out[:, :SPAN]
+    return whole
 
 
 def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,13 +349,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark)
     base = cut(docs.select("doc_id", "text").mapInArrow(_base, "doc_id long, n_bytes long, key long, sha string"), "base")
-    copies = cut(base.where(F.col("n_bytes") >= LENGTH).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
-    pieces = covered(docs, base).join(copies, "key", "left_anti").groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    copies = cut(base.where(F.col("n_bytes") >= LENGTH).groupBy("key", "sha").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    pieces = covered(docs, base).join(copies.select("key"), "key", "left_anti").groupBy("key").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     pieces = cut(pieces, "pieces")
     bitmap = spark.sparkContext.broadcast(_bitmap(pieces, "key"))
     texts = docs.select("text").mapInArrow(_take(bitmap), "key long, bytes binary")
     done = texts.join(pieces, "key").mapInArrow(_outcome, "key long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").dropDuplicates(["key"])
-    out = base.join(copies, "key", "left").join(done, "key", "left")
+    out = base.join(copies, ["key", "sha"], "left").join(done, "key", "left")
     gone, none = F.col("copies").isNotNull(), F.lit(0).cast("long")
     return out.select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", none)).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", none)).alias("n_spans"),

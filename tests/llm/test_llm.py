@@ -269,6 +269,36 @@ def test_topk(spark):
     assert len(got) == 14 * 5
 
 
+def test_topk_prunes_before_it_sends(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 8)) * 40
+    v = np.concatenate([c + r.normal(size=(60, 8)) for c in centres])
+    v = np.concatenate([v, np.repeat(v[:1], 50, 0)])
+    rows = [(i, [float(z) for z in x]) for i, x in enumerate(v)]
+    df = balltree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in balltree.topk(df, "vec_id % 50 = 0", 5, shard_rows=60).collect()}
+    q = np.floor(256 * v)
+    for i in range(0, len(v), 50):
+        s = sorted((-int(q[i] @ q[j]), j) for j in range(len(v)) if j != i)[:5]
+        assert [got[i, k + 1] for k in range(5)] == [(j, -n) for n, j in s]
+    top = balltree.Top.of(q, 13)
+    leaf = top.leaf(q)
+    radius = np.array([np.sqrt(((q[leaf == k] - c) ** 2).sum(1)).max() for k, c in enumerate(top.centres)])
+    import pyarrow as pa
+
+    kth = [np.sort(q[leaf == leaf[i]] @ q[i])[-6] for i in range(0, len(v), 50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(0, len(v), 50)), pa.array([list(q[i]) for i in range(0, len(v), 50)]), pa.array(kth), pa.array(leaf[::50].astype(np.int32))], ["vec_id", "vec", "kth", "home"])
+    sent = sum(x.num_rows for x in balltree._sent(top, radius, 1)(iter([batch])))
+    assert sent < 0.6 * len(kth) * len(top.centres)
+
+
+def test_topk_scores_of_any_size(spark):
+    rows = [(0, [2.0**52, 3.0]), (1, [2.0**10, 1.0]), (2, [2.0**10, 2.0]), (3, [2.0**52, 1.0]), (4, [-(2.0**52), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vec array<double>")
+    got = [(x.rank, x.vec_id, x.score) for x in balltree.topk(df, "vec_id = 0", 4).orderBy("rank").collect()]
+    assert got == [(1, 3, 2**63 - 1), (2, 2, 2**62 + 6), (3, 1, 2**62 + 3), (4, 4, -(2**63))]
+
+
 @pytest.mark.parametrize("group", [50_000, 3])
 def test_suffix(spark, group, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP", group)
