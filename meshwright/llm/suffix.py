@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,16 +107,29 @@ def _fresh(data: np.ndarray, ends: np.ndarray, seen: set[int]) -> tuple[np.ndarr
     return keys, fresh
 
 
+def _third(gram: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Rows that are at least the third of a block with their window. They are known to repeat, and the first two stand for them in
+    the bucket, so that a passage of many texts does not send a row for each of them to one task."""
+    both = mix64(gram + mix64(whole))
+    order = np.argsort(both, kind="stable")
+    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])[: len(both)]
+    rank = np.arange(len(both)) - np.maximum.accumulate(np.where(new, np.arange(len(both)), 0))
+    out = np.zeros(len(both), bool)
+    out[order] = rank >= 2
+    return out
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for _, ends, data in utf8_blocks(batches):
         keys, fresh = _fresh(data, ends, seen)
         _, _, _, gram, doc, whole, packed = _windows(data, ends, fresh)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram.view(np.int64), whole.view(np.int64), keys[doc], packed)], ["gram", "whole", "key", "packed"])
+        cols = [pa.array(x, pa.int64()) for x in (gram.view(np.int64), whole.view(np.int64), keys[doc], packed)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(_third(gram, whole))], ["gram", "whole", "key", "packed", "known"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram, whole -> those whose gram is not alone, with whether their window is not alone either. One row is
+    """Rows sorted by known, gram, whole -> those whose gram is not alone, with whether their window is not alone either. One row is
     held back until its successor is known."""
     names = ["gram", "whole", "key", "packed"]
     held: list[np.ndarray] | None = None
@@ -131,6 +145,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*[pa.array(c[keep]) for c in cols], pa.array(same[keep])], [*names, "same"])
 
     for batch in batches:
+        repeats = batch.filter(batch.column("known"))
+        if repeats.num_rows:
+            yield pa.RecordBatch.from_arrays([*[repeats.column(c) for c in names], pa.array(np.ones(repeats.num_rows, bool))], [*names, "same"])
+            batch = batch.filter(pc.invert(batch.column("known")))
         if not batch.num_rows:
             continue
         cols = [np.asarray(batch.column(c)) for c in names]
@@ -319,8 +337,9 @@ def covered(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(key, start, stop): pieces of texts, by text key, that repeated strings cover; equal texts are left to `dedup`."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    rows = texts.mapInArrow(_suffixes, "gram long, whole long, key long, packed long")
-    shared = cut(together(rows, "gram").sortWithinPartitions("gram", "whole").mapInArrow(_shared, "gram long, whole long, key long, packed long, same boolean"), "shared")
+    rows = texts.mapInArrow(_suffixes, "gram long, whole long, key long, packed long, known boolean")
+    dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("key", "packed")).otherwise(F.xxhash64("gram")))
+    shared = cut(dealt.sortWithinPartitions("known", "gram", "whole").mapInArrow(_shared, "gram long, whole long, key long, packed long, same boolean"), "shared")
     place, front, back = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
     whole = shared.where("same").select("key", (place - front).alias("start"), (place - back + LENGTH).alias("stop"))
     mixed = shared.where("NOT same")

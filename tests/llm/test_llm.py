@@ -306,7 +306,7 @@ def test_suffix(spark, group, monkeypatch):
     say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     parts = [say(n) for n in (199, 200, 201, 400, 700)]
     t = ["".join(say(r.choice([3, 50, 300])) + r.choice(parts) for _ in range(r.randrange(4))) for _ in range(50)]
-    t += ["a" * 500, "ab" * 300, "", None, "é" * 150, t[0], t[3], parts[3], say(250) * 2]
+    t += ["a" * 500, "ab" * 300, "", None, "é" * 150, t[0], t[3], parts[3], say(250) * 2, *[say(30) + parts[4] + say(40) for _ in range(6)]]
     raw = [(x or "").encode() for x in t]
     met = Counter(b[k : k + 200] for b in raw for k in range(len(b) - 199))
     for x in suffix.dedup(_docs(spark, t)).collect():
