@@ -30,3 +30,13 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = now
+
+
+def extend(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """What `components` gave for some links, with further links(a, b) of which only the components that they join are looked at."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    mapped = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    new = components(mapped)
+    moved = new.select(F.col("node").alias("old"), F.col("root").alias("now"))
+    kept = roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("now", "root").alias("root"))
+    return cut(kept.unionByName(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from meshwright.llm.common import arrow_batches, cut, discard, mix64, tidy, together, unused, utf8_blocks, word_hashes
-from meshwright.llm.components import components
+from meshwright.llm.components import components, extend
 
 SHINGLE, PERCENT = 5, 75
 #: Sets below TINY use one-deletion neighbourhoods, below SMALL segments of one element; bands above grow by BAND.
@@ -207,7 +207,7 @@ def _classes(seed: int):
                     met += [k for band, k, _, _ in got if band]
                     kept += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int32)), rows.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.int64()), pa.array(least), pa.array(sigs, pa.binary()), pa.array(briefs, pa.binary())], names)
-            if kept > 1_500_000 or len(seen) > SEEN:
+            if kept > 3_000_000 or len(seen) > SEEN:
                 yield flush()
                 kept = 0
                 seen.clear()
@@ -535,14 +535,12 @@ def join(docs: DataFrame) -> DataFrame:
     tidy(spark)
     sets = fetch(ends_of(pairs.unionByName(near.select("a", "b"))), docs)
     starred = pairs.unionByName(near.where("star").select("a", "b"))
-    linked = cut(verify(starred, sets), "linked")
-    roots = components(linked)
-    chain = apart(near.where("NOT star").select("a", "b"), roots)
-    more = cut(linked.unionByName(verify(chain, sets)), "linked")
+    roots = components(verify(starred, sets))
+    chain = cut(apart(near.where("NOT star").select("a", "b"), roots), "chain")
     looked = cut(starred.unionByName(chain), "looked")
-    discard(sets, roots, linked, pairs, near)
-    linked, roots = more, components(more)
-    del chain, starred
+    roots = extend(roots, verify(chain, sets))
+    discard(sets, pairs, near, chain)
+    del starred
     tidy(spark)
     labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole", "brief"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole", "brief")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
@@ -554,16 +552,15 @@ def join(docs: DataFrame) -> DataFrame:
     tidy(spark)
     if rest.take(1):
         sets = fetch(ends_of(rest), docs)
-        more = cut(linked.unionByName(verify(rest, sets)), "linked")
-        discard(sets, linked, roots)
-        linked, roots = more, components(more)
-    discard(linked, rest)
+        roots = extend(roots, verify(rest, sets))
+        discard(sets)
+    discard(rest)
     # the smallest doc_id of every component of two classes or more
-    docs_of = classes.select("class", "doc")
-    joined = docs_of.join(roots, F.col("class") == F.col("node"))
-    least = joined.groupBy("root").agg(F.min("doc").alias("least"))
-    of_class = cut(docs_of.join(roots.join(least, "root"), F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("least", "doc").alias("component_id")), "components")
-    discard(classes, roots)
+    named = cut(classes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select("class", "doc", "root"), "named")
+    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc").alias("least"))
+    joined = named.where("root IS NOT NULL").join(least, "root").select("class", "root", F.col("least").alias("component_id"))
+    of_class = cut(joined.unionByName(named.where("root IS NULL").select("class", F.col("class").alias("root"), F.col("doc").alias("component_id"))), "components")
+    discard(classes, named)
     tidy(spark)
     return base.join(of_class, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class", "root")
 
