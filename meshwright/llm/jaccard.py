@@ -458,13 +458,12 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link, by their whole sets."""
-    leads = pairs.select("a").distinct().join(sets, F.col("a") == F.col("class")).select("a", F.lit(None).cast("long").alias("b"), "elements")
-    rest = pairs.join(sets, F.col("b") == F.col("class")).select("a", "b", "elements")
-    # the pairs of a lead with many are dealt to several tasks, and its set to each of them
+    # the pairs of a lead with many are dealt to several tasks, and its set to each of them; sets are fetched once that is settled
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LEAD).cast("int").alias("salts")).where("salts > 1")
-    dealt = rest.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    given = leads.join(many, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    both = together(dealt.unionByName(given), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(many, "a", "left").select(F.col("b").alias("class"), "a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    given = pairs.select("a").distinct().join(many, "a", "left").select(F.col("a").alias("class"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    both = together(dealt.unionByName(given).join(sets, "class"), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return both.select("a", "b", "elements").mapInArrow(_verify, "a long, b long")
 
 
@@ -535,13 +534,20 @@ def join(docs: DataFrame) -> DataFrame:
     tidy(spark)
     sets = fetch(ends_of(pairs.unionByName(near.select("a", "b"))), docs)
     starred = pairs.unionByName(near.where("star").select("a", "b"))
-    roots = components(verify(starred, sets))
+    tidy(spark)
+    linked = cut(verify(starred, sets), "linked")
+    tidy(spark)
+    roots = components(linked)
+    discard(linked)
     chain = cut(apart(near.where("NOT star").select("a", "b"), roots), "chain")
     looked = cut(starred.unionByName(chain), "looked")
-    roots = extend(roots, verify(chain, sets))
+    linked = cut(verify(chain, sets), "linked")
     discard(sets, pairs, near, chain)
     del starred
     tidy(spark)
+    roots = extend(roots, linked)
+    discard(linked)
+    tidy(spark)
     labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole", "brief"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole", "brief")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
     open_ = together(labelled.join(several, "key", "left_semi"), "key").sortWithinPartitions("key", "n", "class")
@@ -552,8 +558,11 @@ def join(docs: DataFrame) -> DataFrame:
     tidy(spark)
     if rest.take(1):
         sets = fetch(ends_of(rest), docs)
-        roots = extend(roots, verify(rest, sets))
+        tidy(spark)
+        linked = cut(verify(rest, sets), "linked")
         discard(sets)
+        roots = extend(roots, linked)
+        discard(linked)
     discard(rest)
     # the smallest doc_id of every component of two classes or more
     named = cut(classes.select("class", "doc").join(roots, F.col("class") == F.col("node"), "left").select("class", "doc", "root"), "named")
