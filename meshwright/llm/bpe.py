@@ -261,6 +261,11 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Blocks of text, with the codecs kept from task to task."""
+    return utf8_blocks(batches, held=_codecs)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -270,7 +275,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for rows, ends, data in utf8_blocks(batches, held=True):
+        for rows, ends, data in _blocks(batches):
             counts, ids, back = [], [], []
             cuts = place_cuts(data, ends)
             own.learn_block(data, ends, cuts)
@@ -290,7 +295,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for rows, ends, data in utf8_blocks(batches, held=True):
+        for rows, ends, data in _blocks(batches):
             cuts = place_cuts(data, ends)
             own.learn_block(data, ends, cuts)
             got = [own.encode(data[a:b].tobytes(), *where) for (a, b), where in zip(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True), cuts, strict=True)]

@@ -124,11 +124,11 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def utf8_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, held: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches cut to about limit bytes of text: (rows, offsets, bytes). Null texts are empty. held: the operator uses tables in
-    HELD; others let go of them."""
-    if not held:
-        for tables in HELD:
+def utf8_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, held: dict | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches cut to about limit bytes of text: (rows, offsets, bytes). Null texts are empty. held: the tables of HELD that the
+    operator uses; all others are let go of."""
+    for tables in HELD:
+        if tables is not held:
             tables.clear()
     yield from _blocks(batches, column, limit)
     give_back()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from meshwright.llm.common import arrow_batches, cut, prefix_ends, utf8_blocks, word_hashes
+from meshwright.llm.common import arrow_batches, cut, give_back, prefix_ends, utf8_blocks, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -116,6 +116,7 @@ def _find(kept: list[str], all_rows: bool):
                 rest = [pc.if_else(none, pa.scalar(None, c.type), c) for c in rest]
             yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(texts)), pa.int64()), batch.column("doc_id").cast(pa.int64()), *counts, pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base]), pa.array(base, pa.string()), pa.array(entities, pa.list_(pa.int64())), *rest], names + kept)
             row += len(texts)
+        give_back()
 
     return run
 
@@ -290,6 +291,7 @@ def sanitise(docs: DataFrame, general: float = GENERAL, remove: float = REMOVE)
                 for t, base, terms in zip(*(batch.column(c).to_pylist() for c in ("c0", "base", "terms")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *[batch.column(c) for c in plain[1:]]], plain)
+        give_back()
 
     hit = found.where("entities IS NOT NULL").join(of_row, "row", "left").select("base", "terms", *plain)
     shape = StructType([StructField(c, docs.schema[n].dataType) for c, n in zip(plain, kept, strict=True)])
