@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators import components, eliminate, factor, linalg, operator, select
-from meshwright.plans import solver
-from meshwright.session import shared_folder, workers_see_package
+from meshwright.plans import grounding, solver
+from meshwright.session import materialise, shared_folder, workers_see_package
 from meshwright.sources import compressed, generators, matrix_market, rhs, tables
 
 SEED = 42
@@ -48,13 +48,18 @@ def _census_sql(source: str) -> str:
     return f"""WITH {source}, c AS (
       SELECT j, count(*) AS stored, count(*) FILTER (NOT isfinite(a)) AS nonfinite, count(*) FILTER (i <> j) AS offdiag, count(*) FILTER (i <> j AND a > 0) AS offdiag_pos, max(a) FILTER (i = j) AS diag,
         coalesce(sum(abs(a)) FILTER (i <> j), 0) AS mass, coalesce(sum(a) FILTER (i <> j AND a > 0), 0) AS pos FROM lap GROUP BY j
-    ), s AS (
-      SELECT count(*) AS skew FROM (SELECT i, j, a FROM lap WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM lap WHERE i < j) r USING (i, j)
-      WHERE abs(coalesce(a, 0) - coalesce(t, 0)) > 1e-10 * greatest(abs(coalesce(a, 0)), abs(coalesce(t, 0)))
-    )
+    ), skewed AS (
+      SELECT i, j, abs(coalesce(a, 0) - coalesce(t, 0)) AS apart FROM (SELECT i, j, a FROM lap WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM lap WHERE i < j) r USING (i, j)
+      WHERE apart > 1e-10 * greatest(abs(coalesce(a, 0)), abs(coalesce(t, 0)))
+    ), s AS (SELECT count(*) AS skew, arg_min(struct_pack(i := i, j := j), struct_pack(x := -apart, i := i, j := j)) AS w FROM skewed)
     SELECT sum(stored)::BIGINT AS stored, sum(nonfinite)::BIGINT AS nonfinite, sum(offdiag)::BIGINT AS offdiag, sum(offdiag_pos)::BIGINT AS offdiag_pos, count(*) FILTER (diag > 0) AS diag_pos, count(*) FILTER (NOT coalesce(diag > 0, false)) AS bad_diag,
       coalesce(min(j) FILTER (NOT coalesce(diag > 0, false)), -1)::BIGINT AS first_bad_diag, sum(mass)::DOUBLE AS abs_mass, sum(pos)::DOUBLE AS pos_mass, count(*) FILTER (coalesce(diag, 0) - mass < -1e-12 * coalesce(diag, 0)) AS deficient_rows,
-      count(*) FILTER (coalesce(diag, 0) - mass > 1e-12 * coalesce(diag, 0)) AS excess_rows, any_value(skew) AS "asymmetric" FROM c, s"""
+      count(*) FILTER (coalesce(diag, 0) - mass > 1e-12 * coalesce(diag, 0)) AS excess_rows, any_value(skew) AS "asymmetric",
+      coalesce(arg_min(j, struct_pack(s := coalesce(diag, 0) - mass, j := j)) FILTER (coalesce(diag, 0) - mass < -1e-12 * coalesce(diag, 0)), -1)::BIGINT AS worst_deficient, coalesce(any_value(w.i), -1)::BIGINT AS asymmetric_i, coalesce(any_value(w.j), -1)::BIGINT AS asymmetric_j FROM c, s"""
+
+
+def _census(a: DataFrame) -> DataFrame:
+    return operator.census(a).fillna(-1, ["first_bad_diag", "worst_deficient", "asymmetric_i", "asymmetric_j"])
 
 
 def _nation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -91,12 +96,17 @@ def supp_part_laplacian_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_census_sql(_NATION))
 def operator_census_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operator.census(_nation_laplacian(spark, sf_dir)).fillna(-1, ["first_bad_diag"])
+    return _census(_nation_laplacian(spark, sf_dir))
 
 
 @query(_census_sql(_SUPP))
 def operator_census_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operator.census(operator.laplacian(tables.supplier_part_edges(spark, sf_dir))).fillna(-1, ["first_bad_diag"])
+    return _census(operator.laplacian(tables.supplier_part_edges(spark, sf_dir)))
+
+
+@query(_census_sql(f"{_VISITS}, lap AS (SELECT * FROM d)"))
+def operator_census_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _census(tables.visits(spark, sf_dir))
 
 
 @query(f"""WITH {_VISITS} SELECT i, j, coalesce(a, 0.0) AS lower, coalesce(t, 0.0) AS upper FROM (SELECT i, j, a FROM d WHERE i > j) l FULL JOIN (SELECT j AS i, i AS j, a AS t FROM d WHERE i < j) r USING (i, j)
@@ -286,6 +296,26 @@ def coalesce_multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliminate.coalesce_edges(line)
 
 
+@query("SELECT count(*) / count(DISTINCT (l_suppkey, l_partkey)) AS ratio FROM lineitem")
+def duplicate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = tables.read(spark, sf_dir, "lineitem").select((F.col("l_partkey") + tables.PART_OFFSET).alias("u"), F.col("l_suppkey").alias("v"))
+    return eliminate.duplicate_ratio(line)
+
+
+#: Rounds on which the yield rules are asked: (base, active, mean degree, hand-off size or none, candidates, chosen).
+_YIELDS = [(b, n, d, h, c, k) for b in (0.0, 0.03, 0.05, 0.2) for n in (900, 1000, 2000, 2001, 5000) for d in (8.0, 500.0) for h in (None, 500) for c in (400, 800) for k in (0, 20, 100, 121)]
+
+
+@query(f"""WITH y(base, active, degree, handoff, candidates, chosen) AS (VALUES {", ".join(str(x).replace("None", "NULL") for x in _YIELDS)}),
+  l AS (SELECT *, CASE WHEN base > 0 AND active > 4 * handoff AND degree >= handoff THEN greatest(base::DOUBLE, least(0.15::DOUBLE, 3 * base::DOUBLE)) ELSE base::DOUBLE END AS least FROM y)
+  SELECT base::DOUBLE AS base, active::BIGINT AS active, degree::DOUBLE AS degree, coalesce(handoff, -1)::BIGINT AS handoff, candidates::BIGINT AS candidates, chosen::BIGINT AS chosen, round(least, 6) AS least,
+    chosen = 0 OR ((handoff IS NULL OR active > 2 * handoff) AND chosen < least * candidates) AS given_up FROM l""")
+def round_yield_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(*x, select.least_yield(x[0], x[1], x[2], x[3])) for x in _YIELDS]
+    rows = [(*x[:3], -1 if x[3] is None else x[3], *x[4:6], round(x[6], 6), select.too_little(x[5], x[4], x[1], x[6], x[3])) for x in rows]
+    return spark.createDataFrame(rows, "base double, active long, degree double, handoff long, candidates long, chosen long, least double, given_up boolean")
+
+
 #: The factor columns of a round that takes out all parts.
 _G = "g AS MATERIALIZED (SELECT v AS col, v AS row, sqrt(total) AS val FROM tot UNION ALL SELECT v, u, -w / sqrt(total) FROM st JOIN tot USING (v))"
 
@@ -307,6 +337,14 @@ def column_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(factor.column_scale(_g(spark, sf_dir)), "scale")
 
 
+@query(f"""WITH {_ROUND}, {_G}, x AS (SELECT *, coalesce(max(abs(val)) FILTER (row <> col) OVER (PARTITION BY col), 1.0) AS scale FROM g),
+  s AS (SELECT *, val / scale AS x, pow(2.0::DOUBLE, greatest(floor(log2(abs(val / scale))), -14) - 10) AS step FROM x), h AS (SELECT *, round_even(x / step, 0) * step AS h FROM s),
+  k AS (SELECT *, CASE WHEN abs(h) < pow(2.0::DOUBLE, -14) THEN 0.0 ELSE h * scale END AS kept FROM h)
+  SELECT col, row, round(CASE WHEN row <> col THEN kept ELSE val + sum(CASE WHEN row <> col THEN val - kept ELSE 0 END) OVER (PARTITION BY col) END, 6) + 0.0 AS val FROM k""")
+def half_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round6(factor.narrow(_g(spark, sf_dir)), "val")
+
+
 @query(f"WITH {_ROUND}, {_G} SELECT col, row, round(val, 6) + 0.0 AS val FROM g WHERE row < 1000500 AND col < 1000500")
 def leading_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round6(factor.leading_block(_g(spark, sf_dir), 1_000_500), "val")
@@ -483,8 +521,8 @@ def _zero_sum(vertices: DataFrame) -> DataFrame:
 
 def _solve_supp_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = _supp(spark, sf_dir)
-    a = operator.laplacian(e)
-    got = solver.solve(a, rhs.range_space(a, v), maxiter=200)
+    a = materialise(operator.laplacian(e))
+    got = solver.solve(a, rhs.range_space(a, a.where("i = j").select(F.col("i").alias("v"))), maxiter=200)
     return spark.createDataFrame([(got.converged,)], "converged boolean")
 
 
@@ -496,6 +534,19 @@ def _solve_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.relative_residual(a, got.x, b).select((F.col("residual") < 1e-8).alias("converged"))
 
 
+def _solve_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nation operator with a vertex of each component fixed; what a pin takes up is its own balance, which is that of all others."""
+    a, b = _nation_laplacian(spark, sf_dir), _balance(spark, sf_dir)
+    got = grounding.solve(a, b, grounding.Plan(True, "whole", "pin"))
+    return linalg.relative_residual(a, got.x, b).select((F.col("residual") < 1e-6).alias("converged"))
+
+
+def _solve_bk_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = operator.laplacian(generators.grid2d(spark, 60, 60))
+    got = solver.solve(a, rhs.range_space(a, spark.range(3600).select(F.col("id").alias("v"))), peel="bk_serial")
+    return spark.createDataFrame([(got.converged,)], "converged boolean")
+
+
 def _warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nation_laplacian(spark, sf_dir), _balance(spark, sf_dir)
     s = solver.Solver(a)
@@ -516,12 +567,23 @@ def _factor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _solved("solve_supp_part", "SELECT true AS converged", _solve_supp_part)
+_solved("solve_pinned", "SELECT true AS converged", _solve_pinned)
+_solved("solve_bk_serial", "SELECT true AS converged", _solve_bk_serial)
 _solved("solve_by_component", "SELECT true AS converged", _solve_by_component)
 _solved("warm_start_zero_iters", "SELECT 0::INTEGER AS iterations, 1.0::DOUBLE AS untouched", _warm_start)
 _solved("exact_factor_le_3_iters", "SELECT true AS few, true AS converged", _exact_factor)
 _solved("factor_quality_ok", "SELECT true AS close", _factor_quality)
 
 
+@query("""WITH q AS (SELECT s.solver, d.asked_decompose, g.asked_ground, c.disconnected, CASE WHEN g.asked_ground <> 'auto' THEN g.asked_ground WHEN s.solver = 'factor' THEN 'native' ELSE 'pin' END AS ground
+    FROM (VALUES ('factor'), ('amgcl'), ('boomeramg')) s(solver), (VALUES ('auto'), ('whole'), ('split')) d(asked_decompose), (VALUES ('auto'), ('native'), ('pin'), ('coarse')) g(asked_ground), (VALUES (true), (false)) c(disconnected)),
+  p AS (SELECT *, CASE WHEN asked_decompose <> 'auto' THEN asked_decompose WHEN disconnected AND (ground = 'coarse' OR solver = 'boomeramg') THEN 'split' ELSE 'whole' END AS decompose FROM q)
+  SELECT *, CASE solver WHEN 'factor' THEN ground = 'native' WHEN 'amgcl' THEN ground IN ('pin', 'coarse') ELSE ground = 'pin' END AND NOT (ground = 'coarse' AND decompose = 'whole' AND disconnected) AS supported FROM p""")
+def grounding_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, d, g, c, grounding.plan(k, d, g, c)) for k in grounding.GROUNDS for d in ("auto", *grounding.DECOMPOSE) for g in ("auto", "native", "pin", "coarse") for c in (True, False)]
+    return spark.createDataFrame([(*x[:4], x[4].ground, x[4].decompose, x[4].supported) for x in rows], "solver string, asked_decompose string, asked_ground string, disconnected boolean, ground string, decompose string, supported boolean")
+
+
 _CELLS = "c AS (SELECT range AS id, range // 12 AS r, range % 12 AS c FROM range(120)), g AS (SELECT a.id AS u, b.id AS v, b.r - a.r AS dr FROM c a JOIN c b ON (b.r = a.r AND b.c = a.c + 1) OR (b.c = a.c AND b.r = a.r + 1))"
 _GRIDLAP = "w AS (SELECT u, v, 1.0::DOUBLE AS w FROM g UNION ALL SELECT v, u, 1.0::DOUBLE FROM g), lap AS (SELECT u AS i, u AS j, sum(w) AS a FROM w GROUP BY u UNION ALL SELECT u, v, -w FROM w)"
 

@@ -76,6 +76,13 @@ def coalesce_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w", mult.alias("mult")).groupBy("u", "v").agg(F.sum("w").alias("w"), F.sum("mult").cast("long").alias("mult"))
 
 
+def duplicate_ratio(edges: DataFrame) -> DataFrame:
+    """One row: edges counted with multiplicity over distinct ones, 1 for none."""
+    mult = F.col("mult") if "mult" in edges.columns else F.lit(1)
+    pairs = edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum(mult).alias("m"))
+    return pairs.agg(F.coalesce(F.sum("m") / F.count(F.lit(1)), F.lit(1.0)).alias("ratio"))
+
+
 def eliminate(edges: DataFrame, active: DataFrame, chosen: DataFrame, sampler: str | Callable = "tree", exact_below: int = 0, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: (edges, active, factor columns) after taking out the chosen vertices. Stars of at most exact_below leaves
     get their exact clique."""

@@ -28,6 +28,18 @@ def drop_small(g: DataFrame, rel: float = DROP) -> DataFrame:
     return x.where("keep").select("col", "row", new.alias("val"))
 
 
+def narrow(g: DataFrame) -> DataFrame:
+    """Off-diagonal entries over their column's scale as half-precision floats (11 bits, ties to even, subnormal ones to 0); what
+    rounding takes from a column goes to its diagonal, so column sums stay."""
+    off, tiny = F.col("row") != F.col("col"), 2.0**-14
+    x = F.col("val") / F.col("scale")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs("x"))), F.lit(-14)) - 10)
+    h = g.join(column_scale(g), "col").withColumn("x", x).withColumn("h", F.when(F.col("x") == 0, 0.0).otherwise(F.rint(F.col("x") / step) * step))
+    h = h.withColumn("kept", F.when(F.abs("h") < tiny, 0.0).otherwise(F.col("h") * F.col("scale")))
+    lost = F.sum(F.when(off, F.col("val") - F.col("kept")).otherwise(0.0)).over(Window.partitionBy("col"))
+    return h.select("col", "row", F.when(off, F.col("kept")).otherwise(F.col("val") + lost).alias("val"))
+
+
 def assemble(columns: DataFrame, perm: DataFrame) -> DataFrame:
     """Factor columns of original vertices in elimination order."""
     c, r = perm.select(F.col("v").alias("col"), F.col("pos").alias("pc")), perm.select(F.col("v").alias("row"), F.col("pos").alias("pr"))

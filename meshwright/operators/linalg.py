@@ -42,6 +42,7 @@ def jacobi_pcg(a: DataFrame, b: DataFrame, steps: int, tol: float = 0.0, every:
     step. Stops at tol |b|, or when p'Ap or r'z is not positive."""
     from meshwright.session import materialise
 
+    a = materialise(a.select("i", "j", "a"))  # read once a step, whatever it is computed from
     diag = a.where("i = j").select(F.col("i").alias("v"), F.col("a").alias("d"))
     state = materialise(b.join(diag, "v", "left").select("v", F.lit(0.0).alias("x"), F.col("x").alias("r"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d")).withColumn("p", F.col("r") / F.col("d")))
     rz, bb = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()

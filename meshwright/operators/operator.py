@@ -60,8 +60,11 @@ def census(a: DataFrame) -> DataFrame:
         F.coalesce(F.sum("stored"), F.lit(0)).alias("stored"), F.coalesce(F.sum("nonfinite"), F.lit(0)).alias("nonfinite"), F.coalesce(F.sum("offdiag"), F.lit(0)).alias("offdiag"), F.coalesce(F.sum("offdiag_pos"), F.lit(0)).alias("offdiag_pos"),
         F.count_if(F.col("diag") > 0).alias("diag_pos"), F.count_if(~F.coalesce(F.col("diag") > 0, F.lit(False))).alias("bad_diag"), F.min(F.when(~F.coalesce(F.col("diag") > 0, F.lit(False)), F.col("j"))).alias("first_bad_diag"),
         F.coalesce(F.sum("mass"), F.lit(0.0)).alias("abs_mass"), F.coalesce(F.sum("pos"), F.lit(0.0)).alias("pos_mass"), F.count_if(slack < -small).alias("deficient_rows"), F.count_if(slack > small).alias("excess_rows"),
+        F.min_by(F.when(slack < -small, F.col("j")), F.when(slack < -small, F.struct(slack.alias("s"), "j"))).alias("worst_deficient"),
     )
-    return out.join(symmetry(a).agg(F.count(F.lit(1)).alias("asymmetric")))  # one row each
+    worst = F.min_by(F.struct("i", "j"), F.struct(-F.abs(F.col("lower") - F.col("upper")), "i", "j"))
+    pairs = symmetry(a).agg(F.count(F.lit(1)).alias("asymmetric"), worst.alias("w")).select("asymmetric", F.col("w.i").alias("asymmetric_i"), F.col("w.j").alias("asymmetric_j"))
+    return out.join(pairs)  # one row each
 
 
 def positive_mass_fraction(a: DataFrame) -> DataFrame:
@@ -76,8 +79,8 @@ def require(a: DataFrame, n: int | None = None, ceiling: float = LUMP_CEILING) -
     if c["nonfinite"]:
         raise ValueError(f"operator has {c['nonfinite']} non-finite entries")
     if c["asymmetric"]:
-        w = symmetry(a).orderBy(F.abs(F.col("lower") - F.col("upper")).desc(), "i", "j").first()
-        raise ValueError(f"operator is not symmetric: {c['asymmetric']} pairs differ, most ({w['i']}, {w['j']}): {w['lower']} and {w['upper']}")
+        i, j = c["asymmetric_i"], c["asymmetric_j"]
+        raise ValueError(f"operator is not symmetric: {c['asymmetric']} pairs of entries differ, most of all ({i}, {j})")
     if c["bad_diag"]:
         hint = "; all off-diagonal entries are positive and none is on the diagonal: an adjacency matrix? use laplacian()" if not c["diag_pos"] and c["offdiag_pos"] else ""
         raise ValueError(f"operator has {c['bad_diag']} diagonal entries that are not positive, first in column {c['first_bad_diag']}{hint}")

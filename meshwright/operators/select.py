@@ -112,6 +112,29 @@ def block_greedy(edges: DataFrame, degs: DataFrame, blocks: int = 16, most: int
     return keep.unionByName(lfmis(edges, free))
 
 
+def least_yield(base: float, active: int, mean_degree: float, handoff: int | None) -> float:
+    """Share of the candidates that a round has to take: three times base, up to 0.15, on what is dense (mean degree of handoff or more)
+    and still more than four times handoff; base elsewhere."""
+    dense = handoff is not None and active > 4 * handoff and mean_degree >= handoff
+    return max(base, min(0.15, 3 * base)) if dense and base > 0 else base
+
+
+def too_little(chosen: int, candidates: int, active: int, least: float, handoff: int | None) -> bool:
+    """Whether a round's set is to be given up: nothing chosen, or under the least yield while more than twice handoff is active."""
+    if not chosen:
+        return True
+    return (handoff is None or active > 2 * handoff) and chosen < least * candidates
+
+
+def on_all(f: Callable) -> Callable:
+    """A caller's partitioner that gets all active vertices with their degrees, not only those under the cap."""
+    def run(edges: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
+        return f(edges, candidates, seed)
+
+    run.capped = False
+    return run
+
+
 def select(name: str | Callable, edges: DataFrame, degs: DataFrame, seed: int = 42) -> DataFrame:
     """By name, or a callable (edges, candidates, seed) -> DataFrame(v)."""
     if callable(name):

@@ -20,7 +20,7 @@ from meshwright.operators import components, eliminate, factor, linalg, operator
 from meshwright.session import materialise, workers_see_package
 
 STORAGES = ("vec", "bstr", "forward_star", "vec_pool")
-PEELS = ("natural", "min_degree")
+PEELS = ("natural", "min_degree", "bk_serial")
 
 
 @dataclass
@@ -56,15 +56,45 @@ class Options:
 class Factorisation:
     """columns(col, row, val) of original vertices, perm(v, pos, round), rounds as a list of rows."""
 
-    columns: DataFrame
+    columns: DataFrame | None
     perm: DataFrame
     rounds: list[dict]
     sddm: bool
     lumped: int
 
     def matrix(self) -> DataFrame:
+        if self.columns is None:
+            raise ValueError("the values of this factorisation were released; factorise anew")
         return factor.assemble(self.columns, self.perm)
 
+    def release(self) -> None:
+        """Let go of the values; order and rounds stay."""
+        self.columns = None
+
+
+class Linear:
+    """A linear map for callers' own iterations: shape, dtype, matvec, matmat and @, on arrays in the order of ascending ids. Symmetric,
+    so its adjoint is itself."""
+
+    dtype = np.dtype(float)
+
+    def __init__(self, n: int, f: Callable[[np.ndarray], np.ndarray]):
+        self.shape, self._f = (n, n), f
+
+    def matvec(self, x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, float)
+        if x.shape not in ((self.shape[1],), (self.shape[1], 1)):
+            raise ValueError(f"shape {x.shape} does not fit {self.shape}")
+        return self._f(x.ravel()).reshape(x.shape)
+
+    rmatvec = matvec
+
+    def matmat(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([self.matvec(c) for c in np.asarray(x, float).T], axis=1)
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return self.matvec(x) if np.ndim(x) == 1 else self.matmat(x)
+
 
 def _peel(edges: DataFrame, active: DataFrame, opt: Options) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """Eliminate a rest of at most peel_below vertices and peel_edges edges in one place: (columns, vertices in order, rounds)."""
@@ -75,7 +105,7 @@ def _peel(edges: DataFrame, active: DataFrame, opt: Options) -> tuple[pa.Table,
     diag = np.bincount(u, w, minlength=len(ids)) + np.bincount(v, w, minlength=len(ids)) + extra
     op = kernels.Operator(len(ids), np.concatenate([u, v, np.arange(len(ids))]), np.concatenate([v, u, np.arange(len(ids))]), np.concatenate([-w, -w, diag]))
     rule = None if opt.sampler in ("tree", "exact") else opt.sampler
-    f = kernels.factorise(op, opt.seed, len(ids) if opt.sampler == "exact" else opt.exact_below, rule, "natural" if opt.peel == "natural" else "min_degree")
+    f = kernels.factorise(op, opt.seed, len(ids) if opt.sampler == "exact" else opt.exact_below, rule, opt.peel)
     back = np.empty(len(ids), np.int64)
     back[f.perm] = ids
     rows = pa.table({"col": np.concatenate([back, back[f.col]]), "row": np.concatenate([back, back[f.row]]), "val": np.concatenate([f.diag, f.val])})
@@ -96,11 +126,12 @@ def factorize(a: DataFrame, vertices: DataFrame | None = None, **options) -> Fac
     n, m = active.count(), edges.count()
     while (n > opt.peel_below or m > opt.peel_edges) and turn < opt.max_rounds:
         degs = materialise(select.degrees(edges, active))
-        some = select.under_cap(degs, select.quantile_cap(degs, opt.degree_quantile))
+        some = select.under_cap(degs, select.quantile_cap(degs, opt.degree_quantile)) if getattr(opt.partitioner, "capped", True) else degs
         inner = edges.join(some.select(F.col("v").alias("u")), "u", "left_semi").join(some.select("v"), "v", "left_semi")
         chosen = materialise(select.select(opt.partitioner, inner, some, opt.seed + turn))
         size = chosen.count()
-        if size < opt.min_is_fraction * n:  # too little for a round: the cheapest selector with a longer inner loop takes over
+        least = select.least_yield(opt.min_is_fraction, n, 2 * m / n, opt.peel_below)
+        if select.too_little(size, some.count(), n, least, opt.peel_below):  # too little for a round: the cheapest selector with a longer inner loop takes over
             chosen = materialise(select.luby(inner, some, opt.seed + turn))
             size = chosen.count()
         if not size:
@@ -140,10 +171,13 @@ class Solver:
     """Factor once, solve many. Vertex ids may be any numbers; b and x0 have a row for each vertex."""
 
     def __init__(self, a: DataFrame, fac: Factorisation | None = None, **options):
-        self.spark, self.a = a.sparkSession, a
         opt = Options.of(**options)
+        self.spark, self.a = a.sparkSession, materialise(a.select("i", "j", "a"))  # it is read many times
+        a = self.a
         self.fac = fac or factorize(a, **options)
         g = self.fac.matrix()
+        if fac is not None and a.select(F.col("i").alias("v")).join(fac.perm, "v", "left_anti").take(1):
+            raise ValueError("the operator has vertices that the factorisation does not have")
         for what, df in (("factor", g), ("operator", a)):
             if df.count() > opt.max_factor:
                 raise ValueError(f"the {what} has more than max_factor = {opt.max_factor} entries; use tier jacobi or component")
@@ -179,6 +213,12 @@ class Solver:
     def apply(self, r: DataFrame) -> DataFrame:
         return self._frame(self.local.precondition(self._vector(r, "r")))
 
+    def aslinearoperator(self) -> Linear:
+        return Linear(len(self.ids), self.local.op.times)
+
+    def aspreconditioner(self) -> Linear:
+        return Linear(len(self.ids), self.local.precondition)
+
     @property
     def shape(self) -> tuple[int, int]:
         return len(self.ids), len(self.ids)
@@ -222,6 +262,7 @@ def solve(a: DataFrame, b: DataFrame, tier: str = "distributed", tol: float = 1e
     if tier == "distributed":
         return Solver(a, **options).solve(b, tol, maxiter=maxiter)
     if tier in ("component", "jacobi"):  # a vertex without neighbours may have no entry
+        a = materialise(a.select("i", "j", "a"))
         operator.require(a.where("i <> j OR a <> 0"))
     if tier == "component":
         workers_see_package(a.sparkSession)

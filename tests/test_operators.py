@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from meshwright.__main__ import main
 from meshwright.functions import kernels, trees
 from meshwright.operators import components, eliminate, factor, linalg, operator, select
-from meshwright.plans import solver
+from meshwright.plans import grounding, solver
 from meshwright.sources import compressed, generators, matrix_market, report, rhs
 
 _vec = "v long, x double"
@@ -131,7 +131,7 @@ def _laplacian(n, p, seed=2, ground=0.0):
     return m, kernels.Operator(n, i, j, m[i, j])
 
 
-@pytest.mark.parametrize("order", ["natural", "min_degree"])
+@pytest.mark.parametrize("order", ["natural", "min_degree", "bk_serial"])
 def test_exact_factor_is_cholesky(order):
     m, op = _laplacian(30, 0.3, ground=0.5)
     f = kernels.factorise(op, exact_below=30, order=order)
@@ -148,7 +148,7 @@ def test_sampled_factors_precondition():
     m, op = _laplacian(3000, 0.004)
     b = np.random.default_rng(1).normal(size=3000)
     b -= b.mean()
-    for options in ({}, {"order": "natural"}, {"exact_below": 4}, {"sampler": lambda w, u, total, draws: [(int(u[k]), int(u[-1]), float(w[k] * w[k + 1 :].sum() / total)) for k in range(len(u) - 1)]}):
+    for options in ({}, {"order": "natural"}, {"order": "bk_serial"}, {"exact_below": 4}, {"sampler": lambda w, u, total, draws: [(int(u[k]), int(u[-1]), float(w[k] * w[k + 1 :].sum() / total)) for k in range(len(u) - 1)]}):
         got = kernels.Solver(op, **options).solve(b, 1e-8, 400)
         assert got.iterations < 400 and np.linalg.norm(b - op.times(got.x)) < 1e-6 * np.linalg.norm(b)
 
@@ -254,9 +254,95 @@ def test_spmv_and_pcg(spark):
     assert norms[-1] < 1e-8
 
 
-def test_peel_that_is_not_built_is_rejected():
-    with pytest.raises(ValueError, match="unknown peel strategy 'bk_serial'"):
-        solver.Options.of(peel="bk_serial")
+def test_unknown_peel_is_rejected():
+    with pytest.raises(ValueError, match="unknown peel strategy 'bk'"):
+        solver.Options.of(peel="bk")
+
+
+def test_centring_schedule():
+    m, op = _laplacian(200, 0.1)
+    b = np.random.default_rng(1).normal(size=200)
+    b -= b.mean()
+    for every in (1, 3, 10):
+        s = kernels.Solver(op, centre_every=every)
+        r = b + 1
+        means = [abs(s.precondition(r).mean()) < 1e-12 for _ in range(10)]
+        assert means == [(k + 1) % every == 0 for k in range(10)]
+        assert s.solve(b, 1e-10).converged
+
+
+def test_yield_rules():
+    assert select.least_yield(0.05, 2001, 500, 500) == pytest.approx(0.15) and select.least_yield(0.2, 2001, 500, 500) == 0.2
+    assert select.least_yield(0.05, 2000, 500, 500) == select.least_yield(0.05, 2001, 499, 500) == select.least_yield(0.05, 2001, 500, None) == 0.05
+    assert select.least_yield(0.0, 2001, 500, 500) == 0
+    assert select.too_little(0, 10, 10, 0.0, 500) and not select.too_little(1, 1000, 1000, 0.5, 500)
+    assert select.too_little(1, 1000, 1001, 0.5, 500) and select.too_little(1, 1000, 10, 0.5, None) and not select.too_little(500, 1000, 1001, 0.5, 500)
+
+
+def test_half_precision_keeps_column_sums(spark):
+    r = np.random.default_rng(5)
+    rows = [(c, c + k, float(x)) for c in range(20) for k, x in enumerate([2.0, *-r.random(6), -1e-6, 0.0])]
+    got = {(x.col, x.row): x.val for x in factor.narrow(spark.createDataFrame(rows, "col long, row long, val double")).collect()}
+    for c in range(20):
+        own = {row: val for col, row, val in rows if col == c}
+        scale = max(abs(v) for k, v in own.items() if k != c)
+        want = {k: float(np.float16(v / scale)) for k, v in own.items() if k != c}
+        for k, x in want.items():
+            assert got[c, k] == (0 if abs(x) < 2.0**-14 else x * scale)
+        assert sum(own.values()) == pytest.approx(sum(got[c, k] for k in own), abs=1e-12)
+
+
+def test_duplicate_ratio(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 2.0), (0, 2, 4.0), (1, 2, 3.0), (1, 2, 5.0), (1, 2, 7.0), (2, 3, 1.0)], "u long, v long, w double")
+    assert eliminate.duplicate_ratio(e).first().ratio == 14 / 8 and eliminate.duplicate_ratio(e.limit(0)).first().ratio == 1
+    assert eliminate.duplicate_ratio(eliminate.coalesce_edges(e)).first().ratio == 14 / 8
+
+
+def test_released_and_foreign_factors(spark):
+    a, v = _grid(spark, 5)
+    fac = solver.factorize(a)
+    s = solver.Solver(a, fac)
+    x = np.arange(25.0)
+    assert np.allclose(s.aslinearoperator() @ x, s.local.op.times(x)) and s.aspreconditioner().matmat(np.stack([x, x], 1)).shape == (25, 2)
+    with pytest.raises(ValueError, match="fit"):
+        s.aslinearoperator().matvec(x[:3])
+    with pytest.raises(ValueError, match="does not have"):
+        solver.Solver(_grid(spark, 6)[0], fac)
+    fac.release()
+    with pytest.raises(ValueError, match="released"):
+        solver.Solver(a, fac)
+
+
+def test_partitioner_on_all_vertices(spark):
+    a, v = _grid(spark, 8)
+    seen = []
+
+    def mine(edges, candidates, seed):
+        seen.append(candidates.count())
+        return select.luby(edges, candidates, seed)
+
+    for p in (mine, select.on_all(mine)):
+        assert solver.solve(a, rhs.range_space(a, v), partitioner=p, peel_below=58, degree_quantile=0.0).converged
+    assert seen[0] == 4 and 64 in seen  # the corners have the least degree
+
+
+def test_grounding(spark):
+    assert grounding.plan("amgcl", ground="coarse", disconnected=True) == grounding.Plan(True, "split", "coarse")
+    assert not grounding.plan("amgcl", "whole", "coarse", True).supported and grounding.plan("amgcl", "whole", "coarse").supported
+    e = generators.grid2d(spark, 3, 4).unionByName(generators.cycle(spark, 5).select((F.col("u") + 12).alias("u"), (F.col("v") + 12).alias("v"), "w"))
+    v = spark.range(17).select(F.col("id").alias("v"))
+    a = operator.laplacian(e, v)
+    b = rhs.range_space(a, v)
+    for how in (grounding.Plan(True, "whole", "pin"), grounding.Plan(True, "split", "pin"), grounding.plan("factor", "split")):
+        assert linalg.relative_residual(a, grounding.solve(a, b, how).x, b).first()[0] < 1e-6
+    with pytest.raises(ValueError, match="near-null"):
+        grounding.solve(a, b, grounding.plan("amgcl", ground="coarse"))
+
+
+def test_census_tells_the_worst(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0), (2, 2, 9.0), (0, 1, -3.0), (1, 0, -1.0), (2, 1, -1.0), (1, 2, -8.0)], "i long, j long, a double")
+    c = operator.census(a).first()
+    assert (c.worst_deficient, c.asymmetric, c.asymmetric_i, c.asymmetric_j) == (1, 2, 2, 1)
 
 
 def test_command_line(spark, tmp_path, capsys):
