@@ -74,6 +74,13 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slim(spark: SparkSession) -> None:
+    """Let executors collect their garbage and return the heap that it took; else a heap that has once been full stays so, and its
+    Python workers' memory comes on top. One short task for each core; an executor that gets none only keeps what it has."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def unused(names: list[str], *stems: str) -> list[str]:
     """Column names like the stems that are not among the given ones, whatever their case."""
     taken, out = {x.lower() for x in names}, []

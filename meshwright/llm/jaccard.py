@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from meshwright.llm.common import arrow_batches, cut, discard, mix64, tidy, together, unused, utf8_blocks, word_hashes
+from meshwright.llm.common import arrow_batches, cut, discard, give_back, mix64, slim, tidy, together, unused, utf8_blocks, word_hashes
 from meshwright.llm.components import components, extend
 
 SHINGLE, PERCENT = 5, 75
@@ -178,6 +178,16 @@ def chosen(s: np.ndarray, seed: int, told: np.ndarray, cost: np.ndarray) -> tupl
     return np.concatenate(out), rare, fine
 
 
+def often_met(met: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur three times or more in these arrays, and how often. The list is emptied, and its keys are held once."""
+    k = np.concatenate(met) if met else np.zeros(0, np.uint64)
+    met.clear()
+    k.sort()
+    third = np.flatnonzero(k[2:] == k[:-2])
+    keys = k[third[np.concatenate([[True], k[third[1:]] != k[third[:-1]]])[: len(third)]]]
+    return keys, np.searchsorted(k, keys, "right") - np.searchsorted(k, keys)
+
+
 def _classes(seed: int):
     """Rows of documents (kind 0: doc_id, size, class) and of keys that a task met often (kind 1: key, count)."""
 
@@ -188,9 +198,7 @@ def _classes(seed: int):
         names = ["kind", "id", "n", "class", "least", "sig", "brief"]
 
         def flush() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, np.uint64), np.zeros(0, int))
-            k, n = k[n >= 3], n[n >= 3]
-            met.clear()
+            k, n = often_met(met)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int32)), pa.array(k.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(k), np.int64)), pa.array(np.zeros(len(k), np.int32)), pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.binary())], names)
 
         for rows, ends, data in utf8_blocks(batches):
@@ -298,6 +306,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (nc if note else cs).append(c)
     if at is not None:
         yield give()
+    give_back()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -364,6 +373,7 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = 0
     if held:
         yield give()
+    give_back()
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,6 +392,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ok = np.bitwise_count(brief[x] ^ brief[y]).sum(1, dtype=np.int64) <= most(n[x], n[y])
         x, y = x[ok], y[ok]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[x], cls[y])), pa.array(np.maximum(cls[x], cls[y])), pa.array(star[y])], ["a", "b", "star"])
+    give_back()
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +405,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = min(len(x), len(y))
             keep.append(int(np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum()) <= bound)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
 
 
 def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -411,14 +423,19 @@ def _bitmap(classes: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def marked(bitmap: bytes, c: int) -> int:
+    """Whether the bit of a class is set."""
+    slot = (c & (1 << 64) - 1) >> (64 - BITS)
+    return bitmap[slot >> 3] >> (slot & 7) & 1
+
+
 def _sets(bitmap: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
         seen: set[int] = set()
         for _, ends, data in utf8_blocks(batches):
             cs, ss = [], []
             for s in shingle_sets(data, ends):
-                if len(s) and (c := class_of(s)) not in seen and bits[(c & (1 << 64) - 1) >> (64 - BITS)]:
+                if len(s) and (c := class_of(s)) not in seen and marked(bitmap, c):
                     seen.add(c)
                     cs.append(c)
                     ss.append(s.tobytes())
@@ -444,6 +461,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a_out.append(a)
                     b_out.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+    give_back()
 
 
 def fetch(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -517,6 +535,7 @@ def join(docs: DataFrame) -> DataFrame:
     del sized, met
     discard(first)
     tidy(spark)
+    slim(spark)
     # only some of a pair's keys have it with their lead: that fewer than SHARED are counted here does not rule it out
     led = groups.where("class <> lead").groupBy(F.col("lead").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("keys"))
     pairs = cut(close(candidates(led, classes, 3).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), classes), "pairs")
@@ -548,6 +567,7 @@ def join(docs: DataFrame) -> DataFrame:
     roots = extend(roots, linked)
     discard(linked)
     tidy(spark)
+    slim(spark)
     labelled = groups.select("key", "class").join(classes.select("class", "n", "alone", "viable", "whole", "brief"), "class").join(roots, F.col("class") == F.col("node"), "left").select("key", F.coalesce("root", "class").alias("root"), "class", "n", "alone", "viable", "whole", "brief")
     several = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("viable").alias("any")).where("lo <> hi AND any").select("key")
     open_ = together(labelled.join(several, "key", "left_semi"), "key").sortWithinPartitions("key", "n", "class")
