@@ -16,7 +16,9 @@ columns are ignored, texts of any length and script are cut at white space only,
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,9 @@ WINDOW = 16
 #: What a generation of the tables holds: words, chunks and joints.
 WORDS, CHUNKS, JOINTS = 100_000, 4_000, 20_000
 _SPACE = b" \t\n\r\x0b\x0c"
+#: A pre-tokenizer that parts letters from what follows them, and what may follow: no apostrophe, as 's and the like are pieces.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(_SPACE)] = True
 
@@ -46,6 +51,19 @@ def rolling(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return mix64(h)
 
 
+def _parts(tok) -> bool:
+    """Whether letters and the marks behind them are encoded apart, whatever they are: by the published rules, no others are looked into."""
+    told = json.loads(tok.to_str())
+    rules, before = told["pre_tokenizer"] or {}, told["normalizer"] or {}
+    rules, before = rules.get("pretokenizers", [rules]), before.get("normalizers", [before])
+    split = {"type": "Split", "pattern": {"Regex": _PARTS}, "behavior": "Removed", "invert": True}
+    bytes_ = all(x.get("type") == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in rules[1:])
+    even = all(x.get("type") in (None, "NFC", "Lowercase") or x.get("type") == "Replace" and x["pattern"] == {"Regex": r"\s+"} for x in before)
+    # a word of letters and marks behind them holds no added token
+    added = all(re.search("[A-Za-z0-9].*[^A-Za-z0-9]$", x["content"]) and not x["content"][0].isalpha() for x in told["added_tokens"])
+    return bool(rules) and rules[0] == split and bytes_ and even and added
+
+
 class Codec:
     """A tokenizers vocabulary with tables of words and chunks already encoded."""
 
@@ -64,6 +82,8 @@ class Codec:
         self.last = np.array([x.endswith(suffix) for x in names]) if suffix else None
         special = [(x.content.encode(), i) for i, x in self.tok.get_added_tokens_decoder().items() if x.special]
         self.mark_text, self.mark = special[-1] if special else (b"", None)
+        self.parted = self.plain and self.last is not None and _parts(self.tok)
+        self.tails: dict[bytes, tuple[bytes, bytes]] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
         self.words_before: dict[bytes, tuple[bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes]] = {}  # by 128-bit digests
@@ -91,13 +111,10 @@ class Codec:
                     self.words[w] = had
                 else:
                     new.append(w)
-        letters = [w for w in new if w.isalpha()] if self.last is not None else []
-        for k in range(0, len(letters), 4096):
-            part = letters[k : k + 4096]
-            flat = self._many(b" ".join(part))
-            stops = np.flatnonzero(self.last[flat]) + 1 if flat else np.zeros(0, int)
-            if len(stops) == len(part) and stops[-1] == len(flat):
-                self._keep(part, flat, [0, *stops[:-1].tolist()], stops.tolist())
+        if self.last is not None:
+            self._learn_letters([w for w in new if w.isalpha()], self.words)
+        if self.parted:
+            self._learn_marked([w for w in new if not w.isalpha()])
         plain = [w for w in new if w not in self.words and self.mark is not None and self.mark_text not in w]
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
@@ -110,6 +127,29 @@ class Codec:
                 ids = self._ids(w)
                 self._keep([w], ids, [0], [len(ids)])
 
+    def _learn_letters(self, letters: list[bytes], into: dict[bytes, tuple[bytes, bytes]]) -> None:
+        for k in range(0, len(letters), 4096):
+            part = letters[k : k + 4096]
+            flat = self._many(b" ".join(part))
+            stops = np.flatnonzero(self.last[flat]) + 1 if flat else np.zeros(0, int)
+            if len(stops) == len(part) and stops[-1] == len(flat):
+                self._keep(part, flat, [0, *stops[:-1].tolist()], stops.tolist(), into)
+
+    def _learn_marked(self, words: list[bytes]) -> None:
+        """Of these words, enter those of letters and one or two marks behind them; letters that are no word yet are not entered."""
+        ended = [(w, x) for w in words if 0 < len(w) - len(x := w.rstrip(_MARKS)) < 3 and x.isalpha()]
+        cores: dict[bytes, tuple[bytes, bytes]] = {}
+        self._learn_letters(list({x for _, x in ended if x not in self.words}), cores)
+        for w, x in ended:
+            core = self.words.get(x) or cores.get(x)
+            if core is not None:
+                tail = self.tails.get(w[len(x) :])
+                if tail is None:
+                    ids = self._ids(w[len(x) :])
+                    self._keep([w[len(x) :]], ids, [0], [len(ids)], self.tails)
+                    tail = self.tails[w[len(x) :]]
+                self.words[w] = core[0] + b" " + tail[0], core[1] + b" " + tail[1]
+
     def _many(self, joined: bytes) -> list[int]:
         return self.tok.encode_batch_fast([joined.decode("utf-8")], add_special_tokens=False)[0].ids
 
@@ -132,13 +172,14 @@ class Codec:
         key = xxhash.xxh3_128_digest(piece)
         return key in self.chunks or key in self.chunks_before
 
-    def _keep(self, words: list[bytes], flat: list[int], starts: list[int], stops: list[int]) -> None:
+    def _keep(self, words: list[bytes], flat: list[int], starts: list[int], stops: list[int], into: dict[bytes, tuple[bytes, bytes]] | None = None) -> None:
         """Enter words, whose ids are pieces of flat."""
+        into = self.words if into is None else into
         texts, names = [self.texts[i] for i in flat], [self.names[i] for i in flat]
         if self.plain:
-            self.words.update([(w, (b" ".join(texts[a:b]), b" ".join(names[a:b]))) for w, a, b in zip(words, starts, stops, strict=True)])
+            into.update([(w, (b" ".join(texts[a:b]), b" ".join(names[a:b]))) for w, a, b in zip(words, starts, stops, strict=True)])
         else:
-            self.words.update([(w, (b" ".join(texts[a:b]), self.decode(flat[a:b]).encode())) for w, a, b in zip(words, starts, stops, strict=True)])
+            into.update([(w, (b" ".join(texts[a:b]), self.decode(flat[a:b]).encode())) for w, a, b in zip(words, starts, stops, strict=True)])
 
     def _piece(self, piece: bytes) -> tuple[bytes, bytes]:
         """(ids, decoded text) of bytes between white space, both joined by spaces."""
