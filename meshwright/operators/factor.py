@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshwright.session import met, spread
+
 DROP = 1e-4
 
 
@@ -22,7 +24,7 @@ def drop_small(g: DataFrame, rel: float = DROP) -> DataFrame:
     proportion to their size, so column sums stay."""
     off, w = F.col("row") != F.col("col"), Window.partitionBy("col")
     size = F.abs("val")
-    x = g.withColumn("top", F.max(F.when(off, size)).over(w)).withColumn("keep", ~off | (size >= F.lit(rel) * F.col("top")))
+    x = spread(g, "col").withColumn("top", F.max(F.when(off, size)).over(w)).withColumn("keep", ~off | (size >= F.lit(rel) * F.col("top")))
     x = x.withColumn("lost", F.sum(F.when(~F.col("keep"), F.col("val")).otherwise(0.0)).over(w)).withColumn("mass", F.sum(F.when(off & F.col("keep"), size).otherwise(0.0)).over(w))
     new = F.when(off & (F.col("mass") > 0), F.col("val") + F.col("lost") * size / F.col("mass")).otherwise(F.col("val"))
     return x.where("keep").select("col", "row", new.alias("val"))
@@ -34,6 +36,7 @@ def narrow(g: DataFrame) -> DataFrame:
     off, tiny = F.col("row") != F.col("col"), 2.0**-14
     x = F.col("val") / F.col("scale")
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs("x"))), F.lit(-14)) - 10)
+    g = spread(g, "col")
     h = g.join(column_scale(g), "col").withColumn("x", x).withColumn("h", F.when(F.col("x") == 0, 0.0).otherwise(F.rint(F.col("x") / step) * step))
     h = h.withColumn("kept", F.when(F.abs("h") < tiny, 0.0).otherwise(F.col("h") * F.col("scale")))
     lost = F.sum(F.when(off, F.col("val") - F.col("kept")).otherwise(0.0)).over(Window.partitionBy("col"))
@@ -48,11 +51,12 @@ def assemble(columns: DataFrame, perm: DataFrame) -> DataFrame:
 
 def level_histogram(g: DataFrame, perm: DataFrame) -> DataFrame:
     """Rows and entries of every level, a level being the round that eliminated the column."""
-    return g.join(perm.select(F.col("pos").alias("col"), F.col("round").alias("level")), "col").groupBy("level").agg(F.countDistinct("col").alias("rows"), F.count(F.lit(1)).alias("nnz"))
+    return met(g, perm.select(F.col("pos").alias("col"), F.col("round").alias("level")), "col").groupBy("level").agg(F.countDistinct("col").alias("rows"), F.count(F.lit(1)).alias("nnz"))
 
 
 def ldl(g: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unit lower L(col, row, val) and D(v, d)."""
+    g = spread(g, "col")
     d = g.where("row = col").select("col", F.col("val").alias("p"))
     return g.join(d, "col").select("col", "row", (F.col("val") / F.col("p")).alias("val")), d.select(F.col("col").alias("v"), (F.col("p") * F.col("p")).alias("d"))
 

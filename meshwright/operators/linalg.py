@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.session import met
+
 
 def spmv(a: DataFrame, x: DataFrame) -> DataFrame:
     """y(v, y) = A x for every row of A."""
-    return a.join(x.select(F.col("v").alias("j"), "x"), "j").groupBy(F.col("i").alias("v")).agg(F.sum(F.col("a") * F.col("x")).alias("y"))
+    return met(a, x.select(F.col("v").alias("j"), "x"), "j").groupBy(F.col("i").alias("v")).agg(F.sum(F.col("a") * F.col("x")).alias("y"))
 
 
 def quadratic(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def jacobi_pcg(a: DataFrame, b: DataFrame, steps: int, tol: float = 0.0, every:
     for _ in range(steps):
         if not bb or not rz or norms[-1] <= tol:
             break
-        y = a.join(state.select(F.col("v").alias("j"), F.col("p").alias("pj")), "j").groupBy(F.col("i").alias("v")).agg(F.sum(F.col("a") * F.col("pj")).alias("y"))
+        y = spmv(a, state.select("v", F.col("p").alias("x")))
         step = materialise(state.join(y, "v", "left").fillna(0.0, ["y"]))
         pap = step.agg(F.sum(F.col("p") * F.col("y"))).first()[0]
         if pap <= 0:

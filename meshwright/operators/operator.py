@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.session import spread
+
 SYMMETRY_TOL, LUMP_CEILING, EXCESS_TOL = 1e-10, 0.25, 1e-12
 
 
@@ -36,12 +38,12 @@ def lists_to_laplacian(lists: DataFrame) -> DataFrame:
     """Neighbours lists(v, to, w), every edge in the lists of both its ends: each of these gives -w / 2 to both slots."""
     ends = lists.groupBy("v").agg(F.sum("w").alias("a")).select(F.col("v").alias("i"), F.col("v").alias("j"), "a")
     half = lists.select(F.explode(F.array(F.struct(F.col("v").alias("i"), F.col("to").alias("j")), F.struct(F.col("to").alias("i"), F.col("v").alias("j")))).alias("x"), (-F.col("w") / 2).alias("a")).select("x.*", "a")
-    return ends.unionByName(half).groupBy("i", "j").agg(F.sum("a").alias("a"))
+    return spread(ends.unionByName(half), "i", "j").groupBy("i", "j").agg(F.sum("a").alias("a"))
 
 
 def symmetry(a: DataFrame, tol: float = SYMMETRY_TOL) -> DataFrame:
     """Pairs i > j whose two entries differ: (i, j, lower, upper); a missing entry counts as 0."""
-    side = lambda cond, i, j, name: a.where(cond).select(F.col(i).alias("i"), F.col(j).alias("j"), F.col("a").alias(name))
+    side = lambda cond, i, j, name: spread(a.where(cond).select(F.col(i).alias("i"), F.col(j).alias("j"), F.col("a").alias(name)), "i", "j")
     both = side("i > j", "i", "j", "lower").join(side("i < j", "j", "i", "upper"), ["i", "j"], "full_outer").fillna(0.0, ["lower", "upper"])
     return both.where(F.abs(F.col("lower") - F.col("upper")) > tol * F.greatest(F.abs("lower"), F.abs("upper")))
 

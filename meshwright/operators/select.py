@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.operators.operator import both_ways
-from meshwright.session import materialise
+from meshwright.session import among, materialise, met, spread
 
 #: Portable hash: the same value in Spark and in SQL, for ids under 2**31.
 MULTIPLIER, STEP, MODULUS = 2654435761, 40503, 4294967291
@@ -42,12 +42,12 @@ def under_cap(degs: DataFrame, cap: DataFrame) -> DataFrame:
 
 
 def neighbours_of(edges: DataFrame, chosen: DataFrame) -> DataFrame:
-    return both_ways(edges).join(chosen.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct()
+    return among(both_ways(edges).select("u", "v"), "u", chosen).select("v").distinct()
 
 
 def local_minima(edges: DataFrame, ranked: DataFrame) -> DataFrame:
     """ranked(v, p): vertices whose p is less than that of all their neighbours among ranked."""
-    near = both_ways(edges).join(ranked.select(F.col("v"), F.col("p").alias("q")), "v").groupBy("u").agg(F.min("q").alias("least"))
+    near = spread(met(both_ways(edges).select("u", "v"), ranked.select("v", F.col("p").alias("q")), "v").select("u", "q"), "u").groupBy("u").agg(F.min("q").alias("least"))
     return ranked.join(near, F.col("v") == F.col("u"), "left").where("least IS NULL OR p < least").select("v")
 
 
@@ -148,4 +148,4 @@ def select(name: str | Callable, edges: DataFrame, degs: DataFrame, seed: int =
 
 def conflicts(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges with both ends chosen; none for an independent set."""
-    return edges.join(chosen.select(F.col("v").alias("u")), "u", "left_semi").join(chosen.select("v"), "v", "left_semi").select("u", "v")
+    return among(among(edges.select("u", "v"), "u", chosen), "v", chosen)
